@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.llm import html_text, quality_rules, sharding, url_filter
+from sievelight.llm import html_text, language_id, quality_rules, sharding, simhash, substring_dedup, url_filter
 from sievelight.llm._common import read_table
 from sievelight.llm.sharding import MULTIPLIER, SLOT_BUCKETS
 
@@ -33,12 +33,24 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op5_query(read_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op6_query(read_table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op7_query(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op9_query(read_table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op10_query(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op4_url_filter, op5_sharding, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_html_extraction, op4_url_filter, op5_sharding, op6_substring_dedup, op7_language_id, op9_quality_rules, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
