@@ -39,8 +39,8 @@ MAX_GRAMS = 8_000_000
 HELD = 4_000_000
 #: One of so many training documents calibrates the rejection.
 CALIBRATION_FOLD = 20
-#: Letters from which each band of lengths starts, the quantile of its clean documents, and the margin above it.
-BANDS, QUANTILE, MARGIN = (0, 64, 256, 1024, 4096), 0.999, 1.1
+#: Letters from which each band of lengths starts, the quantile of its documents, and the margin above it (texts that mix languages stay).
+BANDS, QUANTILE, MARGIN = (0, 64, 256, 1024, 4096), 0.999, 1.5
 UNKNOWN = "und"
 
 
