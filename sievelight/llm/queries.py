@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.llm import html_text, language_id, quality_rules, sharding, simhash, substring_dedup, url_filter
+from sievelight.llm import decontaminate, html_text, language_id, packing, quality_model, quality_rules, sharding, simhash, substring_dedup, url_filter
 from sievelight.llm._common import read_table
 from sievelight.llm.sharding import MULTIPLIER, SLOT_BUCKETS
 
@@ -21,10 +21,25 @@ crc_table AS (
 )"""
 
 
+def tokenizer_path() -> str:
+    """The vocabulary that the queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.op1_query(read_table(spark, sf_dir, "pages"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.op2_query(read_table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op3_query(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.op4_query(read_table(spark, sf_dir, "pages"))
 
@@ -41,6 +56,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op7_query(read_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op8_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op9_query(read_table(spark, sf_dir, "documents"))
 
@@ -50,7 +69,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op4_url_filter, op5_sharding, op6_substring_dedup, op7_language_id, op9_quality_rules, op10_simhash)}
+    every = (
+        op1_html_extraction,
+        op2_quality_classifier,
+        op3_packing,
+        op4_url_filter,
+        op5_sharding,
+        op6_substring_dedup,
+        op7_language_id,
+        op8_decontamination,
+        op9_quality_rules,
+        op10_simhash,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
