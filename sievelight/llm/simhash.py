@@ -14,7 +14,7 @@ Defined cases: a null or empty text has fingerprint zero; a text of fewer
 words than a shingle has its whole sequence as the only shingle; rows with a
 null id take part, but a null is never a component's id unless it has no other;
 repeated rows share their component; an empty table gives an empty result;
-clashing input columns are renamed to ``input_<name>``.
+other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm._common import byte_lengths, free_names, plus, settle, text_runs
+from sievelight.llm._common import byte_lengths, plus, settle, text_runs
 from sievelight.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -214,11 +214,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its component; rows with a null key stay."""
-    docs = free_names(docs, ["component_id", "fingerprint"])
-    found = near_duplicates(docs, key, text)
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    """The rows of ``docs`` whose key is the smallest of its component.
+
+    Rows with a null key stay. Rows that share key and text are one document,
+    of which one row stays.
+    """
+    found = settle(near_duplicates(docs, key, text).select(F.col(key).alias("_key"), (F.col(key) != F.col("component_id")).alias("_gone")))
+    gone = found.where("_gone").select("_key").distinct()
+    kept = docs.join(gone, F.col(key) == F.col("_key"), "left_anti")
+    shared = settle(found.where("_key IS NOT NULL AND NOT _gone").groupBy("_key").count().where("count > 1").select("_key"))
+    if shared.isEmpty():
+        return kept
+    alone = kept.join(shared, F.col(key) == F.col("_key"), "left_anti")
+    return alone.unionByName(kept.join(shared, F.col(key) == F.col("_key"), "left_semi").dropDuplicates([key, text]))
 
 
 def op10_query(docs: DataFrame) -> DataFrame:
