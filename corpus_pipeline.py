@@ -1,18 +1,70 @@
-"""The corpus pipeline: stages over ``documents``, each on what the one before kept."""
+"""The corpus pipeline: stages over ``documents``, each on what the one before kept.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of
+``documents``. ``run`` writes every stage's rows as Parquet to the shared
+folder and reads them again, so that no stage is computed twice and a lost
+executor costs no more than the stage at work.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievelight.llm import decontaminate, language_id, packing, simhash, substring_dedup
+from sievelight.llm._common import read_table, removed, shared_path, stored
+from sievelight.llm.queries import tokenizer_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language stay; those without a letter or unlike every language go."""
+    model = language_id.fit(docs)
+    found = language_id.predicted(docs, model)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("rejected")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return simhash.keep_first(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out; every document stays."""
+    done = substring_dedup.dedup_substrings(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    return done.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their place in a training sequence."""
+    return packing.pack_documents(docs, tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeated_passages),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack_sequences),
+]
 
-#: SQL can express neither the language models nor tokens; the stages are tested against brute force.
+#: SQL can express neither the language models nor the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs, last = read_table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = shared_path(spark, f"stage{k}")
+            docs = stored(docs, path)
+            if last is not None:
+                removed(spark, last)
+            last = path
     return docs
