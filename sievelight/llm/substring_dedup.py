@@ -7,7 +7,7 @@ others:
 1. *Seeds.* Every window of MIN_WORDS words names its smallest SEED_WORDS-gram
    hash; equal windows name equal seeds wherever they stand. A seed found in
    one document alone ends there, which drops most of the corpus.
-2. *Windows.* Windows under shared seeds are indexed by a 128-bit hash with the
+2. *Windows.* Windows under shared seeds are indexed by a 96-bit hash with the
    smallest document that holds them, and where in it.
 
 A document is then factored greedily against the index: a factor starts at a
@@ -31,12 +31,10 @@ table gives an empty result; clashing input columns are renamed to
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +50,6 @@ BLOCK_BYTES = 2 << 20
 BLOCKS_A_RANGE = 8
 #: Blocks whose entries meet in one group before they are merged.
 FAN_IN = 4096
-KEYS = ("0123456789123456", "6543219876543210")
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _packed(batch: pa.RecordBatch) -> bytes:
@@ -83,22 +79,46 @@ def _to_blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Reco
             block += 1
 
 
+def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a hash's odd base and of its inverse modulo 2^64, at least ``n`` of each."""
+    held = _POWERS.get(which)
+    if held is None or len(held[0]) < n:
+        n = max(n, 2 * BLOCK_BYTES)
+        base = BASES[which]
+        held = _POWERS[which] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
+    return held
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Odd bases of the two hashes, and a value of each byte.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[0]))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+
+
 class Parsed:
     """Words of a block's documents as hashes, with the windows that lie inside one document."""
 
     def __init__(self, batch: pa.RecordBatch, key: str, text: str):
-        words: list[bytes] = []
-        counts = []
-        for t in batch.column(text).to_pylist():
-            w = t.encode().split() if t else []
-            counts.append(len(w))
-            words += w
-        self.counts = np.array(counts, np.int64)
+        texts = batch.column(text).fill_null("").cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        body = texts.buffers()[2]
+        self.data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)
+        self.offsets = offsets - offsets[0]
+        solid = ~_SPACE[self.data]
+        edge = np.zeros(len(solid) + 1, bool)
+        edge[self.offsets] = True  # no word reaches from one document into the next
+        before = np.concatenate([[False], solid[:-1]]) if len(solid) else solid
+        after = np.concatenate([solid[1:], [False]]) if len(solid) else solid
+        #: First byte of each word, and the byte after its last.
+        self.starts = np.flatnonzero(solid & (~before | edge[:-1]))
+        self.ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
+        self.owner = np.searchsorted(self.offsets[1:], self.starts, side="right")
+        self.counts = np.bincount(self.owner, minlength=len(texts))
         keys = batch.column(key)
         self.ids = keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         known = keys.is_valid().to_numpy(zero_copy_only=False)
-        self.codes, self.unique = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), np.array([], object))
-        self.owner = np.repeat(np.arange(len(counts)), self.counts)
         self.first = np.cumsum(self.counts) - self.counts
         place = np.arange(len(self.owner)) - self.first[self.owner]
         fits = (place + MIN_WORDS <= self.counts[self.owner]) & known[self.owner]
@@ -106,13 +126,23 @@ class Parsed:
         self.at = np.flatnonzero(fits)
         self.doc = self.ids[self.owner[self.at]]
         self.place = place[self.at]
+        self._words: dict[int, np.ndarray] = {}
+
+    def _hashed(self, which: int) -> np.ndarray:
+        """A hash of each word: of its bytes from its start, and its length."""
+        if which not in self._words:
+            powers, inverse = _powers(which, len(self.data) + 1)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[self.data] * powers[: len(self.data)])])
+            h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
+            self._words[which] = mix64(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(BASES[1 - which]))
+        return self._words[which]
 
     def _rolled(self, which: int, words: int) -> np.ndarray:
-        h = pd.util.hash_array(self.unique, hash_key=KEYS[which], categorize=False)[self.codes]
+        h = self._hashed(which)
         n = max(0, len(h) - words + 1)
         total = np.zeros(n, np.uint64)
         for k in range(words):
-            total = total * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[which]) + h[k : k + n]
+            total = total * np.uint64(BASES[which]) + h[k : k + n]
         return mix64(total)
 
     def seeds(self) -> np.ndarray:
@@ -128,10 +158,10 @@ class Parsed:
         return least[self.at]
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """The 128-bit hash of each window, in two halves."""
+        """The 96-bit hash of each window, in parts of 64 and 32."""
         if not len(self.at):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return self._rolled(0, MIN_WORDS)[self.at], self._rolled(1, MIN_WORDS)[self.at]
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        return self._rolled(0, MIN_WORDS)[self.at], (self._rolled(1, MIN_WORDS)[self.at] >> np.uint64(32)).astype(np.uint32)
 
 
 def _ranges(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +244,8 @@ def _window_entries(batches: Iterator[pa.RecordBatch], key: str, text: str, rang
     for batch in batches:
         for block, packed, shared in zip(*(batch.column(c).to_pylist() for c in ("block", "packed", "shared")), strict=True):
             p = Parsed(_unpacked(packed), key, text)
+            if not shared:
+                continue
             known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in shared]))
             seeds = p.seeds()
             at = np.minimum(np.searchsorted(known, seeds), len(known) - 1)
@@ -225,21 +257,23 @@ def _window_entries(batches: Iterator[pa.RecordBatch], key: str, text: str, rang
             order = np.lexsort((place, doc, second, first))
             first, second, doc, place = first[order], second[order], doc[order], place[order]
             start = _starts(first, second)
-            most = np.maximum.reduceat(doc, start)
-            yield _emit(block, ranges, [("hash", first[start]), ("second", second[start]), ("doc", doc[start]), ("most", most), ("place", place[start].astype(np.int32))])
+            several = np.maximum.reduceat(doc, start) != doc[start]
+            spot = place[start].astype(np.uint32) | several.astype(np.uint32) << np.uint32(31)
+            yield _emit(block, ranges, [("hash", first[start]), ("second", second[start]), ("doc", doc[start]), ("spot", spot)])
 
 
 def _owned_windows(table: pa.Table) -> pa.Table:
     """Tell each block which of its windows a document smaller than one of its own has."""
     first, row = _column(table, "hash", np.uint64)
-    second, doc, most, place = (_column(table, c, k)[0] for c, k in (("second", np.uint64), ("doc", np.int64), ("most", np.int64), ("place", np.int32)))
-    order = np.lexsort((place, doc, second, first))
-    first, row, second, doc, most, place = (x[order] for x in (first, row, second, doc, most, place))
+    second, doc, spot = (_column(table, c, k)[0] for c, k in (("second", np.uint32), ("doc", np.int64), ("spot", np.uint32)))
+    several, spot = spot >> np.uint32(31) > 0, spot & np.uint32(0x7FFFFFFF)
+    order = np.lexsort((spot, doc, second, first))
+    first, row, second, doc, spot, several = (x[order] for x in (first, row, second, doc, spot, several))
     start = _starts(first, second)
     count = np.diff(np.append(start, len(first)))
-    owner, spot = np.repeat(doc[start], count), np.repeat(place[start], count)
-    lost = most > owner
-    return _by_block(table, row[lost], [("hash", first[lost]), ("second", second[lost]), ("owner", owner[lost]), ("spot", spot[lost])])
+    owner, owner_spot = np.repeat(doc[start], count), np.repeat(spot[start], count)
+    lost = several | (doc > owner)
+    return _by_block(table, row[lost], [("hash", first[lost]), ("second", second[lost]), ("owner", owner[lost]), ("spot", owner_spot[lost])])
 
 
 def factors(owner: np.ndarray, spot: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -256,15 +290,14 @@ def factors(owner: np.ndarray, spot: np.ndarray, place: np.ndarray) -> list[tupl
     return list(zip(place[start].tolist(), words.tolist(), owner[start].tolist(), spot[start].tolist(), strict=True))
 
 
-def cut(text: str, removed: np.ndarray) -> str:
-    """The text without the removed words and the white space after each."""
-    data = text.encode()
-    starts = [m.start() for m in _WORD.finditer(data)] + [len(data)]
+def cut(data: bytes, starts: np.ndarray, removed: np.ndarray) -> str:
+    """The text without the removed words and the white space after each. ``starts``: where words start."""
+    starts = np.append(starts, len(data))
     edge = np.flatnonzero(np.diff(np.concatenate([[0], removed.astype(np.int8), [0]])))
     out, at = [], 0
     for a, b in edge.reshape(-1, 2).tolist():
         out.append(data[at : starts[a]])
-        at = starts[b]
+        at = int(starts[b])
     out.append(data[at:])
     return b"".join(out).decode()
 
@@ -278,8 +311,8 @@ def _factored(batches: Iterator[pa.RecordBatch], key: str, text: str, schema: pa
             removed = np.zeros(rows.num_rows, np.int64)
             texts = rows.column(text)
             if owned:
-                known = [np.concatenate([np.frombuffer(x[c], k) for x in owned]) for c, k in (("hash", np.uint64), ("second", np.uint64), ("owner", np.int64), ("spot", np.int32))]
-                order = np.argsort(known[0], kind="stable")  # the first halves of different windows differ but for one case in 2^64
+                known = [np.concatenate([np.frombuffer(x[c], k) for x in owned]) for c, k in (("hash", np.uint64), ("second", np.uint32), ("owner", np.int64), ("spot", np.uint32))]
+                order = np.argsort(known[0], kind="stable")  # different windows share the first part in one case of 2^64
                 hashes, second, owner, spot = (x[order] for x in known)
                 first, other = p.windows()
                 at = np.minimum(np.searchsorted(hashes, first), len(hashes) - 1)
@@ -296,7 +329,8 @@ def _factored(batches: Iterator[pa.RecordBatch], key: str, text: str, schema: pa
                 for d in np.flatnonzero(removed).tolist():
                     of = slice(cuts[d], cuts[d + 1])
                     spans[d] = factors(owner[at[of]], spot[at[of]], p.place[where[of]])
-                    new[d] = cut(new[d], covered[p.first[d] : p.first[d] + p.counts[d]])
+                    words = slice(p.first[d], p.first[d] + p.counts[d])
+                    new[d] = cut(p.data[p.offsets[d] : p.offsets[d + 1]].tobytes(), p.starts[words] - p.offsets[d], covered[words])
                 texts = pa.array(new, texts.type)
             arrays = [texts if f.name == text else rows.column(f.name) for f in rows.schema]
             kind = schema.field("spans").type
@@ -322,8 +356,8 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     seeds = blocks.mapInArrow(partial(_seed_entries, ranges=ranges, **named), "range bigint, block bigint, hash binary, several binary")
     shared = seeds.groupBy("range").applyInArrow(_shared_seeds, "block bigint, hash binary")
     shared = shared.groupBy("block").agg(F.collect_list("hash").alias("shared"))
-    windows = blocks.join(shared, "block").mapInArrow(
-        partial(_window_entries, ranges=ranges, **named), "range bigint, block bigint, hash binary, second binary, doc binary, most binary, place binary"
+    windows = blocks.join(shared, "block", "left").mapInArrow(  # left as below, so that one exchange of the blocks serves both
+        partial(_window_entries, ranges=ranges, **named), "range bigint, block bigint, hash binary, second binary, doc binary, spot binary"
     )
     owned = windows.groupBy("range").applyInArrow(_owned_windows, "block bigint, hash binary, second binary, owner binary, spot binary")
     owned = owned.groupBy("block").agg(F.collect_list(F.struct("hash", "second", "owner", "spot")).alias("owned"))
