@@ -129,19 +129,35 @@ def gram_counts(training: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 class Table:
-    """A sorted array of hashes with a row of values for each."""
+    """A sorted array of hashes with a row of values for each.
+
+    Hashes are uniform, so a directory by their leading bits leaves a search
+    no more than a few steps.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         hashes = mix64(keys)
         order = np.argsort(hashes)
-        self.hashes, self.values = hashes[order], np.ascontiguousarray(values[order])
+        self.size = len(keys)
+        self.hashes = np.append(hashes[order], np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.values = np.ascontiguousarray(values[order])
+        bits = max(4, self.size.bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.directory = np.searchsorted(self.hashes[:-1] >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row of each key, and whether it is there."""
         hashes = mix64(keys)
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        return at, self.hashes[at] == hashes
+        at = self.directory[(hashes >> self.shift).astype(np.int64)]
+        there = self.hashes[at]
+        low = np.flatnonzero(there < hashes)
+        while len(low):
+            at[low] += 1
+            there[low] = self.hashes[at[low]]
+            low = low[there[low] < hashes[low]]
+        found = (there == hashes) & (at < self.size)
+        at[at == self.size] = 0
+        return at, found
 
 
 class LanguageModel:
