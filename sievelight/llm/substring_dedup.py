@@ -45,9 +45,9 @@ from sievelight.llm._common import byte_lengths, free_names, mix64, plus, settle
 #: Fewest words of a duplicate span, and words of a seed in it.
 MIN_WORDS = 13
 SEED_WORDS = 5
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Blocks whose entries make up one hash range, on average.
-BLOCKS_A_RANGE = 8
+BLOCKS_A_RANGE = 16
 #: Blocks whose entries meet in one group before they are merged.
 FAN_IN = 4096
 
@@ -83,7 +83,7 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a hash's odd base and of its inverse modulo 2^64, at least ``n`` of each."""
     held = _POWERS.get(which)
     if held is None or len(held[0]) < n:
-        n = max(n, 2 * BLOCK_BYTES)
+        n = max(n, BLOCK_BYTES + BLOCK_BYTES // 4)
         base = BASES[which]
         held = _POWERS[which] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
     return held
