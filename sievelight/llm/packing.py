@@ -26,49 +26,152 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelight.llm._common import byte_lengths, settle, text_runs
+from sievelight.llm._common import byte_lengths, mix64, settle, text_runs
 
 CAPACITY = 1024
 END_ID = 2
-#: Chunks of text whose ids a worker remembers.
-MEMO = 1_000_000
-#: Byte-level pre-tokens never run from a character that is no white space into white space.
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: White space or separators where only the whole text is tokenised.
+#: Chunks of text whose ids a worker remembers (some 40 bytes each).
+MEMO = 1_200_000
+#: White space and separators, other than spaces and line ends, where a text is tokenised whole;
+#: and the bytes that all of them begin with.
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]")
+_ODD_BYTES = np.zeros(256, bool)
+_ODD_BYTES[[*range(10), *range(11, 32), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 10]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[*b".,;:!?|#$%&*"]] = True
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASES[0]))
+
+
+@lru_cache(4)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64."""
+    return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each piece of ``data``, of 64 and of 32 bits."""
+    out = []
+    size = 1 << max(21, int(len(data)).bit_length())
+    for base in _BASES:
+        powers, inverse = _powers(base, size)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * powers[: len(data)])])
+        out.append(mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(base)))
+    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+
+
+class Memo:
+    """A tokenizer that remembers the ids of chunks it has met.
+
+    Byte-level pre-tokens never run from a character that is no white space
+    into white space, nor from a letter into a plain mark, so texts are cut
+    there and each different chunk is tokenised once. Chunks are known by a
+    96-bit hash, kept in sorted arrays; when those are full, chunks not met
+    since the last time are dropped.
+    """
 
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.met = np.zeros(0, bool)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((i for x in lists for i in x), np.uint32, int(counts.sum())), counts
+
+    def _keep(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Remember new chunks; ``first`` is sorted and new."""
+        if len(self.first) + len(first) > MEMO:
+            use = self.met
+            take = np.repeat(self.at[use] - (np.cumsum(self.count[use]) - self.count[use]), self.count[use]) + np.arange(int(self.count[use].sum()))
+            self.ids = self.ids[take]
+            self.first, self.second, self.count = self.first[use], self.second[use], self.count[use]
+            self.at = np.cumsum(self.count) - self.count
+            self.met = np.zeros(len(self.first), bool)
+        if len(self.first) + len(first) > MEMO:
+            return
+        into = np.searchsorted(self.first, first)
+        self.at = np.insert(self.at, into, len(self.ids) + np.cumsum(counts) - counts)
+        self.first, self.second = np.insert(self.first, into, first), np.insert(self.second, into, second)
+        self.count, self.met = np.insert(self.count, into, counts), np.insert(self.met, into, False)
+        self.ids = np.concatenate([self.ids, ids])
+
+    def tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has; text i is ``data`` from offsets[i] to offsets[i + 1]."""
+        n = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        space, edge = _SPACE[data], np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        begin = edge[:-1].copy()
+        begin[1:] |= (space[1:] & ~space[:-1]) | (_MARK[data[1:]] & _LETTER[data[:-1]])
+        for i in self._whole(data, offsets):
+            begin[offsets[i] + 1 : offsets[i + 1]] = False
+        starts = np.flatnonzero(begin)
+        ends = np.append(starts[1:], len(data))
+        first, second = _hashes(data, starts, ends)
+        different, where, of = np.unique(first, return_index=True, return_inverse=True)
+        if (second[where][of] != second).any():  # two chunks of one hash: as good as never, and then not hashed
+            return self._encoded([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+        second = second[where]
+        spot = np.minimum(np.searchsorted(self.first, different), max(0, len(self.first) - 1))
+        known = (self.first[spot] == different) & (self.second[spot] == second) if len(self.first) else np.zeros(len(different), bool)
+        self.met[spot[known]] = True
+        new = np.flatnonzero(~known)
+        at, count = np.zeros(len(different), np.int64), np.zeros(len(different), np.int64)
+        at[known], count[known] = self.at[spot[known]], self.count[spot[known]]
+        made, counts = self._encoded([data[starts[k] : ends[k]].tobytes().decode() for k in where[new]])
+        pool = np.concatenate([self.ids, made])
+        at[new], count[new] = len(self.ids) + np.cumsum(counts) - counts, counts
+        each = count[of]
+        total = np.cumsum(each)
+        flat = pool[np.repeat(at[of] - (total - each), each) + np.arange(int(total[-1]))]
+        owner = np.searchsorted(offsets[1:], starts, side="right")
+        fresh = (self.first[spot[new]] != different[new]) if len(self.first) else np.ones(len(new), bool)
+        take = np.repeat(fresh, counts)
+        self._keep(different[new][fresh], second[new][fresh], made[take], counts[fresh])
+        return flat, np.bincount(owner, each, n).astype(np.int64)
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Texts that hold other white space than spaces and line ends, or an added token's string."""
+        odd = np.flatnonzero(_ODD_BYTES[data])
+        doubtful = set(np.unique(np.searchsorted(offsets[1:], odd, side="right")).tolist())
+        found = [i for i in doubtful if _ODD.search(data[offsets[i] : offsets[i + 1]].tobytes().decode())]
+        whole = data.tobytes()
+        for a in self.added:
+            at = whole.find(a)
+            while at >= 0:
+                found.append(int(np.searchsorted(offsets[1:], at, side="right")))
+                at = whole.find(a, at + 1)
+        return found
 
-@lru_cache(2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}, []
-
-
-def _ids(encodings) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in encodings]
 
+@lru_cache(2)
+def _memo(path: str) -> Memo:
+    return Memo(path)
 
-def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, without special tokens.
 
-    Words repeat, so each text is tokenised in chunks that no pre-token
-    crosses, and each different chunk once. Texts that hold other white space
-    than spaces and line ends, or an added token's string, are tokenised whole.
-    """
-    tokenizer, memo, added = _tokenizer(path)
-    if not added:
-        added.append([t.content for t in tokenizer.get_added_tokens_decoder().values()])
-    chunks = [None if _ODD.search(t or "") or any(a in (t or "") for a in added[0]) else _CHUNK.findall(t or "") for t in texts]
-    if len(memo) > MEMO:
-        memo.clear()
-    new = list({c for each in chunks if each for c in each if c not in memo})
-    memo.update(zip(new, _ids(tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-    whole = iter(_ids(tokenizer.encode_batch([t for t, c in zip(texts, chunks, strict=True) if c is None], add_special_tokens=False)))
-    return [next(whole) if c is None else b"".join([memo[x] for x in c]) for c in chunks]
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, without special tokens, and how many each text has; a null is an empty text."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = texts.buffers()[2]
+    data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)
+    return _memo(path).tokens(data, offsets - offsets[0])
 
 
 def _to_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -77,16 +180,19 @@ def _to_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_
         texts = batch.column("text")
         for start, stop in text_runs(byte_lengths(texts)):
             which, piece, first, ids = [], [], [], []
-            for i, data in enumerate(token_bytes(texts.slice(start, stop - start).to_pylist(), path), start):
-                data += end
-                total = len(data) // 4
-                a, b, n = 0, total % capacity or capacity, 0
-                while a < total:
+            flat, counts = token_ids(texts.slice(start, stop - start), path)
+            flat = flat.astype("<u4", copy=False)
+            at = 0
+            for i, n in enumerate(counts.tolist(), start):
+                data = flat[at : at + n].tobytes() + end
+                at += n
+                a, b, k = 0, (n + 1) % capacity or capacity, 0
+                while a <= n:
                     which.append(i)
-                    piece.append(n)
+                    piece.append(k)
                     first.append(a)
                     ids.append(data[4 * a : 4 * b])
-                    a, b, n = b, b + capacity, n + 1
+                    a, b, k = b, b + capacity, k + 1
             key = batch.column("key").take(pa.array(which, pa.int64()))
             length = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([key, pa.array(piece, pa.int32()), pa.array(first, pa.int64()), length, pa.array(ids, pa.binary())], names=["key", "piece", "start", "length", "ids"])
