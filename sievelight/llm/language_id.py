@@ -41,6 +41,8 @@ HELD = 4_000_000
 CALIBRATION_FOLD = 20
 #: Letters from which each band of lengths starts, the quantile of its documents, and the margin above it (texts that mix languages stay).
 BANDS, QUANTILE, MARGIN = (0, 64, 256, 1024, 4096), 0.999, 1.5
+#: Documents that calibrate a band at least; a limit is never lower than this many times the mean, and is that in bands with fewer.
+LEAST_BAND, LEAST_LIMIT = 20, 1.8
 UNKNOWN = "und"
 
 
@@ -283,13 +285,15 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang"):
         kept = training.where((fold == 0) & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
         seen = predicted(kept, first).where("lang_pred = lang").select("lang", "cross_entropy", "n_letters").persist()
         means = {r[0]: r[1] for r in seen.where(f"n_letters >= {BANDS[1]}").groupBy("lang").agg(F.avg("cross_entropy")).collect()}
-        model.means = np.array([means.get(x, np.inf) for x in langs])
-        mean = F.element_at(F.create_map(*(F.lit(x) for k, v in means.items() for x in (k, v))), F.col("lang")) if means else F.lit(None).cast("double")
-        band = F.lit(0)
-        for i, least in enumerate(BANDS):
-            band = F.when(F.col("n_letters") >= least, i).otherwise(band)
-        limits = seen.select(band.alias("band"), (F.col("cross_entropy") / mean).alias("x")).groupBy("band").agg(F.percentile_approx("x", QUANTILE, 10000).alias("x"), F.count("x").alias("n"))
-        model.limits = {r["band"]: r["x"] * MARGIN for r in limits.collect() if r["x"] is not None and r["n"] >= 20}
+        if means:
+            model.means = np.array([means.get(x, float(np.mean(list(means.values())))) for x in langs])
+            mean = F.element_at(F.create_map(*(F.lit(x) for k, v in means.items() for x in (k, v))), F.col("lang"))
+            band = F.lit(0)
+            for i, least in enumerate(BANDS):
+                band = F.when(F.col("n_letters") >= least, i).otherwise(band)
+            ratios = seen.select(band.alias("band"), (F.col("cross_entropy") / mean).alias("x")).groupBy("band")
+            found = {r["band"]: r["x"] for r in ratios.agg(F.percentile_approx("x", QUANTILE, 10000).alias("x"), F.count("x").alias("n")).collect() if r["n"] >= LEAST_BAND}
+            model.limits = {i: max(found.get(i, 0.0) * MARGIN, LEAST_LIMIT) for i in range(len(BANDS))}
         seen.unpersist()
         first.unpersist()
     return spark.sparkContext.broadcast(model)

@@ -156,15 +156,22 @@ def fit(judged: DataFrame, url: str) -> tuple[object, float]:
     """The broadcast model of rule-labelled rows, and the calibrated threshold.
 
     One fold of the different labelled URLs is kept for the calibration; the
-    counts take each URL as often as it occurs.
+    counts take each URL as often as it occurs. The threshold lies half way
+    between the lowest accepted and the highest rejected scores, but for
+    FALSE_REJECTS of either, and never rejects more accepted URLs than that.
     """
     spark = judged.sparkSession
     labelled = judged.where("verdict IS NOT NULL").select(F.col(url).alias("url"), (F.col("verdict") == "block").cast("int").alias("kind"))
     counts = labelled.where(fold_of("url") != HELD_OUT).mapInArrow(_count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     model = spark.sparkContext.broadcast(RatioModel(counts.column("key").to_numpy(), counts.column("n").to_numpy()))
-    held_out = _scored(labelled.where((F.col("kind") == 0) & (fold_of("url") == HELD_OUT)), "url", model)
-    threshold = held_out.agg(F.percentile_approx("score", FALSE_REJECTS, 10000)).first()[0]
-    return model, -np.inf if threshold is None or not model.value.usable else float(threshold)
+    scored = _scored(labelled.where(fold_of("url") == HELD_OUT), "url", model)
+    low, high = scored.agg(
+        F.percentile_approx(F.when(F.col("kind") == 0, F.col("score")), FALSE_REJECTS, 10000),
+        F.percentile_approx(F.when(F.col("kind") == 1, F.col("score")), 1 - FALSE_REJECTS, 10000),
+    ).first()
+    if low is None or not model.value.usable:
+        return model, -np.inf
+    return model, low if high is None else min(low, (low + high) / 2)
 
 
 def fold_of(url: str) -> Column:

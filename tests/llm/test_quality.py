@@ -1,0 +1,93 @@
+import os
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from sievelight.llm import quality_model, quality_rules
+
+
+def text(rng, n=120):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) + (". " if rng.random() < 0.1 else "") for _ in range(n))
+
+
+def brute_counts(t):
+    t = t or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+def test_base_counts_equal_brute_force():
+    rng = random.Random(1)
+    texts = [None, "", " ", "a", "a b c a b c", "x\n\nx\n \nx", "\x1c \x85\xa0 é|é\u2028é é|é\u2028é", "a b c d " * 40, "\n".join(["l1 x", "l2", "l1 x", "  ", "l2 "])]
+    texts += ["".join(rng.choice("ab \n\t#é") for _ in range(rng.randint(0, 200))) for _ in range(200)]
+    for t in texts:
+        assert quality_rules.base_counts(t) == brute_counts(t), repr(t)
+
+
+def test_bands(spark):
+    rng = random.Random(2)
+    import base64
+
+    noise = base64.b64encode(rng.randbytes(3000)).decode()
+    rows = [
+        (1, "good", text(rng, 900)),
+        (2, "repeated", "the same line of text once more " * 200),
+        (3, "noise", " ".join(noise[i : i + 7] for i in range(0, 4000, 7))),
+        (4, "short", text(rng, 60)),
+        (5, "empty", ""),
+        (6, "null", None),
+        (7, "half", text(rng, 1500) + " zz qq" * 3000),
+    ]
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id int, n_words string, text string"))
+    got = {r["input_n_words"]: (r["kept"], r["verdict"]) for r in out.collect()}
+    assert got["good"] == (True, "ok") and got["short"] == (True, "ok")
+    assert got["repeated"] == (False, "repetitive") and got["half"][1] == "repetitive"
+    assert got["noise"] == (False, "incompressible")
+    assert got["empty"] == (False, "ok") and got["null"] == (False, "ok")
+    assert quality_rules.quality_rules(out.limit(0).select("text")).count() == 0
+
+
+def test_label_model_finds_the_better_labellers():
+    rng = np.random.default_rng(3)
+    truth = rng.random(20000) < 0.7
+    accuracy = [0.95, 0.9, 0.85, 0.7, 0.6]
+    votes = np.stack([np.where(rng.random(len(truth)) < 0.3, quality_model.NONE, np.where(rng.random(len(truth)) < a, truth, ~truth)) for a in accuracy], axis=1)
+    patterns, of, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    posterior, tables, share = quality_model.label_model(patterns, counts.astype(float))
+    assert abs(share - 0.7) < 0.05
+    found = [(tables[0, k, 0] + tables[1, k, 1]) / 2 for k in range(5)]
+    assert np.allclose(found, accuracy, atol=0.05)
+    assert ((posterior[of] > 0.5) == truth).mean() > 0.93
+
+
+def test_classifier_keeps_clean_documents(spark):
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    out = quality_model.classify(docs).join(labels, "doc_id").select("quality", "kept").toPandas()
+    assert out[out.quality == 1].kept.mean() > 0.97
+    assert out[out.quality == 0].kept.mean() < 0.1
+
+
+def test_classifier_cases(spark):
+    rng = random.Random(4)
+    rows = [(k, text(rng), "x") for k in range(60)] + [(k, "### $$$ |||| " * 30, "x") for k in range(60, 80)] + [(90, None, None), (91, "", ""), (0, rows0 := text(rng), "x"), (0, rows0, "x")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, KEPT string")
+    out = quality_model.classify(df)
+    got = out.collect()
+    assert len(got) == len(rows) and "input_KEPT" in out.columns
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert not kept[90] and not kept[91] and not any(kept[k] for k in range(60, 80)) and all(kept[k] for k in range(60))
+    assert quality_model.classify(df.limit(0)).count() == 0
