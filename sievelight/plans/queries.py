@@ -17,6 +17,7 @@ from sievelight.functions.patterns import BUILT_IN, EXCLUDED_TOKEN, KNOWN_EXAMPL
 from sievelight.operators import findings as ops
 from sievelight.operators import statistics as stats
 from sievelight.plans import state
+from sievelight.sources.tables import table
 
 #: Planted value of each pattern; {h}, {i} and {j} are hex hashes. Valid in Spark SQL and DuckDB.
 PLANTED = {
@@ -70,7 +71,7 @@ def _planted_sql(duck: bool) -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +320,7 @@ _TALKS = f"talks AS (SELECT conv_id, turn, role, {_TALK.format(s='VARCHAR')} AS
 
 
 def _talks(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("text", F.expr(_TALK.format(s="STRING")))
+    return table(spark, sf_dir, "conversations").withColumn("text", F.expr(_TALK.format(s="STRING")))
 
 
 def conversation_lines(spark, sf_dir) -> DataFrame:
