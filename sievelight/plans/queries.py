@@ -70,8 +70,8 @@ def _planted_sql(duck: bool) -> str:
     return f"text || ' é ' || {value} || ' mid — ' || {value} || ' end'"
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+def _documents(spark: SparkSession, sf_dir: str, heavy: bool = True) -> DataFrame:
+    return table(spark, sf_dir, "documents", heavy)
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +275,7 @@ _BLOCKED = ("the and at", "nd and the", "of the the")
 def blocklist_substring(spark, sf_dir):
     """Hits of blocked strings, before overlapping ones are joined."""
     text = F.col("text")
-    rows = _documents(spark, sf_dir).where(detect.blocked(text, Settings(block_strings=_BLOCKED)))
+    rows = _documents(spark, sf_dir, heavy=False).where(detect.blocked(text, Settings(block_strings=_BLOCKED)))
     count = sum((F.size(F.regexp_extract_all(text, F.lit(b), F.lit(0))) for b in _BLOCKED), F.lit(0))
     return rows.select("doc_id", count.alias("hits"), text.contains(_BLOCKED[0]).alias("has_first"))
 
@@ -283,7 +283,7 @@ def blocklist_substring(spark, sf_dir):
 @query("SELECT d.doc_id FROM documents d WHERE sha256(d.text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 7 = 0)")
 def blocklist_hash_semi(spark, sf_dir):
     """Whole values whose hash is blocked, as a semi join with a list of any size."""
-    docs = _documents(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("hash"))
+    docs = _documents(spark, sf_dir, heavy=False).select("doc_id", F.sha2("text", 256).alias("hash"))
     block = docs.where("doc_id % 7 = 0").select("hash")
     return docs.join(block, "hash", "left_semi").select("doc_id")
 
@@ -520,7 +520,7 @@ def relative_times(spark, sf_dir):
 def coverage(spark, sf_dir):
     """Texts, bytes and line ends of each source."""
     text = F.col("text")
-    return _documents(spark, sf_dir).groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length(text)).cast("long").alias("bytes"), F.sum(display.count_lines(text)).cast("long").alias("line_ends"))
+    return _documents(spark, sf_dir, heavy=False).groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length(text)).cast("long").alias("bytes"), F.sum(display.count_lines(text)).cast("long").alias("line_ends"))
 
 
 @query(
