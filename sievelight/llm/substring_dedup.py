@@ -227,18 +227,66 @@ def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], new]))
 
 
+def _shared(hashes: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values of sorted ``hashes``' starts, and which of them stand more than once or are marked."""
+    start = _starts(hashes)
+    if not len(start):
+        return start, np.zeros(0, bool)
+    return start, (np.diff(np.append(start, len(hashes))) > 1) | (np.maximum.reduceat(several, start) > 0)
+
+
 def _shared_seeds(table: pa.Table) -> pa.Table:
     """Tell each block which of its seeds several documents have."""
     hashes, row = _column(table, "hash", np.uint64)
     several, _ = _column(table, "several", np.uint8)
     order = np.argsort(hashes, kind="stable")
     hashes, row, several = hashes[order], row[order], several[order]
-    start = _starts(hashes)
-    count = np.diff(np.append(start, len(hashes)))
-    shared = np.repeat((count > 1) | (np.maximum.reduceat(several, start) > 0), count)
+    start, many = _shared(hashes, several)
+    shared = np.repeat(many, np.diff(np.append(start, len(hashes))))
     return _by_block(table, row[shared], [("hash", hashes[shared])])
 
 
+def _one_row(table: pa.Table, columns: list[tuple[str, np.ndarray]]) -> pa.Table:
+    out = {c: table.column(c).slice(0, 1) for c in ("range", "lot")}
+    return pa.table(out | {name: pa.array([x.tobytes()], pa.binary()) for name, x in columns})
+
+
+def _seeds_of_lot(table: pa.Table) -> pa.Table:
+    """A lot's different seeds in one row."""
+    hashes, _ = _column(table, "hash", np.uint64)
+    several, _ = _column(table, "several", np.uint8)
+    order = np.argsort(hashes, kind="stable")
+    hashes, several = hashes[order], several[order]
+    start, many = _shared(hashes, several)
+    return _one_row(table, [("hash", hashes[start]), ("several", many.astype(np.uint8))])
+
+
+def _by_lot(table: pa.Table, row: np.ndarray, columns: list[tuple[str, np.ndarray]]) -> pa.Table:
+    """Answers for the lots, each with its range."""
+    named = table.rename_columns(["block" if c == "lot" else c for c in table.column_names])
+    out = _by_block(named, row, columns)
+    return pa.table({"range": pa.array(np.full(out.num_rows, table.column("range")[0].as_py()), pa.int64()), "lot": out.column("block")} | {name: out.column(name) for name, _ in columns})
+
+
+def _seeds_over_lots(table: pa.Table) -> pa.Table:
+    """Tell each lot which of its seeds several documents have."""
+    hashes, row = _column(table, "hash", np.uint64)
+    several, _ = _column(table, "several", np.uint8)
+    order = np.argsort(hashes, kind="stable")
+    hashes, row, several = hashes[order], row[order], several[order]
+    start, many = _shared(hashes, several)
+    shared = np.repeat(many, np.diff(np.append(start, len(hashes))))
+    return _by_lot(table, row[shared], [("hash", hashes[shared])])
+
+
+def _seeds_to_blocks(entries: pa.Table, shared: pa.Table) -> pa.Table:
+    """Pass a lot's answer on to its blocks."""
+    hashes, row = _column(entries, "hash", np.uint64)
+    known = np.unique(_column(shared, "hash", np.uint64)[0])
+    take = np.isin(hashes, known)
+    return _by_block(entries, row[take], [("hash", hashes[take])])
+
+
 def _window_entries(batches: Iterator[pa.RecordBatch], key: str, text: str, ranges: int) -> Iterator[pa.RecordBatch]:
     """Different windows of a block under shared seeds, each with its smallest document and place."""
     for batch in batches:
@@ -262,20 +310,72 @@ def _window_entries(batches: Iterator[pa.RecordBatch], key: str, text: str, rang
             yield _emit(block, ranges, [("hash", first[start]), ("second", second[start]), ("doc", doc[start]), ("spot", spot)])
 
 
-def _owned_windows(table: pa.Table) -> pa.Table:
-    """Tell each block which of its windows a document smaller than one of its own has."""
+def _windows(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Sorted window entries: first and second part, row, document, place, whether several documents stand behind it."""
     first, row = _column(table, "hash", np.uint64)
     second, doc, spot = (_column(table, c, k)[0] for c, k in (("second", np.uint32), ("doc", np.int64), ("spot", np.uint32)))
     several, spot = spot >> np.uint32(31) > 0, spot & np.uint32(0x7FFFFFFF)
     order = np.lexsort((spot, doc, second, first))
-    first, row, second, doc, spot, several = (x[order] for x in (first, row, second, doc, spot, several))
+    return tuple(x[order] for x in (first, second, row, doc, spot, several))
+
+
+def _owners(first: np.ndarray, second: np.ndarray, *of_start: np.ndarray) -> list[np.ndarray]:
+    """For each entry, the values of its window's first entry, which is the owner's."""
     start = _starts(first, second)
     count = np.diff(np.append(start, len(first)))
-    owner, owner_spot = np.repeat(doc[start], count), np.repeat(spot[start], count)
+    return [np.repeat(x[start], count) for x in of_start]
+
+
+def _owned_windows(table: pa.Table) -> pa.Table:
+    """Tell each block which of its windows a document smaller than one of its own has."""
+    first, second, row, doc, spot, several = _windows(table)
+    owner, owner_spot = _owners(first, second, doc, spot)
     lost = several | (doc > owner)
     return _by_block(table, row[lost], [("hash", first[lost]), ("second", second[lost]), ("owner", owner[lost]), ("spot", owner_spot[lost])])
 
 
+def _windows_of_lot(table: pa.Table) -> pa.Table:
+    """A lot's different windows in one row, each with its smallest document."""
+    first, second, _, doc, spot, _ = _windows(table)
+    start = _starts(first, second)
+    return _one_row(table, [("hash", first[start]), ("second", second[start]), ("doc", doc[start]), ("spot", spot[start])])
+
+
+def _windows_over_lots(table: pa.Table) -> pa.Table:
+    """Tell each lot the owner of each of its windows."""
+    first, second, row, doc, spot, _ = _windows(table)
+    owner, owner_spot = _owners(first, second, doc, spot)
+    return _by_lot(table, row, [("hash", first), ("second", second), ("doc", owner), ("spot", owner_spot)])
+
+
+def _windows_to_blocks(entries: pa.Table, owners: pa.Table) -> pa.Table:
+    """Tell each block which of its windows a document smaller than one of its own has."""
+    first, second, row, doc, spot, several = _windows(entries)
+    start = _starts(first, second)
+    count = np.diff(np.append(start, len(first)))
+    # Both sides hold the same different windows, in the same order once sorted.
+    known, known_second, _, known_doc, known_spot, _ = _windows(owners)
+    assert (known == first[start]).all() and (known_second == second[start]).all()
+    owner, owner_spot = np.repeat(known_doc, count), np.repeat(known_spot, count)
+    lost = several | (doc > owner)
+    return _by_block(entries, row[lost], [("hash", first[lost]), ("second", second[lost]), ("owner", owner[lost]), ("spot", owner_spot[lost])])
+
+
+def _exchanged(entries: DataFrame, lots: int, direct, of_lot, over_lots, to_blocks, fields: str, between: str, answers: str) -> DataFrame:
+    """Answers for the blocks from entries by hash range.
+
+    One group a range where the blocks are few. Else the blocks of a range are
+    dealt to lots of about FAN_IN; each lot is merged to its different hashes,
+    the lots of a range are merged, and the answers go back the same way.
+    """
+    if lots == 1:
+        return entries.groupBy("range").applyInArrow(direct, answers)
+    dealt = entries.withColumn("lot", F.pmod(F.xxhash64("block"), F.lit(lots)).cast("bigint"))
+    merged = dealt.groupBy("range", "lot").applyInArrow(of_lot, f"range bigint, lot bigint, {fields}")
+    decided = merged.groupBy("range").applyInArrow(over_lots, f"range bigint, lot bigint, {between}")
+    return dealt.groupBy("range", "lot").cogroup(decided.groupBy("range", "lot")).applyInArrow(to_blocks, answers)
+
+
 def factors(owner: np.ndarray, spot: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Greedy factors (start, words, owner, owner's start) of one document.
 
@@ -351,15 +451,19 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     docs = free_names(docs, ["n_words", "n_removed", "spans"])
     schema = plus(docs, SPANS)
     blocks = settle(docs.mapInArrow(partial(_to_blocks, text=text), "block bigint, packed binary"))
-    ranges = max(1, blocks.count() // BLOCKS_A_RANGE)
+    n = blocks.count()
+    ranges, lots = max(1, n // BLOCKS_A_RANGE), -(-n // FAN_IN) or 1
     named = {"key": key, "text": text}
     seeds = blocks.mapInArrow(partial(_seed_entries, ranges=ranges, **named), "range bigint, block bigint, hash binary, several binary")
-    shared = seeds.groupBy("range").applyInArrow(_shared_seeds, "block bigint, hash binary")
+    shared = _exchanged(
+        seeds, lots, _shared_seeds, _seeds_of_lot, _seeds_over_lots, _seeds_to_blocks, "hash binary, several binary", "hash binary", "block bigint, hash binary"
+    )
     shared = shared.groupBy("block").agg(F.collect_list("hash").alias("shared"))
     windows = blocks.join(shared, "block", "left").mapInArrow(  # left as below, so that one exchange of the blocks serves both
         partial(_window_entries, ranges=ranges, **named), "range bigint, block bigint, hash binary, second binary, doc binary, spot binary"
     )
-    owned = windows.groupBy("range").applyInArrow(_owned_windows, "block bigint, hash binary, second binary, owner binary, spot binary")
+    fields, answers = "hash binary, second binary, doc binary, spot binary", "block bigint, hash binary, second binary, owner binary, spot binary"
+    owned = _exchanged(windows, lots, _owned_windows, _windows_of_lot, _windows_over_lots, _windows_to_blocks, fields, fields, answers)
     owned = owned.groupBy("block").agg(F.collect_list(F.struct("hash", "second", "owner", "spot")).alias("owned"))
     kind = StructType.fromDDL(SPANS)
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -76,7 +76,10 @@ def test_equals_brute_force(spark, monkeypatch, seed):
         assert covered == gone
 
 
-def test_many_small_blocks_and_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("fan_in", [sd.FAN_IN, 3])
+def test_many_small_blocks_and_ranges(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(sd, "FAN_IN", fan_in)
+    monkeypatch.setattr(sd, "BLOCKS_A_RANGE", 4)
     rows = corpus(random.Random(9))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(16)
     out = sd.dedup_substrings(df)
