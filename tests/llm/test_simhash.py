@@ -67,14 +67,18 @@ def near(rng, n):
     return [*out, 0, 1, (1 << 64) - 1, (1 << 64) - 2]
 
 
-@pytest.mark.parametrize(("rows", "tile"), [(1 << 17, 256), (64, 16)])
-def test_components_equal_brute_force(spark, monkeypatch, rows, tile):
-    monkeypatch.setattr(simhash, "GROUP_ROWS", rows)
-    monkeypatch.setattr(simhash, "TILE", tile)
-    prints = sorted(set(near(random.Random(3), 250)))
-    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in prints], "fingerprint_bits bigint")
-    links = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.fingerprint_links(df).collect()]
-    assert all((a ^ b) == 0 or True for a, b in links)
+@pytest.mark.parametrize("words", [1, 3])
+@pytest.mark.parametrize("rows", [1 << 18, 64])
+def test_components_equal_brute_force(spark, monkeypatch, rows, words):
+    monkeypatch.setattr(simhash, "MAX_GROUP_ROWS", rows)
+    radius = 4 if words == 1 else 40
+    rng = random.Random(3)
+    prints = sorted(set(near(rng, 250)))
+    if words > 1:
+        prints = sorted({p << 128 | rng.getrandbits(128) for p in prints} | {p << 128 | 5 for p in prints})
+    size = 8 * words
+    df = spark.createDataFrame([(bytearray(x.to_bytes(size, "big")), x.bit_count()) for x in prints], "print binary, population int")
+    links = [(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in simhash.fingerprint_links(df, radius, words).collect()]
     at = {x: k for k, x in enumerate(prints)}
     root = list(range(len(prints)))
 
@@ -86,15 +90,32 @@ def test_components_equal_brute_force(spark, monkeypatch, rows, tile):
     for a, b in links:
         x, y = find(at[a]), find(at[b])
         root[max(x, y)] = min(x, y)
-    assert [find(k) for k in range(len(prints))] == brute_components(prints, 4)
-
-
-def test_tiles_are_skipped_only_when_apart():
-    bits = np.array(sorted(near(random.Random(5), 300)), np.uint64)
-    a, b = bits[::2], bits[1::2]
-    pairs = simhash.linked(np.sort(a), np.sort(b), 4)
-    linked = {(int(x), int(y)) for x, y in pairs}
-    assert linked and len(linked) < len(bits)
+    assert [find(k) for k in range(len(prints))] == brute_components(prints, radius)
+
+
+def test_a_forest_not_all_pairs():
+    dense = np.array([[1 << b] for b in range(60)] + [[0]], np.uint64)
+    assert len(simhash.linked(dense, None, 4)) == 60
+    assert len(simhash.linked(dense[:30], dense[30:], 4)) == 60
+
+
+def test_near_copies_by_similarity(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, expected = [], {}
+    for k in range(120):
+        w = fresh(rng.randint(100, 400))
+        v = list(w)
+        for at in rng.sample(range(len(v)), max(1, len(v) // (60 if k % 2 else 8))):
+            v[at] = fresh(1)[0]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        expected[2 * k + 1] = jaccard(shingles(w), shingles(v))
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(2 * k in kept for k in range(120))
+    assert all(d not in kept for d, j in expected.items() if j >= 0.83)
+    assert all(d in kept for d, j in expected.items() if j < 0.5)
 
 
 def test_star_steps(spark):
@@ -145,5 +166,5 @@ def test_one_of_each_group_stays(spark):
     rows = documents()
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = [r["doc_id"] for r in simhash.keep_first(df).collect()]
-    least = {r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    least = {r["component_id"] for r in simhash.near_duplicates(df, **simhash.NEAR).collect()}
     assert sorted(k for k in kept if k is not None) == sorted(least) and kept.count(None) == 1
