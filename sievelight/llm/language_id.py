@@ -36,7 +36,9 @@ ORDER = 5
 BITS = 12
 MAX_GRAMS = 8_000_000
 #: Grams a task holds before it merges equal ones.
-HELD = 4_000_000
+HELD = 1_000_000
+#: Bytes of text that are turned into grams at a time; each takes some hundred bytes of arrays.
+STEP_BYTES = 1 << 19
 #: One of so many training documents calibrates the rejection.
 CALIBRATION_FOLD = 20
 #: Letters from which each band of lengths starts, the quantile of its documents, and the margin above it (texts that mix languages stay).
@@ -106,7 +108,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         texts, langs = batch.column("text"), batch.column("lang").to_pylist()
-        for start, stop in text_runs(byte_lengths(texts)):
+        for start, stop in text_runs(byte_lengths(texts), STEP_BYTES):
             grams, owner, _ = stream(texts.slice(start, stop - start).to_pylist())
             names, of = np.unique(np.array(langs[start:stop], dtype=object), return_inverse=True)
             of = of[owner]
@@ -258,7 +260,7 @@ def _predict(batches: Iterator[pa.RecordBatch], text: str, model) -> Iterator[pa
     names = [x.split()[0] for x in OWN.split(", ")]
     for batch in batches:
         texts = batch.column(text)
-        for start, stop in text_runs(byte_lengths(texts)):
+        for start, stop in text_runs(byte_lengths(texts), STEP_BYTES):
             part = batch.slice(start, stop - start)
             rows = model.value.predict(texts.slice(start, stop - start).to_pylist())
             own = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
