@@ -200,7 +200,7 @@ def _seed_entries(batches: Iterator[pa.RecordBatch], key: str, text: str, ranges
 def _column(table: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
     """A packed column's values of all rows, and the row of each."""
     parts = [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    return np.concatenate([np.zeros(0, kind), *parts]), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
 
 
 def _by_block(table: pa.Table, row: np.ndarray, columns: list[tuple[str, np.ndarray]]) -> pa.Table:
@@ -208,7 +208,7 @@ def _by_block(table: pa.Table, row: np.ndarray, columns: list[tuple[str, np.ndar
     order = np.argsort(row, kind="stable")
     row = row[order]
     start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-    ends = np.append(start[1:], len(row))
+    ends = np.append(start[1:], len(row))[: len(start)]
     blocks = table.column("block").to_numpy()
     out = {"block": pa.array(blocks[row[start]], pa.int64())}
     for name, values in columns:

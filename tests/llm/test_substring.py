@@ -104,3 +104,9 @@ def test_digest(spark):
     rows = [(1, "a  b\tc"), (2, None)]
     got = {r["doc_id"]: r for r in sd.op6_query(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[1]["kept_sha256"] == hashlib.sha256(b"a b c").hexdigest() and got[2]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_nothing_repeats(spark):
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(40))) for k in range(20)]
+    out = sd.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(out) == 20 and not any(r["n_removed"] or r["spans"] for r in out)
