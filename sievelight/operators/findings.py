@@ -37,12 +37,20 @@ def candidate(line: Column, settings: Settings) -> Column:
     return F.lit(True) if settings.block_hashes else tests
 
 
+def _safe(scrubber, line: str) -> tuple[str, list, str]:
+    """A line that can't be scrubbed stays and is marked, so that it never ends a job."""
+    try:
+        return scrubber.scrub_line(line)
+    except Exception:  # whatever a line does, the others must be scrubbed
+        return line, [], "error"
+
+
 def _scrub(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
     from sievelight.functions.kernel import Scrubber
 
     scrubber = Scrubber(settings)
     for batch in batches:
-        rows = [scrubber.scrub_line(line) for line in batch.column("line").to_pylist()]
+        rows = [_safe(scrubber, line) for line in batch.column("line").to_pylist()]
         found = [[dict(zip(("pattern_name", "start", "end", "matched_text"), r, strict=True)) for r in x[1]] for x in rows]
         own = [pa.array([x[0] for x in rows], pa.string()), pa.array(found, KINDS), pa.array([x[2] for x in rows], pa.string())]
         yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "new_line", "redactions", "status"])
@@ -51,7 +59,7 @@ def _scrub(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa
 def scrub_lines(lines: DataFrame, settings: Settings) -> DataFrame:
     """All columns of ``lines`` with new_line, redactions and status.
 
-    Statuses: blank, skipped, clean, malformed, redacted; a null line is blank.
+    Statuses: blank, skipped, clean, malformed, redacted, error; a null line is blank.
     Lines that can't change keep to native expressions; only candidates are
     sent to Python, in Arrow batches. Nothing is shuffled.
     """
@@ -90,12 +98,13 @@ def count_by_pattern(found: DataFrame) -> DataFrame:
 
 
 def file_results(scrubbed: DataFrame, file: str = "file") -> DataFrame:
-    """One row a file: lines, lines_modified, redactions, malformed."""
+    """One row a file: lines, lines_modified, redactions, malformed, errors."""
     return scrubbed.groupBy(file).agg(
         F.count("*").alias("lines"),
         F.count_if(F.col("status") == "redacted").alias("lines_modified"),
         F.coalesce(F.sum(F.size("redactions")), F.lit(0)).cast("long").alias("redactions"),
         F.count_if(F.col("status") == "malformed").alias("malformed"),
+        F.count_if(F.col("status") == "error").alias("errors"),
     )
 
 

@@ -56,6 +56,7 @@ def scan(spark: SparkSession, root: str, settings: Settings, state: str | None =
     found = findings(scrubbed, "file", "line_number")
     files = file_results(scrubbed)
     counts = {r["pattern_name"]: r["count"] for r in count_by_pattern(found).collect()}  # a row for each pattern
+    failed = [r["file"] for r in files.where("errors > 0").select("file").toLocalIterator()]
     changed = files.where("redactions > 0").count()
     if fix and changed:
         write_in_place(rewritten(scrubbed))
@@ -64,7 +65,7 @@ def scan(spark: SparkSession, root: str, settings: Settings, state: str | None =
         "files_scanned": scanned,
         "files_modified": changed,
         "total_redactions": sum(counts.values()),
-        "errors": 0,
+        "errors": len(failed),
         "duration_ms": int((time.time() - began) * 1000),
         "dry_run": not fix,
         "files_cached": total - scanned,
@@ -72,9 +73,10 @@ def scan(spark: SparkSession, root: str, settings: Settings, state: str | None =
     }
     if state:
         if fix:
-            names = [r[0] for r in wanted.select("path").toLocalIterator()]
+            # Sizes have changed since ``wanted`` was read; its paths are persisted, and files that failed stay out.
             now = discover(spark, root)
-            done = now.join(spark.createDataFrame([(n,) for n in names], "path string"), "path", "left_semi")
+            broken = spark.createDataFrame([(f,) for f in failed], "path string")
+            done = now.join(wanted.select("path"), "path", "left_semi").join(broken, "path", "left_anti")
             manifest.write(refreshed(manifest.read(), done, now, mark))
         StateTable(spark, state, "scan_runs", SCAN_RUNS).append(spark.createDataFrame([tuple(summary.values())], SCAN_RUNS))
     wanted.unpersist()
@@ -84,7 +86,7 @@ def scan(spark: SparkSession, root: str, settings: Settings, state: str | None =
 def scrub_session(spark: SparkSession, transcript: str, root: str, settings: Settings, state: str, active: bool = False) -> DataFrame | None:
     """Scrub what a transcript and its sub-files have gained since the last call, in place.
 
-    Returns (file, lines, lines_modified, redactions, malformed), or nothing if
+    Returns (file, lines, lines_modified, redactions, malformed, errors), or nothing if
     ``active`` says that a run of the same session is still at work.
     """
     if active:
