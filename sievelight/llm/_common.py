@@ -36,6 +36,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by Spark and by Python.
+BATCH_ROWS = 1000
+
+
+def mapped(df: DataFrame, function, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most BATCH_ROWS rows, which is set on the session if it allows more."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet and read it again."""
     df.write.parquet(path)
@@ -104,5 +116,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Odd bases of two polynomial hashes modulo 2^64.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def piece_hash(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: int, solid: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each piece of ``data``: of its bytes by their place in it, and of its length.
+
+    A piece ends where the next one starts; with ``solid``, bytes outside it don't count.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    base = BASES[which]
+    values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[0]))[data[starts[0] :]]
+    if solid is not None:
+        values[~solid[starts[0] :]] = 0
+    begins = starts - starts[0]
+    place = np.arange(len(values), dtype=np.int32) - np.repeat(begins.astype(np.int32), np.diff(np.append(begins, len(values))))
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(place.max()), base, np.uint64)]))
+    values *= powers[place]
+    return mix64(np.add.reduceat(values, begins) + lengths.astype(np.uint64) * np.uint64(BASES[1 - which]))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

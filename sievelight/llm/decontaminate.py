@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm._common import settle
+from sievelight.llm._common import mapped, settle
 
 #: Edits allowed for each character of an item, and the length from which any are.
 ERROR_RATE = 0.08
@@ -183,7 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         if last is not None:  # settled, so that no more than one block's automaton is needed at a time
             last = settle(last)
             out = last if out is None else out.union(last)
-        last = narrow.mapInArrow(partial(_search, items=spark.sparkContext.broadcast(block)), schema)
+        last = mapped(narrow, partial(_search, items=spark.sparkContext.broadcast(block)), schema)
     if last is None:
         return spark.createDataFrame([], schema).withColumnRenamed("key", key)
     return (last if out is None else out.union(last)).withColumnRenamed("key", key)

@@ -21,7 +21,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sievelight.llm._common import free_names, plus
+from sievelight.llm._common import free_names, mapped, plus
 
 MAX_DEPTH = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -317,7 +317,7 @@ def _extract(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Reco
 def extract_html(pages: DataFrame, column: str = "html") -> DataFrame:
     """All columns of ``pages`` with extracted_text and title. No shuffle."""
     pages = free_names(pages, ["extracted_text", "title"])
-    return pages.mapInArrow(partial(_extract, column=column), plus(pages, "extracted_text string, title string"))
+    return mapped(pages, partial(_extract, column=column), plus(pages, "extracted_text string, title string"))
 
 
 def op1_query(pages: DataFrame) -> DataFrame:

@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm._common import byte_lengths, free_names, mix64, plus, text_runs
+from sievelight.llm._common import byte_lengths, free_names, mapped, mix64, plus, settle, text_runs
 
 ORDER = 5
 BITS = 12
 MAX_GRAMS = 8_000_000
+#: Hash ranges over which grams are summed, at least; counts beyond MOST_COUNT are alike when the rarest are sought.
+LEAST_RANGES, MOST_COUNT = 32, 10_000
 #: Grams a task holds before it merges equal ones.
 HELD = 1_000_000
 #: Bytes of text that are turned into grams at a time; each takes some hundred bytes of arrays.
@@ -92,7 +94,18 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[start], np.add.reduceat(counts, start)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_range(lang: str | None, keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """A language's grams in packed rows, one for each hash range."""
+    of = (((mix64(keys) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    of, keys, counts = of[order], keys[order], counts[order]
+    start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    ends = np.append(start[1:], len(of))[: len(start)]
+    packed = [pa.array([x[a:b].tobytes() for a, b in zip(start.tolist(), ends.tolist(), strict=True)], pa.binary()) for x in (keys, counts)]
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(start), pa.string()), pa.array(of[start]), *packed], names=["lang", "range", "grams", "counts"])
+
+
+def _count(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     size = 0
 
@@ -103,7 +116,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flushed() -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
             for keys, counts in parts:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
+                yield _by_range(lang, keys, counts, ranges)
         held.clear()
 
     for batch in batches:
@@ -126,10 +139,53 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flushed()
 
 
+def _sum(table: pa.Table) -> pa.Table:
+    """One range of a language: equal grams of all tasks summed."""
+    keys, counts = (np.concatenate([np.frombuffer(x, k) for x in table.column(c).to_pylist()]) for c, k in (("grams", np.uint64), ("counts", np.int64)))
+    keys, counts = _summed(keys, counts)
+    out = table.select(["lang", "range"]).slice(0, 1)
+    return out.append_column("grams", pa.array([keys.tobytes()], pa.binary())).append_column("counts", pa.array([counts.tobytes()], pa.binary()))
+
+
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column("counts").to_pylist():
+            n, of = np.unique(np.minimum(np.frombuffer(x, np.int64), MOST_COUNT), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(of)], names=["n", "grams"])
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for g, c in zip(batch.column("grams").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            counts = np.frombuffer(c, np.int64)
+            rows.append((np.frombuffer(g, np.uint64)[counts >= least].tobytes(), counts[counts >= least].tobytes()))
+        packed = [pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("range"), *packed], names=["lang", "range", "grams", "counts"])
+
+
+PACKED = "lang string, range bigint, grams binary, counts binary"
+
+
 def gram_counts(training: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, gram, n) over all rows of ``training`` with a language."""
+    """(lang, range, grams, counts) over all rows of ``training`` with a language: packed grams and how often each occurs.
+
+    Past MAX_GRAMS the rarest are left out: those under the least count that
+    leaves no more.
+    """
     rows = training.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return rows.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    ranges = max(LEAST_RANGES, int(training.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    counted = settle(mapped(rows, partial(_count, ranges=ranges), PACKED).groupBy("lang", "range").applyInArrow(_sum, PACKED))
+    total = counted.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
+    if total // 8 <= MAX_GRAMS:
+        return counted
+    found = mapped(counted, _histogram, "n bigint, grams bigint").groupBy("n").agg(F.sum("grams")).collect()  # MOST_COUNT rows at most
+    least, kept = MOST_COUNT + 1, 0
+    for n, grams in sorted(found, reverse=True):
+        if kept + grams > MAX_GRAMS:
+            break
+        least, kept = n, kept + grams
+    return mapped(counted, partial(_frequent, least=least), PACKED)
 
 
 class Table:
@@ -270,18 +326,19 @@ def _predict(batches: Iterator[pa.RecordBatch], text: str, model) -> Iterator[pa
 def predicted(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with the five columns of OWN. ``model``: a broadcast LanguageModel. No shuffle."""
     docs = free_names(docs, [x.split()[0] for x in OWN.split(", ")])
-    return docs.mapInArrow(partial(_predict, text=text, model=model), plus(docs, OWN))
+    return mapped(docs, partial(_predict, text=text, model=model), plus(docs, OWN))
 
 
 def fit(training: DataFrame, text: str = "text", lang: str = "lang"):
     """A broadcast model of all rows with a language but one fold, which calibrates the rejection."""
     spark = training.sparkSession
     fold = F.pmod(F.xxhash64(F.col(text)), F.lit(CALIBRATION_FOLD))
-    counts = gram_counts(training.where(fold != 0), text, lang).orderBy(F.desc("n"), "gram", "lang").limit(MAX_GRAMS).toArrow()
-    names = counts.column("lang").combine_chunks().dictionary_encode()
-    langs = sorted(names.dictionary.to_pylist())
-    place = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)
-    model = LanguageModel(langs, place[names.indices.to_numpy()] if langs else np.zeros(0, np.int64), counts.column("gram").to_numpy().view(np.uint64), counts.column("n").to_numpy())
+    packed = gram_counts(training.where(fold != 0), text, lang).toArrow().to_pylist()  # MAX_GRAMS grams at most
+    langs = sorted({r["lang"] for r in packed})
+    values = [np.concatenate([np.zeros(0, k), *(np.frombuffer(r[c], k) for r in packed)]) for c, k in (("grams", np.uint64), ("counts", np.int64))]
+    place = np.repeat(np.array([langs.index(r["lang"]) for r in packed], np.int64), [len(r["grams"]) // 8 for r in packed])
+    model = LanguageModel(langs if len(place) else [], place, *values)
+    langs = model.langs
     if langs:
         first = spark.sparkContext.broadcast(model)
         kept = training.where((fold == 0) & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelight.llm._common import byte_lengths, mix64, settle, text_runs
+from sievelight.llm._common import byte_lengths, mapped, piece_hash, settle, text_runs
 
 CAPACITY = 1024
 END_ID = 2
@@ -43,26 +43,6 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
 _MARK = np.zeros(256, bool)
 _MARK[[*b".,;:!?|#$%&*"]] = True
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASES[0]))
-
-
-@lru_cache(4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-    return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
-
-
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each piece of ``data``, of 64 and of 32 bits."""
-    out = []
-    size = 1 << max(21, int(len(data)).bit_length())
-    for base in _BASES:
-        powers, inverse = _powers(base, size)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * powers[: len(data)])])
-        out.append(mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(base)))
-    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
-
 
 class Memo:
     """A tokenizer that remembers the ids of chunks it has met.
@@ -123,7 +103,8 @@ class Memo:
             begin[offsets[i] + 1 : offsets[i + 1]] = False
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(data))
-        first, second = _hashes(data, starts, ends)
+        first = piece_hash(data, starts, ends - starts, 0)
+        second = (piece_hash(data, starts, ends - starts, 1) >> np.uint64(32)).astype(np.uint32)
         different, where, of = np.unique(first, return_index=True, return_inverse=True)
         if (second[where][of] != second).any():  # two chunks of one hash: as good as never, and then not hashed
             return self._encoded([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
@@ -202,7 +183,7 @@ def to_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     """(key, piece, start, length, ids): ids are little-endian unsigned 32-bit integers. No shuffle."""
     narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"key {narrow.schema['key'].dataType.simpleString()}, piece int, start bigint, length bigint, ids binary"
-    return narrow.mapInArrow(partial(_to_pieces, path=tokenizer, capacity=capacity, end_id=end_id), schema).withColumnRenamed("key", key)
+    return mapped(narrow, partial(_to_pieces, path=tokenizer, capacity=capacity, end_id=end_id), schema).withColumnRenamed("key", key)
 
 
 class SegmentTree:

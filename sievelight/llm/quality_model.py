@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm._common import byte_lengths, free_names, mix64, plus, settle, text_runs
+from sievelight.llm._common import byte_lengths, free_names, mapped, mix64, plus, settle, text_runs
 
 MAX_TRAINING = 12_000
 FEATURE_BITS = 17
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, text: str = "text"):
     total = rows.count()
     span = 1 << 64
     most = -(1 << 63) + min(span - 1, span * 2 * MAX_TRAINING // max(1, total))
-    seen = settle(rows.mapInArrow(partial(_observe, most=most), "pattern int, hash bigint, slots array<int>, weights array<float>"))
+    seen = settle(mapped(rows, partial(_observe, most=most), "pattern int, hash bigint, slots array<int>, weights array<float>"))
     counted = seen.where("pattern >= 0").groupBy("pattern").count().orderBy("pattern").collect()
     codes = np.array([r[0] for r in counted], np.int64)
     patterns = (codes[:, None] // 3 ** np.arange(len(LABELLERS))) % 3 if len(codes) else np.zeros((0, len(LABELLERS)), np.int64)
@@ -264,7 +264,7 @@ def classify(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD)
     """All columns of ``docs`` with quality_score (0 to 1) and kept."""
     docs = free_names(docs, ["quality_score", "kept"])
     scorer, _ = fit(docs, text)
-    return docs.mapInArrow(partial(_score, text=text, scorer=scorer, threshold=threshold), plus(docs, "quality_score double, kept boolean"))
+    return mapped(docs, partial(_score, text=text, scorer=scorer, threshold=threshold), plus(docs, "quality_score double, kept boolean"))
 
 
 def op2_query(docs: DataFrame) -> DataFrame:

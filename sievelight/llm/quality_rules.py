@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm._common import byte_lengths, free_names, plus, text_runs
+from sievelight.llm._common import byte_lengths, free_names, mapped, plus, text_runs
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,7 @@ def quality_rules(docs: DataFrame, text: str = "text", bands: CompressionBands |
     own = pa.schema(list(zip(OWN, kinds, strict=True)))
     names = ["bigint"] * 5 + ["boolean", "double", "bigint", "bigint", "string", "boolean"]
     schema = plus(docs, ", ".join(map(" ".join, zip(OWN, names, strict=True))))
-    return docs.mapInArrow(partial(_judge, text=text, bands=bands or CompressionBands(), schema=own), schema)
+    return mapped(docs, partial(_judge, text=text, bands=bands or CompressionBands(), schema=own), schema)
 
 
 def op9_query(docs: DataFrame) -> DataFrame:

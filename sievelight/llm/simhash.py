@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm._common import byte_lengths, mix64, plus, settle, text_runs
+from sievelight.llm._common import byte_lengths, mapped, mix64, plus, settle, text_runs
 from sievelight.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -232,14 +232,14 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, words: int = 1) -
     pairs = met.join(groups.toDF("part_a", "packed_a"), "part_a").join(groups.toDF("part_b", "packed_b"), "part_b")
     pairs = pairs.select("packed_a", F.when(F.col("part_a") != F.col("part_b"), F.col("packed_b")).alias("packed_b"))
     tasks = max(1, min(2000, sum(shares.values()) * (reach + 1)))
-    return pairs.repartition(tasks).mapInArrow(partial(_compare, radius=radius, words=words), "a binary, b binary")
+    return mapped(pairs.repartition(tasks), partial(_compare, radius=radius, words=words), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE_WORDS, words: int = 1) -> DataFrame:
     """(key, fingerprint, component_id) for each row; a component's id is its smallest key."""
     narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     schema = plus(narrow.drop("_text"), "print binary, population int")
-    prints = settle(narrow.mapInArrow(partial(_fingerprints, text="_text", shingle=shingle, words=words), schema))
+    prints = settle(mapped(narrow, partial(_fingerprints, text="_text", shingle=shingle, words=words), schema))
     nodes = settle(prints.groupBy("print", "population").agg(F.min("_key").alias("_least")))
     roots = components(fingerprint_links(nodes, radius, words), "a", "b")
     rooted = nodes.join(roots, F.col("print") == F.col("node"), "left").select("print", "_least", F.coalesce("root", "print").alias("root"))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sievelight.llm._common import byte_lengths, free_names, mix64, plus, settle, text_runs
+from sievelight.llm._common import BASES, byte_lengths, free_names, mapped, mix64, piece_hash, plus, settle, text_runs
 
 #: Fewest words of a duplicate span, and words of a seed in it.
 MIN_WORDS = 13
@@ -79,20 +79,6 @@ def _to_blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Reco
             block += 1
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a hash's odd base and of its inverse modulo 2^64, at least ``n`` of each."""
-    held = _POWERS.get(which)
-    if held is None or len(held[0]) < n:
-        n = max(n, BLOCK_BYTES + BLOCK_BYTES // 4)
-        base = BASES[which]
-        held = _POWERS[which] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
-    return held
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-#: Odd bases of the two hashes, and a value of each byte.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[0]))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -106,7 +92,7 @@ class Parsed:
         body = texts.buffers()[2]
         self.data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)
         self.offsets = offsets - offsets[0]
-        solid = ~_SPACE[self.data]
+        solid = self.solid = ~_SPACE[self.data]
         edge = np.zeros(len(solid) + 1, bool)
         edge[self.offsets] = True  # no word reaches from one document into the next
         before = np.concatenate([[False], solid[:-1]]) if len(solid) else solid
@@ -131,10 +117,7 @@ class Parsed:
     def _hashed(self, which: int) -> np.ndarray:
         """A hash of each word: of its bytes from its start, and its length."""
         if which not in self._words:
-            powers, inverse = _powers(which, len(self.data) + 1)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[self.data] * powers[: len(self.data)])])
-            h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-            self._words[which] = mix64(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(BASES[1 - which]))
+            self._words[which] = piece_hash(self.data, self.starts, self.ends - self.starts, which, self.solid)
         return self._words[which]
 
     def _rolled(self, which: int, words: int) -> np.ndarray:
@@ -450,17 +433,19 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     docs = free_names(docs, ["n_words", "n_removed", "spans"])
     schema = plus(docs, SPANS)
-    blocks = settle(docs.mapInArrow(partial(_to_blocks, text=text), "block bigint, packed binary"))
+    blocks = settle(mapped(docs, partial(_to_blocks, text=text), "block bigint, packed binary"))
     n = blocks.count()
     ranges, lots = max(1, n // BLOCKS_A_RANGE), -(-n // FAN_IN) or 1
     named = {"key": key, "text": text}
-    seeds = blocks.mapInArrow(partial(_seed_entries, ranges=ranges, **named), "range bigint, block bigint, hash binary, several binary")
+    seeds = mapped(blocks, partial(_seed_entries, ranges=ranges, **named), "range bigint, block bigint, hash binary, several binary")
     shared = _exchanged(
         seeds, lots, _shared_seeds, _seeds_of_lot, _seeds_over_lots, _seeds_to_blocks, "hash binary, several binary", "hash binary", "block bigint, hash binary"
     )
     shared = shared.groupBy("block").agg(F.collect_list("hash").alias("shared"))
-    windows = blocks.join(shared, "block", "left").mapInArrow(  # left as below, so that one exchange of the blocks serves both
-        partial(_window_entries, ranges=ranges, **named), "range bigint, block bigint, hash binary, second binary, doc binary, spot binary"
+    windows = mapped(
+        blocks.join(shared, "block", "left"),  # left as below, so that one exchange of the blocks serves both
+        partial(_window_entries, ranges=ranges, **named),
+        "range bigint, block bigint, hash binary, second binary, doc binary, spot binary",
     )
     fields, answers = "hash binary, second binary, doc binary, spot binary", "block bigint, hash binary, second binary, owner binary, spot binary"
     owned = _exchanged(windows, lots, _owned_windows, _windows_of_lot, _windows_over_lots, _windows_to_blocks, fields, fields, answers)
@@ -468,7 +453,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     kind = StructType.fromDDL(SPANS)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return blocks.join(owned, "block", "left").mapInArrow(partial(_factored, schema=to_arrow_schema(kind), **named), schema)
+    return mapped(blocks.join(owned, "block", "left"), partial(_factored, schema=to_arrow_schema(kind), **named), schema)
 
 
 def op6_query(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm._common import free_names, mix64, plus
+from sievelight.llm._common import free_names, mapped, mix64, plus
 
 #: Longest context plus one, and the size of each order's hashed table.
 ORDERS = 5
@@ -149,7 +149,7 @@ def _score(batches: Iterator[pa.RecordBatch], url: str, own: str, model) -> Iter
 
 
 def _scored(df: DataFrame, url: str, model) -> DataFrame:
-    return df.mapInArrow(partial(_score, url=url, own="score", model=model), plus(df, "score double"))
+    return mapped(df, partial(_score, url=url, own="score", model=model), plus(df, "score double"))
 
 
 def fit(judged: DataFrame, url: str) -> tuple[object, float]:
@@ -162,7 +162,7 @@ def fit(judged: DataFrame, url: str) -> tuple[object, float]:
     """
     spark = judged.sparkSession
     labelled = judged.where("verdict IS NOT NULL").select(F.col(url).alias("url"), (F.col("verdict") == "block").cast("int").alias("kind"))
-    counts = labelled.where(fold_of("url") != HELD_OUT).mapInArrow(_count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    counts = mapped(labelled.where(fold_of("url") != HELD_OUT), _count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     model = spark.sparkContext.broadcast(RatioModel(counts.column("key").to_numpy(), counts.column("n").to_numpy()))
     scored = _scored(labelled.where(fold_of("url") == HELD_OUT), "url", model)
     low, high = scored.agg(

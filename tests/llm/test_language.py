@@ -106,3 +106,27 @@ def test_accuracy_and_rejection(spark):
     model = li.fit(docs)
     odd = spark.createDataFrame([("xq zjw qpx vkq " * 40,), ("Да и вот так далее " * 20,)], "text string")
     assert all(r["rejected"] for r in li.predicted(odd, model).collect())
+
+
+def test_counts_equal_brute_force_and_the_rarest_are_left_out(spark, monkeypatch):
+    from collections import Counter
+
+    rows = [("abc abd abc", "x"), ("aab", "x"), ("cab bad", "y"), ("abc", "y"), (None, "x"), ("abc", None)] * 3
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    expected = Counter()
+    for t, lang in rows:
+        if t and lang:
+            expected.update((lang, int(g)) for g in li.stream([t])[0])
+
+    def counted():
+        out = Counter()
+        for r in li.gram_counts(df, "text", "lang").collect():
+            for g, n in zip(np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["counts"], np.int64), strict=True):
+                out[r["lang"], int(g)] += int(n)
+        return out
+
+    assert counted() == expected
+    monkeypatch.setattr(li, "MAX_GRAMS", 8)
+    kept = counted()
+    assert len(kept) <= 8 and kept == Counter({k: n for k, n in expected.items() if n >= min(kept.values(), default=0) and k in kept})
+    assert all(n <= min(kept.values()) for k, n in expected.items() if k not in kept)
