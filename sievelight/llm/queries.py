@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sievelight.llm import decontaminate, html_text, language_id, packing, quality_model, quality_rules, sharding, simhash, substring_dedup, url_filter
 from sievelight.llm._common import read_table
 from sievelight.llm.sharding import MULTIPLIER, SLOT_BUCKETS
+from sievelight.sources.tables import table
 
 #: SQL of op5. The checksum folds over the bytes with the rule of reflected CRC-32;
 #: the shard follows the published loop of jump consistent hashing in 128-bit arithmetic.
@@ -73,19 +74,19 @@ def tokenizer_path() -> str:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.op1_query(read_table(spark, sf_dir, "pages"))
+    return html_text.op1_query(table(spark, sf_dir, "pages"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_model.op2_query(read_table(spark, sf_dir, "documents"))
+    return quality_model.op2_query(table(spark, sf_dir, "documents"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.op3_query(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.op3_query(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.op4_query(read_table(spark, sf_dir, "pages"))
+    return url_filter.op4_query(table(spark, sf_dir, "pages"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,23 +94,23 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.op6_query(read_table(spark, sf_dir, "documents"))
+    return substring_dedup.op6_query(table(spark, sf_dir, "documents"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.op7_query(read_table(spark, sf_dir, "documents"))
+    return language_id.op7_query(table(spark, sf_dir, "documents"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.op8_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.op8_query(table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.op9_query(read_table(spark, sf_dir, "documents"))
+    return quality_rules.op9_query(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.op10_query(read_table(spark, sf_dir, "documents"))
+    return simhash.op10_query(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
