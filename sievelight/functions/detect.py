@@ -61,8 +61,12 @@ def _positions(text: Column, regex: str, lead: Column, full: Column, value: Colu
     return F.aggregate(parts, start, step, lambda acc: acc["spans"])
 
 
-def pattern_spans(text: Column, pattern: Pattern, rank: int, settings: Settings) -> Column:
-    """Spans of one pattern after the example, length, placeholder and allow filters."""
+def pattern_spans(text: Column, pattern: Pattern, rank: int, settings: Settings, lowered: Column | None = None) -> Column:
+    """Spans of one pattern after the example, length, placeholder and allow filters.
+
+    ``lowered`` is the text in lower case, where it is at hand for many patterns.
+    """
+    lowered = F.lower(text) if lowered is None else lowered
     regex = portable(pattern.regex)
     full = matches(text, regex)
     lead, value = F.transform(full, lambda _: F.lit("")), full
@@ -85,7 +89,7 @@ def pattern_spans(text: Column, pattern: Pattern, rank: int, settings: Settings)
         return good & ~allowed(v, settings)
 
     spans = F.transform(F.filter(zipped, keep), lambda x: x["s"])
-    return F.when(keyword_hit(F.lower(text), pattern) & text.rlike(regex), spans).otherwise(F.expr(NO_SPANS))
+    return F.when(keyword_hit(lowered, pattern) & text.rlike(regex), spans).otherwise(F.expr(NO_SPANS))
 
 
 def allowed(value: Column, settings: Settings) -> Column:
@@ -190,7 +194,9 @@ def blocked(text: Column, settings: Settings) -> Column:
 def all_spans(text: Column, settings: Settings) -> Column:
     """Spans of all detectors after the containment filters, before the merge."""
     n = len(settings.all_patterns)
-    by_regex = F.concat(*(pattern_spans(text, p, k, settings) for k, p in enumerate(settings.all_patterns))) if n else F.expr(NO_SPANS)
+    # A one-element array names an intermediate result, which is then computed once.
+    of_patterns = lambda low: F.concat(*(pattern_spans(text, p, k, settings, low) for k, p in enumerate(settings.all_patterns)))
+    by_regex = F.element_at(F.transform(F.array(F.lower(text)), of_patterns), 1) if n else F.expr(NO_SPANS)
 
     def with_more(found: Column) -> Column:
         tokens = F.filter(entropy_tokens(text, settings, n), lambda x: ~covered(found, x) & ~allowed(x["value"], settings))
@@ -200,7 +206,6 @@ def all_spans(text: Column, settings: Settings) -> Column:
         blocks = F.filter(block_spans(text, settings, n + 1), lambda x: ~covered(found, x) & ~allowed(x["value"], settings) & ~x["value"].startswith(PLACEHOLDER))
         return F.concat(found, blocks)
 
-    # A one-element array names an intermediate result, which is then computed once.
     once = F.transform(F.array(by_regex), with_more)
     once = F.transform(once, with_blocks) if settings.block_strings else once
     return F.element_at(once, 1)
