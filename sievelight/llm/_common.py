@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step handles at a time.
@@ -48,6 +49,21 @@ def mapped(df: DataFrame, function, schema: StructType | str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+#: Rows of keys up to which a side is broadcast.
+BROADCAST_KEYS = 500_000
+
+
+def split_by(docs: DataFrame, key: str, keys: DataFrame, kept: str) -> DataFrame:
+    """Rows of ``docs`` whose key is (``left_semi``) or isn't (``left_anti``) among the one column of ``keys``.
+
+    The keys are counted first: up to BROADCAST_KEYS they are broadcast, so
+    that long texts needn't be shuffled; beyond that both sides are.
+    """
+    keys = settle(keys)
+    few = keys.count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(keys) if few else keys.hint("shuffle_merge"), docs[key] == keys[keys.columns[0]], kept)
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet and read it again."""
     df.write.parquet(path)

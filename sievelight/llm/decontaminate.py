@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm._common import mapped, settle
+from sievelight.llm._common import mapped, settle, split_by
 
 #: Edits allowed for each character of an item, and the length from which any are.
 ERROR_RATE = 0.08
@@ -190,14 +190,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item. Rows with a null key are judged by none and stay.
-
-    Keys of hits are few next to the rows, but have no bound, so the anti join
-    is left to Spark's own choice.
-    """
+    """The rows of ``docs`` that hold no benchmark item. Rows with a null key are judged by none and stay."""
     found = contaminated(docs, benchmark, key, text)
-    gone = found.where(F.col(key).isNotNull()).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    return split_by(docs, key, found.where(F.col(key).isNotNull()).select(F.col(key).alias("_gone")).distinct(), "left_anti")
 
 
 def op8_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm._common import byte_lengths, mapped, mix64, plus, settle, text_runs
+from sievelight.llm._common import byte_lengths, mapped, mix64, plus, settle, split_by, text_runs
 from sievelight.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -243,7 +243,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     nodes = settle(prints.groupBy("print", "population").agg(F.min("_key").alias("_least")))
     roots = components(fingerprint_links(nodes, radius, words), "a", "b")
     rooted = nodes.join(roots, F.col("print") == F.col("node"), "left").select("print", "_least", F.coalesce("root", "print").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
+    rooted = settle(rooted)
+    ids = settle(rooted.groupBy("root").agg(F.min("_least").alias("component_id")))  # apart from the join, whose large component Spark then splits
     named = rooted.join(ids, "root").select("print", "component_id")
     return prints.join(named, "print").select(F.col("_key").alias(key), F.lower(F.hex("print")).alias("fingerprint"), "component_id")
 
@@ -256,13 +257,12 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", radius:
     """
     found = near_duplicates(docs, key, text, radius, shingle, words)
     found = settle(found.select(F.col(key).alias("_key"), (F.col(key) != F.col("component_id")).alias("_gone")))
-    gone = found.where("_gone").select("_key").distinct()
-    kept = docs.join(gone, F.col(key) == F.col("_key"), "left_anti")
+    kept = split_by(docs, key, found.where("_gone").select("_key").distinct(), "left_anti")
     shared = settle(found.where("_key IS NOT NULL AND NOT _gone").groupBy("_key").count().where("count > 1").select("_key"))
     if shared.isEmpty():
         return kept
-    alone = kept.join(shared, F.col(key) == F.col("_key"), "left_anti")
-    return alone.unionByName(kept.join(shared, F.col(key) == F.col("_key"), "left_semi").dropDuplicates([key, text]))
+    alone = split_by(kept, key, shared, "left_anti")
+    return alone.unionByName(split_by(kept, key, shared, "left_semi").dropDuplicates([key, text]))
 
 
 def op10_query(docs: DataFrame) -> DataFrame:
