@@ -147,6 +147,31 @@ class Parsed:
         return self._rolled(0, MIN_WORDS)[self.at], (self._rolled(1, MIN_WORDS)[self.at] >> np.uint64(32)).astype(np.uint32)
 
 
+#: Packed columns of hashes are random and stay as they are; all others are compressed.
+RANDOM = ("hash", "second")
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Compressed values: their bytes by significance, since the high ones are mostly alike."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def _values(name: str, data: bytes, kind) -> np.ndarray:
+    """The values of one packed column of one row."""
+    import zstandard
+
+    if name in RANDOM:
+        return np.frombuffer(data, kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _bytes(name: str, x: np.ndarray) -> bytes:
+    return x.tobytes() if name in RANDOM else _squeezed(x)
+
+
 def _ranges(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Cuts of sorted hashes into ranges, and the range of each piece."""
     of = ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
@@ -159,7 +184,7 @@ def _emit(block: int, ranges: int, columns: list[tuple[str, np.ndarray]]) -> pa.
     cuts, of = _ranges(columns[0][1], ranges)
     ends = np.append(cuts[1:], len(columns[0][1]))
     arrays = [pa.array(of), pa.array(np.full(len(of), block, np.int64))]
-    arrays += [pa.array([x[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary()) for _, x in columns]
+    arrays += [pa.array([_bytes(name, x[a:b]) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary()) for name, x in columns]
     return pa.RecordBatch.from_arrays(arrays, names=["range", "block", *(name for name, _ in columns)])
 
 
@@ -182,7 +207,7 @@ def _seed_entries(batches: Iterator[pa.RecordBatch], key: str, text: str, ranges
 
 def _column(table: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
     """A packed column's values of all rows, and the row of each."""
-    parts = [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    parts = [_values(name, x, kind) for x in table.column(name).to_pylist()]
     return np.concatenate([np.zeros(0, kind), *parts]), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
 
 
@@ -196,7 +221,7 @@ def _by_block(table: pa.Table, row: np.ndarray, columns: list[tuple[str, np.ndar
     out = {"block": pa.array(blocks[row[start]], pa.int64())}
     for name, values in columns:
         values = values[order]
-        out[name] = pa.array([values[a:b].tobytes() for a, b in zip(start.tolist(), ends.tolist(), strict=True)], pa.binary())
+        out[name] = pa.array([_bytes(name, values[a:b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)], pa.binary())
     return pa.table(out)
 
 
@@ -231,7 +256,7 @@ def _shared_seeds(table: pa.Table) -> pa.Table:
 
 def _one_row(table: pa.Table, columns: list[tuple[str, np.ndarray]]) -> pa.Table:
     out = {c: table.column(c).slice(0, 1) for c in ("range", "lot")}
-    return pa.table(out | {name: pa.array([x.tobytes()], pa.binary()) for name, x in columns})
+    return pa.table(out | {name: pa.array([_bytes(name, x)], pa.binary()) for name, x in columns})
 
 
 def _seeds_of_lot(table: pa.Table) -> pa.Table:
@@ -394,7 +419,7 @@ def _factored(batches: Iterator[pa.RecordBatch], key: str, text: str, schema: pa
             removed = np.zeros(rows.num_rows, np.int64)
             texts = rows.column(text)
             if owned:
-                known = [np.concatenate([np.frombuffer(x[c], k) for x in owned]) for c, k in (("hash", np.uint64), ("second", np.uint32), ("owner", np.int64), ("spot", np.uint32))]
+                known = [np.concatenate([_values(c, x[c], k) for x in owned]) for c, k in (("hash", np.uint64), ("second", np.uint32), ("owner", np.int64), ("spot", np.uint32))]
                 order = np.argsort(known[0], kind="stable")  # different windows share the first part in one case of 2^64
                 hashes, second, owner, spot = (x[order] for x in known)
                 first, other = p.windows()
