@@ -39,6 +39,9 @@ GOOD, BAD, NONE = 1, 0, 2
 ROUNDS, LEAST_SHIFT = 200, 1e-7
 
 
+_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LETTERS = _CAPITALS + _CAPITALS.lower()
+_HIGH = bytes(range(128, 256))
 _LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 _MARK = re.compile(rb"[#*$%&|<>{}]")
 
@@ -47,13 +50,16 @@ def statistics(words: list[bytes], codes: np.ndarray, text: str) -> dict[str, fl
     """Shares of a text with at least one word."""
     n = len(words)
     lines = [x for x in text.split("\n") if x.strip()]
-    letters = sum(map(str.isalpha, text))
+    data = text.encode()
+    ascii_ = len(data.translate(None, _HIGH))
+    # Characters beyond ASCII count as letters; capitals are those of ASCII.
+    letters = len(data) - len(data.translate(None, _LETTERS)) + len(text) - ascii_
     pairs = codes[:-1].astype(np.int64) * (int(codes.max()) + 1) + codes[1:] if n > 1 else np.zeros(0, np.int64)
     return {
         "words": n,
         "symbols": sum(map(text.count, "#*$%&|<>{}")) / n,
         "shouts": text.count("!") / n,
-        "upper": sum(map(str.isupper, text)) / max(1, letters),
+        "upper": (len(data) - len(data.translate(None, _CAPITALS))) / max(1, letters),
         "letters": letters / max(1, len(text)),
         "odd_words": sum(not _LETTER.search(w) for w in words) / n,
         "marked_words": sum(_MARK.search(w) is not None for w in words) / n,
@@ -118,6 +124,7 @@ class Features:
         self.words = [(t or "").encode().split() for t in texts]
         flat = [w for ws in self.words for w in ws]
         self.counts = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.first = np.cumsum(self.counts) - self.counts
         self.codes, unique = pd.factorize(np.array(flat, dtype=object)) if flat else (np.zeros(0, np.int64), np.array([], object))
         slots = np.uint64(64 - FEATURE_BITS)
         of_word = pd.util.hash_array(np.array([w.lower() for w in unique], dtype=object), categorize=False) if flat else np.zeros(0, np.uint64)
@@ -128,7 +135,7 @@ class Features:
 
     def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Slots and weights of one document: shares of its words and of its shapes, each scaled to length one."""
-        at = int(self.counts[:i].sum())
+        at = self.first[i]
         codes = self.codes[at : at + self.counts[i]]
         out = []
         for slots in (self.word_slot, self.shape_slot):
