@@ -168,3 +168,44 @@ def test_one_of_each_group_stays(spark):
     kept = [r["doc_id"] for r in simhash.keep_first(df).collect()]
     least = {r["component_id"] for r in simhash.near_duplicates(df, **simhash.NEAR).collect()}
     assert sorted(k for k in kept if k is not None) == sorted(least) and kept.count(None) == 1
+
+
+def fresh(rng, n):
+    return [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+
+
+def changed(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = fresh(rng, 1)[0]
+    return out
+
+
+def equal_brute_force(spark, texts):
+    """Components of the near copies by sets of five-word shingles."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id bigint, text string")
+    got = dict(simhash.near_duplicates(df, **simhash.NEAR).select("doc_id", "component_id").collect())
+    kept = {r["doc_id"] for r in simhash.keep_first(df).collect()}
+    return got == {k: find(k) for k in range(len(texts))} and kept == {find(k) for k in range(len(texts))}
+
+
+def test_links_are_verified_similarities(spark):
+    rng = random.Random(21)
+    texts = [fresh(rng, 100) for _ in range(48)]
+    texts += [changed(rng, w, k % 6 + 1) for k, w in enumerate(texts)]  # from 0.9 to 0.5
+    base = fresh(rng, 120)
+    texts += [changed(rng, base, 4) for _ in range(40)]  # all resemble each other, few pairs are as similar as 0.8
+    assert equal_brute_force(spark, texts)
