@@ -209,3 +209,15 @@ def test_links_are_verified_similarities(spark):
     base = fresh(rng, 120)
     texts += [changed(rng, base, 4) for _ in range(40)]  # all resemble each other, few pairs are as similar as 0.8
     assert equal_brute_force(spark, texts)
+
+
+def test_short_texts_and_repeated_lines_are_found(spark):
+    rng = random.Random(22)
+    texts = []
+    for n in [8] * 60 + [10] * 30:  # one word more: similarities of 0.8 and 0.857
+        w = fresh(rng, n)
+        texts += [w, w + fresh(rng, 1)]
+    for k in range(20):  # a line appended three or five times: 0.87
+        w, line = fresh(rng, 100), fresh(rng, 10)
+        texts += [w, w + line * (3 + 2 * (k % 2))]
+    assert equal_brute_force(spark, texts)
