@@ -9,9 +9,8 @@ The lowest cross-entropy a character wins; a text is rejected when that
 cross-entropy, relative to its language's mean, lies above a limit calibrated
 on documents kept out of the counts.
 
-The model is broadcast. It holds at most MAX_GRAMS grams of the longest order:
-past that the rarest are left to the shorter orders, which Kneser-Ney backs
-off to in any case.
+The model is broadcast and holds every gram of the training documents, so its
+size grows with the different grams of all languages.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and
 not rejected or scored; without training rows every text is ``und``; rows with
@@ -167,15 +166,19 @@ def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 PACKED = "lang string, range bigint, grams binary, counts binary"
 
 
+def all_gram_counts(training: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, range, grams, counts) over all rows of ``training`` with a language: packed grams and how often each occurs."""
+    rows = training.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    ranges = max(LEAST_RANGES, int(training.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    return settle(mapped(rows, partial(_count, ranges=ranges), PACKED).groupBy("lang", "range").applyInArrow(_sum, PACKED))
+
+
 def gram_counts(training: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, range, grams, counts) over all rows of ``training`` with a language: packed grams and how often each occurs.
+    """``all_gram_counts`` without the rarest past MAX_GRAMS: those under the least count that leaves no more.
 
-    Past MAX_GRAMS the rarest are left out: those under the least count that
-    leaves no more.
+    For tables that need a bound; models are made from all grams.
     """
-    rows = training.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    ranges = max(LEAST_RANGES, int(training.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    counted = settle(mapped(rows, partial(_count, ranges=ranges), PACKED).groupBy("lang", "range").applyInArrow(_sum, PACKED))
+    counted = all_gram_counts(training, text, lang)
     total = counted.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
     if total // 8 <= MAX_GRAMS:
         return counted
@@ -333,7 +336,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang"):
     """A broadcast model of all rows with a language but one fold, which calibrates the rejection."""
     spark = training.sparkSession
     fold = F.pmod(F.xxhash64(F.col(text)), F.lit(CALIBRATION_FOLD))
-    packed = gram_counts(training.where(fold != 0), text, lang).toArrow().to_pylist()  # MAX_GRAMS grams at most
+    packed = all_gram_counts(training.where(fold != 0), text, lang).toArrow().to_pylist()
     langs = sorted({r["lang"] for r in packed})
     values = [np.concatenate([np.zeros(0, k), *(np.frombuffer(r[c], k) for r in packed)]) for c, k in (("grams", np.uint64), ("counts", np.int64))]
     place = np.repeat(np.array([langs.index(r["lang"]) for r in packed], np.int64), [len(r["grams"]) // 8 for r in packed])

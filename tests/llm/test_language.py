@@ -130,3 +130,13 @@ def test_counts_equal_brute_force_and_the_rarest_are_left_out(spark, monkeypatch
     kept = counted()
     assert len(kept) <= 8 and kept == Counter({k: n for k, n in expected.items() if n >= min(kept.values(), default=0) and k in kept})
     assert all(n <= min(kept.values()) for k, n in expected.items() if k not in kept)
+
+
+def test_models_hold_every_gram(spark, monkeypatch):
+    rows = [(f"the quick brown fox number {w} jumps", "en") for w in "abcdefghijklmnopqrst"] * 5 + [(f"der schnelle fuchs {w} springt", "de") for w in "abcdefghijklmnopqrst"]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    trained = [r["text"] for r in df.where(F.pmod(F.xxhash64("text"), F.lit(li.CALIBRATION_FOLD)) != 0).collect()]
+    monkeypatch.setattr(li, "MAX_GRAMS", 8)
+    model = li.fit(df).value
+    assert model.grams[-1].size >= len(np.unique(li.stream(trained)[0]))
+    assert [r[0] for r in model.predict(["der fuchs springt", "the fox jumps"])] == ["de", "en"]
