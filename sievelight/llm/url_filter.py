@@ -6,9 +6,9 @@ characters; all other URLs are rejected when their length-normalised
 log-likelihood difference (accepted minus rejected) falls under a threshold
 calibrated on rule-labelled URLs held out from the training.
 
-The models count every labelled URL. Contexts are hashed into tables of fixed
-size, so what is sent to the driver and broadcast has a bound of
-4 * ORDERS * 2^SLOT_BITS counters, whatever the input.
+The models count every gram and context of the URLs they are trained on, each
+under a 64-bit hash of its own, so what is sent to the driver and broadcast
+grows with the different grams of the labelled URLs.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path
 and is judged by the method; without labelled URLs of both kinds the method
@@ -28,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm._common import free_names, mapped, mix64, plus
+from sievelight.llm.language_id import Table
 
-#: Longest context plus one, and the size of each order's hashed table.
+#: Longest context plus one.
 ORDERS = 5
-SLOT_BITS = 17
+#: Keys that a task holds before it merges equal ones.
+HELD = 1_000_000
 #: Of ten folds of the labelled URLs, this one calibrates the threshold.
 FOLDS, HELD_OUT = 10, 0
 #: Share of held-out accepted URLs that the threshold may reject.
@@ -84,34 +86,50 @@ def _stream(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return symbols, np.arange(len(owner)) + (owner + 1) * (ORDERS - 1), owner
 
 
-def _slots(symbols: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For order 1, 2, ... the slots of the gram that ends at each place, and of its context."""
+def _hashes(symbols: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For order 1, 2, ... hashes of the gram that ends at each place, and of its context."""
     context = np.zeros(len(at), np.uint64)
-    shift = np.uint64(64 - SLOT_BITS)
     for order in range(1, ORDERS + 1):
         if order > 1:
             context = mix64(context * np.uint64(257) + symbols[at - (order - 1)] + np.uint64(1))
-        gram = mix64(context + (symbols[at] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        yield (gram >> shift).astype(np.int64), (mix64(context) >> shift).astype(np.int64)
+        yield mix64(context + (symbols[at] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), context
+
+
+def _keys(hashes: np.ndarray, kind: np.ndarray | int, order: int, part: int) -> np.ndarray:
+    """Keys of grams (part 0) or contexts (part 1) of one order and kind."""
+    own = np.asarray((kind * ORDERS + order) * 2 + part + 1, np.uint64)
+    return mix64(hashes + np.atleast_1d(own) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def count_urls(urls: list[str | None], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that pack (kind, order, gram or context, slot), and how often each occurs."""
+    """Keys that hash (kind, order, gram or context), and how often each occurs."""
     if not urls:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     symbols, at, owner = _stream(urls)
     kind = kinds.astype(np.int64)[owner]
-    keys = [(((kind * ORDERS + order) * 2 + part) << SLOT_BITS) + slot for order, both in enumerate(_slots(symbols, at)) for part, slot in enumerate(both)]
+    keys = [_keys(hashes, kind, order, part) for order, both in enumerate(_hashes(symbols, at)) for part, hashes in enumerate(both)]
     return np.unique(np.concatenate(keys), return_counts=True)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2 * ORDERS * 2) << SLOT_BITS, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged() -> pa.RecordBatch:
+        key, of = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        n = np.zeros(len(key), np.int64)
+        np.add.at(n, of, np.concatenate([n for _, n in held]))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
     for batch in batches:
-        key, n = count_urls(batch.column("url").to_pylist(), batch.column("kind").to_numpy(zero_copy_only=False))
-        total[key] += n
-    key = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total[key])], names=["key", "n"])
+        held.append(count_urls(batch.column("url").to_pylist(), batch.column("kind").to_numpy(zero_copy_only=False)))
+        size += len(held[-1][0])
+        if size > HELD:
+            yield merged()
+            size = 0
+    if held:
+        yield merged()
 
 
 class RatioModel:
@@ -124,10 +142,13 @@ class RatioModel:
     STRENGTH = 4.0
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        table = np.zeros((2 * ORDERS * 2) << SLOT_BITS, np.float32)
-        table[keys] = counts
-        self.table = table.reshape(2, ORDERS, 2, 1 << SLOT_BITS)
-        self.usable = bool((self.table.sum(axis=(1, 2, 3)) > 0).all())
+        self.table = Table(keys.view(np.uint64), counts.astype(np.float64)[:, None])
+        start = np.zeros(1, np.uint64)  # the empty context
+        self.usable = bool(len(keys)) and all(self._counts(start, kind, 0, 1)[0] > 0 for kind in (0, 1))
+
+    def _counts(self, hashes: np.ndarray, kind: int, order: int, part: int) -> np.ndarray:
+        at, found = self.table.find(_keys(hashes, kind, order, part))
+        return np.where(found, self.table.values[at, 0], 0.0)
 
     def scores(self, urls: list[str | None]) -> np.ndarray:
         """Accepted minus rejected log-likelihood, nats a character; 0 without both kinds."""
@@ -135,9 +156,9 @@ class RatioModel:
             return np.zeros(len(urls))
         symbols, at, owner = _stream(urls)
         p = np.full((2, len(at)), 1 / 256)
-        for order, (gram, context) in enumerate(_slots(symbols, at)):
-            seen, base = self.table[:, order, 0][:, gram], self.table[:, order, 1][:, context]
-            p = (seen + self.STRENGTH * p) / (np.maximum(base, seen) + self.STRENGTH)
+        for order, (gram, context) in enumerate(_hashes(symbols, at)):
+            seen, base = (np.stack([self._counts(hashes, kind, order, part) for kind in (0, 1)]) for part, hashes in enumerate((gram, context)))
+            p = (seen + self.STRENGTH * p) / (base + self.STRENGTH)
         logs = np.log(p)
         return np.bincount(owner, logs[0] - logs[1], len(urls)) / np.bincount(owner, minlength=len(urls))
 

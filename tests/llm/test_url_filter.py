@@ -83,3 +83,12 @@ def test_model_separates_and_is_calibrated(spark):
     out = filter_urls(spark.createDataFrame(rows, "url string"), rules=RULES).where("rule IS NULL").collect()
     right = [(r["verdict"] == "allow") == ("news" in r["url"]) for r in out]
     assert np.mean(right) > 0.95
+
+
+def test_grams_share_no_counters():
+    rng = np.random.default_rng(5)
+    urls = ["http://" + "".join(chr(97 + c) for c in rng.integers(0, 26, 60)) + ".org/" for _ in range(4000)]  # more grams than 2^17
+    kinds = np.arange(len(urls)) % 2
+    model = RatioModel(*url_filter.count_urls(urls, kinds))
+    for q, s in zip(urls[:2] + ["http://abc.org/x"], model.scores(urls[:2] + ["http://abc.org/x"]), strict=True):
+        assert s == pytest.approx(brute(urls, kinds, q), abs=1e-9)
