@@ -3,7 +3,8 @@
 Text that repeats itself compresses far better than prose, and random or
 encoded text far worse. The ratio (compressed bytes / bytes) of a whole text
 must lie in a band that depends on its length, and so must the ratios of its
-chunks of fixed size, but for a small share of them.
+chunks of fixed size, but for a small share of them. Encoded text whose ratio
+prose can have too (hex) is known by its long runs without white space.
 
 Defined cases: a null or empty text has no words, fails the base rules and is
 not kept; a text shorter than the first limit has no band; repeated rows get
@@ -34,7 +35,9 @@ class CompressionBands:
     chunk_bytes: int = 4096
     #: Band of one chunk, and the share of chunks that may leave it.
     chunk_least: float = 0.25
-    chunk_most: float = 0.80
+    chunk_most: float = 0.65
+    #: A chunk with over half its bytes in runs of encoded text is bad from this ratio on: hex lies at 0.52, as dense prose may.
+    encoded_least: float = 0.45
     chunk_share: float = 0.25
     level: int = 3
 
@@ -48,6 +51,15 @@ class CompressionBands:
 
 OWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "n_chunks", "n_bad_chunks", "verdict", "kept"]
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
+#: A run of base64 or hex.
+_ENCODED = re.compile(rb"[0-9A-Za-z+/=_-]{60,}")
+
+
+def chunk_is_dense(chunk: bytes, ratio: float, bands: CompressionBands) -> bool:
+    """Whether a chunk is incompressible: by its ratio, or as encoded text that doesn't repeat itself."""
+    if ratio > bands.chunk_most:
+        return True
+    return ratio >= bands.encoded_least and 2 * sum(map(len, _ENCODED.findall(chunk))) > len(chunk)
 
 
 def compression(data: bytes, bands: CompressionBands, compressor) -> tuple[float | None, int, int, str]:
@@ -62,9 +74,10 @@ def compression(data: bytes, bands: CompressionBands, compressor) -> tuple[float
     chunks = n // size
     if chunks > 1:  # the tail, shorter than a chunk, counts in the whole ratio only
         for at in range(0, chunks * size, size):
-            r = len(compressor.compress(data[at : at + size])) / size
+            chunk = data[at : at + size]
+            r = len(compressor.compress(chunk)) / size
             low += r < bands.chunk_least
-            high += r > bands.chunk_most
+            high += chunk_is_dense(chunk, r, bands)
     else:
         chunks = 0
     most = bands.chunk_share * chunks

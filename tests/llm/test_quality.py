@@ -91,3 +91,28 @@ def test_classifier_cases(spark):
     kept = {r["doc_id"]: r["kept"] for r in got}
     assert not kept[90] and not kept[91] and not any(kept[k] for k in range(60, 80)) and all(kept[k] for k in range(60))
     assert quality_model.classify(df.limit(0)).count() == 0
+
+
+def judged(data):
+    import zstandard
+
+    return quality_rules.compression(data, quality_rules.CompressionBands(), zstandard.ZstdCompressor(level=3, write_checksum=False))
+
+
+def noise(rng, n, kind):
+    import base64
+
+    return (base64.b64encode(rng.randbytes(n)) if kind == "base64" else base64.encodebytes(rng.randbytes(n)) if kind == "lines" else rng.randbytes(n).hex().encode())[:n]
+
+
+def prose(rng, n):
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    return " ".join(rng.choice(words) for _ in range(n // 4)).encode()[:n]
+
+
+@pytest.mark.parametrize("kind", ["base64", "lines", "hex"])
+def test_large_encoded_blocks_are_rejected(kind):
+    rng = random.Random(6)
+    assert judged(prose(rng, 50_000))[3] == "ok"
+    assert judged(prose(rng, 20_000) + noise(rng, 30_000, kind))[3] == "incompressible"
+    assert judged(prose(rng, 8192) + noise(rng, 8192, kind))[3] == "incompressible"
