@@ -71,15 +71,16 @@ def compression(data: bytes, bands: CompressionBands, compressor) -> tuple[float
     ratio = len(compressor.compress(data)) / n
     size = bands.chunk_bytes
     low = high = 0
-    chunks = n // size
-    if chunks > 1:  # the tail, shorter than a chunk, counts in the whole ratio only
-        for at in range(0, chunks * size, size):
+    starts = list(range(0, n - size + 1, size))
+    if n > size and n % size:  # the tail is judged in a last chunk that overlaps the one before
+        starts.append(n - size)
+    chunks = len(starts) if len(starts) > 1 else 0
+    if chunks:
+        for at in starts:
             chunk = data[at : at + size]
             r = len(compressor.compress(chunk)) / size
             low += r < bands.chunk_least
             high += chunk_is_dense(chunk, r, bands)
-    else:
-        chunks = 0
     most = bands.chunk_share * chunks
     if ratio < band[0] or low > most:
         verdict = "repetitive"

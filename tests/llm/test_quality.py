@@ -116,3 +116,12 @@ def test_large_encoded_blocks_are_rejected(kind):
     assert judged(prose(rng, 50_000))[3] == "ok"
     assert judged(prose(rng, 20_000) + noise(rng, 30_000, kind))[3] == "incompressible"
     assert judged(prose(rng, 8192) + noise(rng, 8192, kind))[3] == "incompressible"
+
+
+@pytest.mark.parametrize("kind", ["base64", "lines", "hex"])
+def test_tails_and_short_texts_are_judged_by_chunks(kind):
+    rng = random.Random(7)
+    assert judged(prose(rng, 4500) + noise(rng, 3600, kind))[1:] == (2, 1, "incompressible")
+    assert judged(prose(rng, 8192) + noise(rng, 4095, kind))[3] == "incompressible"
+    for n in (4096, 4097, 8100, 8192, 12_287):
+        assert judged(prose(rng, n))[1:] == (0 if n == 4096 else -(-n // 4096), 0, "ok")
