@@ -1,15 +1,19 @@
-"""Detection, merging and rewriting as native Column expressions.
+"""Detection as native expressions, and the scrubber behind a native gate.
+
+Expressions are composed as SQL text and parsed in one step, since building
+large trees call by call costs seconds before any row is read. Texts are named
+by SQL: a column's name, or any expression.
 
 Spark has no function that returns the positions of all matches, but the gaps
 from ``split`` and the matches from ``regexp_extract_all`` come in the same
-order, so a running sum of their lengths gives every start. Offsets count code
-points; thresholds count bytes.
+order, so running sums of their lengths give every start. The sums run in
+chunks and then over the chunks, so a text costs time in proportion to its
+matches. Offsets count code points; thresholds count bytes.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,101 +21,132 @@ from pyspark.sql import functions as F
 from sievelight.config import Settings
 from sievelight.functions.patterns import EXCLUDED_TOKEN, KNOWN_EXAMPLES, MIN_FORCED_BYTES, MIN_SPAN_BYTES, PLACEHOLDER, SENSITIVE_KEYS, TOKEN, Pattern, portable, with_prefix_group
 
-#: A span while it is sorted and merged: ``rank`` keeps the order of detectors.
+#: A span: ``rank`` keeps the order of detectors.
 SPAN = "struct<start:int,stop:int,rank:int,name:string,value:string>"
 REDACTIONS = "array<struct<pattern_name:string,start:int,end:int,matched_text:string>>"
 NO_SPANS = f"cast(array() as array<{SPAN}>)"
+NO_REDACTIONS = f"cast(array() as {REDACTIONS})"
+#: Matches that one running sum goes over before the sums of chunks are added up.
+CHUNK = 256
+
+
+def quoted(value: str) -> str:
+    """A SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _fold(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
+def _any(conditions: list[str]) -> str:
+    return "(" + " OR ".join(conditions) + ")" if conditions else "false"
 
 
-def keyword_hit(lowered: Column, pattern: Pattern) -> Column:
+def _named(value: str, name: str, body: str) -> str:
+    """``body`` with ``value`` under a name, so that it is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def keyword_sql(lowered: str, pattern: Pattern) -> str:
     """Whether a pattern's keywords let it run; without keywords it always does."""
-    return _fold([lowered.contains(k) for k in pattern.keywords]) if pattern.keywords else F.lit(True)
+    return _any([f"contains({lowered}, {quoted(k)})" for k in pattern.keywords]) if pattern.keywords else "true"
 
 
-def any_keyword_hit(text: Column, settings: Settings) -> Column:
-    lowered = F.lower(text)
-    return _fold([keyword_hit(lowered, p) for p in settings.all_patterns])
+def keyword_hit(lowered: str, pattern: Pattern) -> Column:
+    return F.expr(keyword_sql(lowered, pattern))
 
 
-def matches(text: Column, regex: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(regex), F.lit(group))
+def _lowered_hit(text: str, settings: Settings) -> str:
+    hits = [keyword_sql("_low", p) for p in settings.all_patterns]
+    return "true" if "true" in hits else f"exists(array(lower({text})), _low -> {_any(hits)})"
 
 
-def _positions(text: Column, regex: str, lead: Column, full: Column, value: Column, name: str, rank: int) -> Column:
-    """Spans of ``value`` inside ``full`` behind ``lead``, by a running sum over gaps and matches."""
-    parts = F.arrays_zip(F.split(text, regex, -1).alias("gap"), full.alias("full"), lead.alias("lead"), value.alias("value"))
-    parts = F.filter(parts, lambda x: x["full"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("spans"))
+def any_keyword_hit(text: str, settings: Settings) -> Column:
+    return F.expr(_lowered_hit(text, settings))
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + F.length(x["gap"]) + F.length(x["lead"])
-        span = F.struct(
-            first.cast("int").alias("start"),
-            (first + F.length(x["value"])).cast("int").alias("stop"),
-            F.lit(rank).alias("rank"),
-            F.lit(name).alias("name"),
-            x["value"].alias("value"),
-        )
-        return F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["full"])).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
+def _sums(lengths: str) -> str:
+    """For each of an array of integers the sum of those before it."""
+    none = "named_struct('sum', 0, 'each', cast(array() as array<int>))"
+    fold = lambda items, value: f"aggregate({items}, {none}, (_a, _x) -> named_struct('sum', _a.sum + {value}, 'each', concat(_a.each, array(_a.sum))))"
+    chunks = f"transform(sequence(0, greatest(size(_n) - 1, 0) div {CHUNK}), _c -> {fold(f'slice(_n, _c * {CHUNK} + 1, {CHUNK})', '_x')})"
+    total = f"flatten(zip_with(_s, {fold('_s', '_x.sum')}.each, (_p, _b) -> transform(_p.each, _v -> _v + _b)))"
+    return _named(lengths, "_n", _named(chunks, "_s", total))
 
 
-def pattern_spans(text: Column, pattern: Pattern, rank: int, settings: Settings, lowered: Column | None = None) -> Column:
-    """Spans of one pattern after the example, length, placeholder and allow filters.
+def _spans(text: str, regex: str, parts: str, keep: str, name: str, rank: int) -> str:
+    """Spans of the parts of all matches that ``keep`` allows.
 
-    ``lowered`` is the text in lower case, where it is at hand for many patterns.
+    ``parts`` makes a struct of full match ``f``, what leads to the value ``l``
+    and the value ``v`` from the array ``_m`` of matches; ``keep`` tests ``_q``.
     """
-    lowered = F.lower(text) if lowered is None else lowered
-    regex = portable(pattern.regex)
-    full = matches(text, regex)
-    lead, value = F.transform(full, lambda _: F.lit("")), full
-    if pattern.group is not None:
-        found = with_prefix_group(regex, pattern.group)
-        if found is None:
-            raise ValueError(f"pattern {pattern.name!r}: its group has no native form")
-        wide, group = found
-        lead, part = matches(text, wide, 1), matches(text, wide, group)
-        # A group that took no part is reported as empty: then the whole match counts.
-        value = F.zip_with(part, full, lambda a, b: F.when(a == "", b).otherwise(a))
-        lead = F.zip_with(lead, part, lambda a, b: F.when(b == "", F.lit("")).otherwise(a))
-    zipped = F.arrays_zip(_positions(text, regex, lead, full, value, pattern.name, rank).alias("s"), full.alias("f"))
-
-    def keep(x: Column) -> Column:
-        v = x["s"]["value"]
-        good = (F.octet_length(v) >= MIN_SPAN_BYTES) & ~v.startswith(PLACEHOLDER)
-        for example in KNOWN_EXAMPLES:
-            good &= ~x["f"].contains(example)
-        return good & ~allowed(v, settings)
-
-    spans = F.transform(F.filter(zipped, keep), lambda x: x["s"])
-    return F.when(keyword_hit(lowered, pattern) & text.rlike(regex), spans).otherwise(F.expr(NO_SPANS))
-
-
-def allowed(value: Column, settings: Settings) -> Column:
+    starts = _sums("zip_with(_g, _m, (_x, _y) -> length(_x) + length(_y))")
+    placed = f"zip_with({parts}, zip_with(_g, {starts}, (_x, _y) -> _y + length(_x)), (_x, _y) -> named_struct('f', _x.f, 'v', _x.v, 'at', _y + length(_x.l)))"
+    out = f"named_struct('start', _q.at, 'stop', _q.at + length(_q.v), 'rank', {rank}, 'name', {quoted(name)}, 'value', _q.v)"
+    found = f"transform(filter({placed}, _q -> {keep}), _q -> {out})"
+    placed = _named(f"slice(split({text}, {quoted(regex)}, -1), 1, size(_m))", "_g", found)
+    return f"coalesce({_named(f'regexp_extract_all({text}, {quoted(regex)}, 0)', '_m', f'CASE WHEN size(_m) > 0 THEN {placed} ELSE {NO_SPANS} END')}, {NO_SPANS})"
+
+
+_CLASS, _ANCHOR = re.compile(r"\[\^?[^\]]*\]"), re.compile(r"\\[bBAzZG]|[\^$]")
+_WHOLE = "transform(_m, _x -> named_struct('f', _x, 'l', '', 'v', _x))"
+
+
+def _with_group(text: str, pattern: Pattern, regex: str) -> str:
+    """Parts of matches whose secret is a group. One that took no part is reported as empty: then the whole match counts."""
+    found = with_prefix_group(regex, pattern.group)
+    if found is None:
+        raise ValueError(f"pattern {pattern.name!r}: its group has no native form")
+    wide, group = quoted(found[0]), found[1]
+    if _ANCHOR.search(_CLASS.sub("", regex)):  # what stands around a match counts
+        both = f"zip_with(regexp_extract_all({text}, {wide}, 1), regexp_extract_all({text}, {wide}, {group}), (_x, _y) -> named_struct('l', _x, 'v', _y))"
+        pairs = f"zip_with(_m, {both}, (_x, _y) -> named_struct('f', _x, 'l', _y.l, 'v', _y.v))"
+    else:
+        pairs = f"transform(_m, _x -> named_struct('f', _x, 'l', regexp_extract(_x, {wide}, 1), 'v', regexp_extract(_x, {wide}, {group})))"
+    return f"transform({pairs}, _x -> CASE WHEN _x.v = '' THEN named_struct('f', _x.f, 'l', '', 'v', _x.f) ELSE _x END)"
+
+
+def allowed_sql(value: str, settings: Settings) -> str:
     """Whether a value's hash is on the allow list; an empty list is never hashed for."""
-    return F.sha2(value, 256).isin(sorted(settings.allow_hashes)) if settings.allow_hashes else F.lit(False)
+    return f"sha2({value}, 256) IN ({', '.join(quoted(h) for h in sorted(settings.allow_hashes))})" if settings.allow_hashes else "false"
+
+
+def _pattern_sql(text: str, pattern: Pattern, rank: int, settings: Settings, lowered: str) -> str:
+    regex = portable(pattern.regex)
+    parts = _WHOLE if pattern.group is None else _with_group(text, pattern, regex)
+    keep = [f"octet_length(_q.v) >= {MIN_SPAN_BYTES}", f"NOT startswith(_q.v, {quoted(PLACEHOLDER)})"]
+    keep += [f"NOT contains(_q.f, {quoted(x)})" for x in KNOWN_EXAMPLES]
+    keep += [f"NOT {allowed_sql('_q.v', settings)}"] if settings.allow_hashes else []
+    return f"CASE WHEN {keyword_sql(lowered, pattern)} THEN {_spans(text, regex, parts, ' AND '.join(keep), pattern.name, rank)} ELSE {NO_SPANS} END"
+
 
+def pattern_spans(text: str, settings: Settings) -> Column:
+    """Spans of all patterns after the example, length, placeholder and allow filters."""
+    if not settings.all_patterns:
+        return F.expr(NO_SPANS)
+    each = [_pattern_sql(text, p, k, settings, "_low") for k, p in enumerate(settings.all_patterns)]
+    return F.expr(_named(f"lower({text})", "_low", f"concat({', '.join(each)})"))
 
-def shannon_entropy(token: Column) -> Column:
+
+def entropy_sql(token: str) -> str:
     """Bits a byte of an ASCII token; 0 for an empty one."""
-    n = F.length(token)
-    counts = F.transform(F.array_distinct(F.split(token, "")), lambda c: n - F.length(F.replace(token, c, F.lit(""))))
-    total = F.aggregate(counts, F.lit(0.0), lambda acc, k: acc - k / n * F.log2(k / n))
-    return F.when(n > 0, total).otherwise(F.lit(0.0))
+    counts = f"transform(array_distinct(split({token}, '')), _c -> length({token}) - length(replace({token}, _c, '')))"
+    total = f"aggregate({counts}, 0D, (_a, _k) -> _a - _k / length({token}) * log2(_k / length({token})))"
+    return f"CASE WHEN length({token}) > 0 THEN {total} ELSE 0D END"
+
+
+def shannon_entropy(token: str) -> Column:
+    return F.expr(entropy_sql(token))
 
 
-def excluded_token(token: Column, settings: Settings) -> Column:
+def excluded_sql(token: str, settings: Settings) -> str:
     """Paths, links, addresses, placeholders and UUIDs, and what the user excludes."""
     rules = [portable(f"^(?:{'|'.join(EXCLUDED_TOKEN)})$")]
     valid = [p for p in settings.entropy.exclude if _compiles(p)]
     if valid:
         rules.append(portable(f"^(?:{'|'.join(valid)})$"))
-    return _fold([token.rlike(r) for r in rules])
+    return _any([f"rlike({token}, {quoted(r)})" for r in rules])
+
+
+def excluded_token(token: str, settings: Settings) -> Column:
+    return F.expr(excluded_sql(token, settings))
 
 
 def _compiles(regex: str) -> bool:
@@ -122,127 +157,67 @@ def _compiles(regex: str) -> bool:
     return True
 
 
-def entropy_tokens(text: Column, settings: Settings, rank: int) -> Column:
-    """Spans of tokens whose entropy reaches the threshold."""
-    if not settings.entropy.enabled:
-        return F.expr(NO_SPANS)
-    full = matches(text, TOKEN)
-    spans = _positions(text, TOKEN, F.transform(full, lambda _: F.lit("")), full, full, "high-entropy", rank)
-    distinct = max(1, int(2**settings.entropy.threshold - 1e-9))  # fewer different characters can't reach the threshold
-
-    def keep(s: Column) -> Column:
-        v = s["value"]
-        enough = F.size(F.array_distinct(F.split(v, ""))) >= distinct
-        return (F.length(v) >= settings.entropy.min_len) & enough & ~excluded_token(v, settings) & (shannon_entropy(v) >= settings.entropy.threshold)
-
-    return F.when(text.rlike(TOKEN), F.filter(spans, keep)).otherwise(F.expr(NO_SPANS))
-
-
-def covered(spans: Column, x: Column) -> Column:
-    """Whether a span lies inside one of ``spans``."""
-    return F.exists(spans, lambda s: (s["start"] <= x["start"]) & (s["stop"] >= x["stop"]))
+def token_spans(text: str, rank: int = 0) -> Column:
+    """Every long token with its place."""
+    return F.expr(_spans(text, TOKEN, _WHOLE, "true", "high-entropy", rank))
 
 
-def ordered(spans: Column) -> Column:
-    """By start, the longer first, then in the detectors' order."""
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["stop"]).alias("b"), s["rank"].alias("c"), s.alias("s")))
-    return F.transform(F.array_sort(keyed), lambda k: k["s"])
-
-
-def merged(spans: Column, touching: bool) -> Column:
-    """Islands of ordered spans; the first span of an island names it.
-
-    Offsets that touch are one island only where ``touching`` says so.
-    """
-    empty = F.expr(NO_SPANS)
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & ((s["start"] <= last["stop"]) if touching else (s["start"] < last["stop"]))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"), last["rank"].alias("rank"), last["name"].alias("name"), F.lit("").alias("value"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(s)))
-
-    # An out-of-range element_at of an empty array must not be evaluated under ANSI rules.
-    guarded = lambda acc, s: F.when(F.size(acc) == 0, F.array(s)).otherwise(step(acc, s))
-    return F.when(F.size(spans) == 0, empty).otherwise(F.aggregate(spans, empty, guarded))
+def entropy_tokens(text: str, settings: Settings, rank: int) -> Column:
+    """Spans of tokens whose entropy reaches the threshold."""
+    e = settings.entropy
+    if not e.enabled:
+        return F.expr(NO_SPANS)
+    distinct = max(1, int(2**e.threshold - 1e-9))  # fewer different characters can't reach the threshold
+    keep = [f"length(_q.v) >= {e.min_len}", f"size(array_distinct(split(_q.v, ''))) >= {distinct}", f"NOT {excluded_sql('_q.v', settings)}", f"{entropy_sql('_q.v')} >= {e.threshold!r}D"]
+    return F.expr(_spans(text, TOKEN, _WHOLE, " AND ".join(keep), "high-entropy", rank))
 
 
-def block_spans(text: Column, settings: Settings, rank: int) -> Column:
-    """Islands of blocked substrings; only strictly overlapping hits are joined."""
+def block_hits(text: str, settings: Settings, rank: int) -> Column:
+    """Hits of blocked strings, each string's from left to right, before they are joined."""
     if not settings.block_strings:
         return F.expr(NO_SPANS)
-    each = []
-    for k, entry in enumerate(settings.block_strings):
-        regex = r"\Q" + entry.replace(r"\E", r"\E\\E\Q") + r"\E"
-        full = matches(text, regex)
-        spans = _positions(text, regex, F.transform(full, lambda _: F.lit("")), full, full, "blacklist", rank + k)
-        each.append(F.when(text.contains(entry), spans).otherwise(F.expr(NO_SPANS)))
-    islands = merged(ordered(F.concat(*each)), touching=False)
-    valued = F.transform(
-        islands,
-        lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["rank"].alias("rank"), s["name"].alias("name"), F.substring(text, s["start"] + 1, s["stop"] - s["start"]).alias("value")),
-    )
-    return valued
-
-
-def blocked(text: Column, settings: Settings) -> Column:
-    """Whether a text holds a blocked string or is a blocked value."""
-    hit = _fold([text.contains(s) for s in settings.block_strings])
-    return hit | F.sha2(text, 256).isin(sorted(settings.block_hashes)) if settings.block_hashes else hit
+    regexes = [r"\Q" + entry.replace(r"\E", r"\E\\E\Q") + r"\E" for entry in settings.block_strings]
+    each = [f"CASE WHEN contains({text}, {quoted(s)}) THEN {_spans(text, r, _WHOLE, 'true', 'blacklist', rank + k)} ELSE {NO_SPANS} END" for k, (s, r) in enumerate(zip(settings.block_strings, regexes, strict=True))]
+    return F.expr(f"concat({', '.join(each)})")
 
 
-def all_spans(text: Column, settings: Settings) -> Column:
-    """Spans of all detectors after the containment filters, before the merge."""
-    n = len(settings.all_patterns)
-    # A one-element array names an intermediate result, which is then computed once.
-    of_patterns = lambda low: F.concat(*(pattern_spans(text, p, k, settings, low) for k, p in enumerate(settings.all_patterns)))
-    by_regex = F.element_at(F.transform(F.array(F.lower(text)), of_patterns), 1) if n else F.expr(NO_SPANS)
+def blocked_sql(text: str, settings: Settings) -> str:
+    """Whether a text holds a blocked string or is a blocked value."""
+    hits = [f"contains({text}, {quoted(s)})" for s in settings.block_strings]
+    if settings.block_hashes:
+        hits.append(f"sha2({text}, 256) IN ({', '.join(quoted(h) for h in sorted(settings.block_hashes))})")
+    return _any(hits)
 
-    def with_more(found: Column) -> Column:
-        tokens = F.filter(entropy_tokens(text, settings, n), lambda x: ~covered(found, x) & ~allowed(x["value"], settings))
-        return F.concat(found, tokens)
 
-    def with_blocks(found: Column) -> Column:
-        blocks = F.filter(block_spans(text, settings, n + 1), lambda x: ~covered(found, x) & ~allowed(x["value"], settings) & ~x["value"].startswith(PLACEHOLDER))
-        return F.concat(found, blocks)
+def blocked(text: str, settings: Settings) -> Column:
+    return F.expr(blocked_sql(text, settings))
 
-    once = F.transform(F.array(by_regex), with_more)
-    once = F.transform(once, with_blocks) if settings.block_strings else once
-    return F.element_at(once, 1)
 
+def may_hit_sql(text: str, settings: Settings) -> str:
+    """A cheap test that every text with a finding passes."""
+    tests = [_lowered_hit(text, settings)]
+    if settings.entropy.enabled:
+        tests.append(f"rlike({text}, {quoted(TOKEN)})")
+    tests += [f"contains({text}, {quoted(s)})" for s in settings.block_strings]
+    return _any(tests)
 
-def scrub(text: Column, settings: Settings) -> Column:
-    """``struct<text, redactions>`` of a text; null for null."""
 
-    def rewrite(islands: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-            value = F.substring(text, s["start"] + 1, s["stop"] - s["start"])
-            made = F.struct(s["name"].alias("pattern_name"), s["start"].alias("start"), s["stop"].alias("end"), value.alias("matched_text"))
-            return F.struct(
-                s["stop"].alias("at"),
-                F.concat(acc["text"], gap, F.lit(PLACEHOLDER), s["name"], F.lit("]")).alias("text"),
-                F.concat(acc["redactions"], F.array(made)).alias("redactions"),
-            )
+def may_hit(text: str, settings: Settings) -> Column:
+    return F.expr(may_hit_sql(text, settings))
 
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"), F.expr(f"cast(array() as {REDACTIONS})").alias("redactions"))
-        rest = lambda acc: F.substring(text, acc["at"] + 1, F.length(text))
-        return F.aggregate(islands, start, step, lambda acc: F.struct(F.concat(acc["text"], rest(acc)).alias("text"), acc["redactions"].alias("redactions")))
 
-    islands = merged(ordered(all_spans(text, settings)), touching=True)
-    done = F.element_at(F.transform(F.array(islands), rewrite), 1)
-    untouched = F.struct(text.alias("text"), F.expr(f"cast(array() as {REDACTIONS})").alias("redactions"))
-    return F.when(text.isNull(), F.lit(None)).when(may_hit(text, settings), done).otherwise(untouched)
+def scrub(text: str, settings: Settings) -> Column:
+    """``struct<text, redactions>`` of a text; null for null.
 
+    Spans of many detectors have to be merged and the text rewritten at any
+    length in one pass, which folds over arrays can't do. So texts that the
+    native gate lets through, and only these, go to the Arrow kernel.
+    """
+    from sievelight.functions.udf import scrub_text
 
-def may_hit(text: Column, settings: Settings) -> Column:
-    """A cheap test that every text with a finding passes."""
-    tests = [any_keyword_hit(text, settings)]
-    if settings.entropy.enabled:
-        tests.append(text.rlike(TOKEN))
-    if settings.block_strings:
-        tests.append(_fold([text.contains(s) for s in settings.block_strings]))
-    return _fold(tests)
+    asked = F.expr(f"CASE WHEN {may_hit_sql(text, settings)} THEN {text} END")
+    untouched = F.expr(f"CASE WHEN {text} IS NOT NULL THEN named_struct('text', {text}, 'redactions', {NO_REDACTIONS}) END")
+    return F.coalesce(scrub_text(settings)(asked), untouched)
 
 
 def sensitive_key(key: Column) -> Column:
@@ -250,9 +225,9 @@ def sensitive_key(key: Column) -> Column:
     return F.lower(key).rlike(rf"(?:^|_)(?:{'|'.join(SENSITIVE_KEYS)})\z")
 
 
-def forced(value: Column, settings: Settings) -> Column:
+def forced(value: str, settings: Settings) -> Column:
     """Whether the value of a sensitive field is replaced whole."""
-    return (F.octet_length(value) >= MIN_FORCED_BYTES) & ~allowed(value, settings)
+    return F.expr(f"octet_length({value}) >= {MIN_FORCED_BYTES} AND NOT {allowed_sql(value, settings)}")
 
 
 def byte_offset(text: Column, offset: Column) -> Column:

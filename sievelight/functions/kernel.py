@@ -8,7 +8,9 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 from typing import Any
 
 from sievelight.config import Settings, sha256_hex
@@ -95,13 +97,10 @@ class Scrubber:
     def scrub_text(self, text: str) -> tuple[str, list[Redaction]]:
         """The rewritten text, and what was replaced."""
         spans = self._regex_spans(text)
-        inside = lambda a, b: any(s <= a and e >= b for s, e, _ in spans)
-        for a, b in self._tokens(text):
-            if not inside(a, b) and not self.allowed(text[a:b]):
-                spans.append((a, b, "high-entropy"))
-        for a, b in self.block_spans(text):
-            if not inside(a, b) and not self.allowed(text[a:b]) and not text.startswith(PLACEHOLDER, a):
-                spans.append((a, b, "blacklist"))
+        more = [(a, b, "high-entropy") for a, b in _outside(self._tokens(text), spans) if not self.allowed(text[a:b])]
+        spans += more
+        more = [(a, b, "blacklist") for a, b in _outside(self.block_spans(text), spans) if not self.allowed(text[a:b]) and not text.startswith(PLACEHOLDER, a)]
+        spans += more
         islands: list[list] = []
         for a, b, name in sorted(spans, key=lambda s: (s[0], -s[1])):
             if islands and a <= islands[-1][1]:
@@ -213,6 +212,16 @@ class Scrubber:
         return write_json(new), [different[k] for k in sorted(different)], "redacted"
 
 
+def _outside(candidates: list[tuple[int, int]], spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Candidates that lie inside no span: none that starts as early reaches as far."""
+    if not spans or not candidates:
+        return candidates
+    spans = sorted(spans)
+    starts, reach = [s[0] for s in spans], list(accumulate((s[1] for s in spans), max))
+    at = [bisect_right(starts, a) for a, _ in candidates]
+    return [c for c, k in zip(candidates, at, strict=True) if not k or reach[k - 1] < c[1]]
+
+
 def sensitive_key(key: str) -> bool:
     lowered = key.lower()
     return any(lowered == k or lowered.endswith("_" + k) for k in SENSITIVE_KEYS)

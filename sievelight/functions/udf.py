@@ -6,16 +6,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql.functions import arrow_udf, arrow_udtf
 
 from sievelight.config import Settings
 from sievelight.functions.kernel import Scrubber, parse_json, write_json
 
 RESULT = "struct<text: string, redactions: array<struct<pattern_name: string, start: int, end: int, matched_text: string>>>"
+LINE = "struct<new_line: string, redactions: array<struct<pattern_name: string, start: int, end: int, matched_text: string>>, status: string>"
 _FIELDS = ("pattern_name", "start", "end", "matched_text")
 _KIND = pa.struct([("text", pa.string()), ("redactions", pa.list_(pa.struct([("pattern_name", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("matched_text", pa.string())])))])
 
+_LINE_KIND = pa.struct([("new_line", pa.string()), ("redactions", _KIND.field("redactions").type), ("status", pa.string())])
+_FOUND = (("line", pa.string()), ("pattern_name", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("matched_text", pa.string()))
+
 
 def _json(scrubber: Scrubber, rule) -> object:
     def scrub(text: str) -> tuple[str, list]:
@@ -63,17 +66,40 @@ def scrub_message(settings: Settings):
     return _function(settings, lambda s: _json(s, lambda x: x.scrub_message))
 
 
+def scrub_line(settings: Settings):
+    """A line of JSON: its new text, its different findings, and what became of it; null for null."""
+
+    @arrow_udf(LINE)
+    def scrub(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scrubber = Scrubber(settings)
+        for batch in batches:
+            rows = [None if line is None else safe(scrubber, line) for line in batch.to_pylist()]
+            yield pa.array([r and {"new_line": r[0], "redactions": [dict(zip(_FIELDS, x, strict=True)) for x in r[1]], "status": r[2]} for r in rows], _LINE_KIND)
+
+    return scrub
+
+
+def safe(scrubber: Scrubber, line: str) -> tuple[str, list, str]:
+    """A line that can't be scrubbed stays and is marked, so that it never ends a job."""
+    try:
+        return scrubber.scrub_line(line)
+    except Exception:  # whatever a line does, the others must be scrubbed
+        return line, [], "error"
+
+
 def extract_redactions(settings: Settings):
-    """Table function: the different findings of one line."""
+    """Table function over a table with a column ``line``: all its columns but the line's new text, a row for each different finding."""
 
-    @F.udtf(returnType="pattern_name string, start int, end int, matched_text string")
+    @arrow_udtf(returnType="line string, pattern_name string, start int, end int, matched_text string")
     class Extract:
         def __init__(self):
             self.scrubber = Scrubber(settings)
 
-        def eval(self, line: str):
-            if line is not None:
-                yield from self.scrubber.scrub_line(line)[1]
+        def eval(self, batch: pa.RecordBatch):
+            lines = batch.column("line").to_pylist()
+            found = [(line, *x) for line in lines if line is not None for x in safe(self.scrubber, line)[1]]
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            yield pa.table({name: pa.array(values, kind) for (name, kind), values in zip(_FOUND, columns, strict=True)})
 
     return Extract
 

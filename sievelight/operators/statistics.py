@@ -9,6 +9,7 @@ from sievelight.functions.display import sparkline
 
 HISTORY = 100
 RECENT = 3
+SERIES = 30
 
 
 def nearest_rank_by(df: DataFrame, group: str, value: str, percents: tuple[int, ...] = (50, 95)) -> DataFrame:

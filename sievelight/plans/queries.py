@@ -67,7 +67,7 @@ def _planted_sql(duck: bool) -> str:
     cases = " ".join(f"WHEN {k} THEN {PLANTED[p.name].format(**parts)}" for k, p in enumerate(BUILT_IN))
     more = f"WHEN {len(BUILT_IN)} THEN {_token(duck)} WHEN {len(BUILT_IN) + 1} THEN 'GITHUB_TOKEN=ghp_' || substr({_token(duck)}, 2, 36) WHEN {len(BUILT_IN) + 2} THEN '{KNOWN_EXAMPLES[0]}'"
     value = f"(CASE doc_id % {len(BUILT_IN) + 4} {cases} {more} ELSE 'nothing here' END)"
-    return f"text || ' é ' || {value} || ' mid — ' || {value} || ' end'"
+    return f"coalesce(text, '') || ' é ' || {value} || ' mid — ' || {value} || ' end'"
 
 
 def _documents(spark: SparkSession, sf_dir: str, heavy: bool = True) -> DataFrame:
@@ -75,11 +75,11 @@ def _documents(spark: SparkSession, sf_dir: str, heavy: bool = True) -> DataFram
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.expr(_planted_sql(False)).alias("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.expr(_planted_sql(False)).alias("text"))
 
 
 def _planted_duck() -> str:
-    return f"planted AS (SELECT doc_id, {_planted_sql(True)} AS text FROM documents WHERE text IS NOT NULL)"
+    return f"planted AS (SELECT doc_id, {_planted_sql(True)} AS text FROM documents)"
 
 
 def _quoted(text: str) -> str:
@@ -129,9 +129,9 @@ def _tokens_duck(table: str = "planted") -> str:
     )
 
 
-def _merged_duck(entropy: bool) -> str:
-    """WITH parts that end in islands (doc_id, island, start, stop, pattern_name)."""
-    rank = len(BUILT_IN)
+def _merged_duck(entropy: bool, patterns: tuple[Pattern, ...] = BUILT_IN, texts: str | None = None) -> str:
+    """WITH parts that end in islands (doc_id, island, start, stop, pattern_name); ``texts`` defines planted."""
+    rank = len(patterns)
     more = (
         f", scored AS (SELECT t.doc_id, {rank} AS rank, 'high-entropy' AS pattern_name, t.start, t.stop FROM ({_tokens_duck()}) t WHERE h >= 4.5 AND NOT {_EXCLUDED_DUCK} "
         "AND NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = t.doc_id AND f.start <= t.start AND f.stop >= t.stop))"
@@ -140,7 +140,7 @@ def _merged_duck(entropy: bool) -> str:
     )
     union = "SELECT doc_id, rank, pattern_name, start, stop FROM found" + (" UNION ALL SELECT * FROM scored" if entropy else "")
     return (
-        f"{_planted_duck()}, found AS ({_spans_duck(BUILT_IN)}){more}, spans AS ({union}), "
+        f"{texts or _planted_duck()}, found AS ({_spans_duck(patterns)}){more}, spans AS ({union}), "
         "marked AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop DESC, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM spans), "
         "numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, stop DESC, rank ROWS UNBOUNDED PRECEDING) AS island FROM marked), "
         "islands AS (SELECT doc_id, island, min(start) AS start, max(stop) AS stop, arg_min(pattern_name, (start, -stop, rank)) AS pattern_name FROM numbered GROUP BY doc_id, island)"
@@ -166,18 +166,14 @@ def query(sql: str | None = None):
     return add
 
 
-def _exploded(df: DataFrame, spans, settings: Settings) -> DataFrame:
-    return df.select("doc_id", "text", F.explode(spans(F.col("text"), settings)).alias("s"))
-
-
-def _regex_spans(text, settings):
-    return F.concat(*(detect.pattern_spans(text, p, k, settings) for k, p in enumerate(settings.all_patterns)))
+def _exploded(df: DataFrame, settings: Settings) -> DataFrame:
+    return df.select("doc_id", "text", F.explode(detect.pattern_spans("text", settings)).alias("s"))
 
 
 @query(f"WITH {_planted_duck()} SELECT pattern_name, count(*) AS n FROM ({_spans_duck(BUILT_IN)}) GROUP BY pattern_name")
 def pattern_hits_planted(spark, sf_dir):
     """Raw hits of each pattern, before any merge."""
-    return _exploded(planted(spark, sf_dir), _regex_spans, PLAIN).groupBy(F.col("s.name").alias("pattern_name")).agg(F.count("*").alias("n"))
+    return _exploded(planted(spark, sf_dir), PLAIN).groupBy(F.col("s.name").alias("pattern_name")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -186,15 +182,15 @@ def pattern_hits_planted(spark, sf_dir):
 def custom_pattern_hits(spark, sf_dir):
     """Hits of user-defined patterns over the texts as they are."""
     settings = Settings(entropy=Entropy(enabled=False), patterns=(), custom=CUSTOM)
-    found = _exploded(_documents(spark, sf_dir), _regex_spans, settings)
+    found = _exploded(_documents(spark, sf_dir), settings)
     return found.groupBy(F.col("s.name").alias("pattern_name")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 @query(f"WITH {_planted_duck()} " + " UNION ALL ".join(f"SELECT {_quoted(p.name)} AS pattern_name, count(*) FILTER (WHERE {_keywords_duck(p)}) AS n FROM planted" for p in BUILT_IN))
 def keyword_prefilter_counts(spark, sf_dir):
     """Texts that each pattern's keywords let through; one pass for all patterns."""
-    lowered = F.lower(F.col("text"))
-    counts = planted(spark, sf_dir).agg(*(F.count_if(detect.keyword_hit(lowered, p)).alias(p.name) for p in BUILT_IN))
+    lowered = planted(spark, sf_dir).select(F.lower("text").alias("lowered"))
+    counts = lowered.agg(*(F.count_if(detect.keyword_hit("lowered", p)).alias(p.name) for p in BUILT_IN))
     return counts.select(F.explode(F.array(*(F.struct(F.lit(p.name).alias("pattern_name"), F.col(f"`{p.name}`").alias("n")) for p in BUILT_IN))).alias("r")).select("r.*")
 
 
@@ -210,14 +206,14 @@ def single_pattern_redact(spark, sf_dir):
 )
 def spans_with_offsets(spark, sf_dir):
     """Every span with code point and byte offsets."""
-    found = _exploded(planted(spark, sf_dir), _regex_spans, PLAIN)
+    found = _exploded(planted(spark, sf_dir), PLAIN)
     return found.select("doc_id", F.col("s.name").alias("pattern_name"), "s.start", "s.stop", "s.value", detect.byte_offset(F.col("text"), F.col("s.start")).alias("start_byte"))
 
 
 @query(f"WITH {_merged_duck(True)} SELECT doc_id, pattern_name, start, stop FROM islands")
 def merged_spans(spark, sf_dir):
     """Islands of all detectors' spans, by windows."""
-    found = _exploded(planted(spark, sf_dir), detect.all_spans, SCORED).select("doc_id", "s.start", "s.stop", "s.rank", "s.name")
+    found = ops.spans_of(planted(spark, sf_dir), "doc_id", "text", SCORED)
     return ops.islands(found, "doc_id").select("doc_id", "pattern_name", "start", "stop")
 
 
@@ -226,23 +222,22 @@ def merged_spans(spark, sf_dir):
 )
 def scrub_text_full(spark, sf_dir):
     """The whole detector over every text: rewritten text and number of redactions."""
-    done = planted(spark, sf_dir).withColumn("r", detect.scrub(F.col("text"), SCORED))
+    done = planted(spark, sf_dir).withColumn("r", detect.scrub("text", SCORED))
     return done.select("doc_id", F.col("r.text").alias("text"), F.size("r.redactions").alias("n_redactions"))
 
 
 @query(f"WITH {_planted_duck()} SELECT doc_id, v AS token, CAST(start AS INTEGER) AS start, round(h, 6) AS entropy FROM ({_tokens_duck()})")
 def entropy_scores(spark, sf_dir):
     """Every long token with its entropy."""
-    full = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
-    spans = detect._positions(F.col("text"), TOKEN, F.transform(full, lambda _: F.lit("")), full, full, "token", 0)
-    return planted(spark, sf_dir).select("doc_id", F.explode(spans).alias("s")).select("doc_id", F.col("s.value").alias("token"), "s.start", F.round(detect.shannon_entropy(F.col("s.value")), 6).alias("entropy"))
+    found = planted(spark, sf_dir).select("doc_id", F.explode(detect.token_spans("text")).alias("s"))
+    return found.select("doc_id", F.col("s.value").alias("token"), "s.start", F.round(detect.shannon_entropy("s.value"), 6).alias("entropy"))
 
 
 @query(f"WITH {_planted_duck()} SELECT doc_id, v AS token, start, stop FROM ({_tokens_duck()}) WHERE h >= 3.5 AND NOT {_EXCLUDED_DUCK} AND NOT regexp_full_match(v, 'GITHUB_.*')")
 def high_entropy_tokens(spark, sf_dir):
     """Tokens that reach a threshold and no exclusion, with a user's exclusion."""
     settings = Settings(entropy=Entropy(threshold=3.5, exclude=("GITHUB_.*", "(bad")))
-    rows = planted(spark, sf_dir).select("doc_id", F.explode(detect.entropy_tokens(F.col("text"), settings, 0)).alias("s"))
+    rows = planted(spark, sf_dir).select("doc_id", F.explode(detect.entropy_tokens("text", settings, 0)).alias("s"))
     return rows.select("doc_id", F.col("s.value").alias("token"), "s.start", "s.stop")
 
 
@@ -250,7 +245,7 @@ def high_entropy_tokens(spark, sf_dir):
 def entropy_excluded(spark, sf_dir):
     """Tokens that the built-in exclusions drop, such as paths."""
     tokens = planted(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token"))
-    return tokens.where(detect.excluded_token(F.col("token"), SCORED))
+    return tokens.where(detect.excluded_token("token", SCORED))
 
 
 @query(
@@ -260,7 +255,7 @@ def entropy_excluded(spark, sf_dir):
 def allowlist_anti(spark, sf_dir):
     """Findings whose hash is not on an allow list, as an anti join with a list of any size."""
     settings = Settings(entropy=Entropy(enabled=False), patterns=(), custom=CUSTOM[:1])
-    found = _exploded(_documents(spark, sf_dir), _regex_spans, settings).select("doc_id", F.col("s.value").alias("value"), "s.start", F.sha2("s.value", 256).alias("hash"))
+    found = _exploded(_documents(spark, sf_dir), settings).select("doc_id", F.col("s.value").alias("value"), "s.start", F.sha2("s.value", 256).alias("hash"))
     allow = found.where(F.substring("hash", 1, 1) < "8").select("hash").distinct()
     return found.join(allow, "hash", "left_anti").select("doc_id", "value", "start")
 
@@ -275,7 +270,7 @@ _BLOCKED = ("the and at", "nd and the", "of the the")
 def blocklist_substring(spark, sf_dir):
     """Hits of blocked strings, before overlapping ones are joined."""
     text = F.col("text")
-    rows = _documents(spark, sf_dir, heavy=False).where(detect.blocked(text, Settings(block_strings=_BLOCKED)))
+    rows = _documents(spark, sf_dir, heavy=False).where(detect.blocked("text", Settings(block_strings=_BLOCKED)))
     count = sum((F.size(F.regexp_extract_all(text, F.lit(b), F.lit(0))) for b in _BLOCKED), F.lit(0))
     return rows.select("doc_id", count.alias("hits"), text.contains(_BLOCKED[0]).alias("has_first"))
 
@@ -310,7 +305,7 @@ def _keys(spark, sf_dir) -> DataFrame:
 )
 def force_redact_leaves(spark, sf_dir):
     """Values of sensitive fields that are long enough are replaced whole."""
-    force = detect.sensitive_key(F.col("key")) & detect.forced(F.col("value"), PLAIN)
+    force = detect.sensitive_key(F.col("key")) & detect.forced("value", PLAIN)
     return _keys(spark, sf_dir).select("event_id", F.when(force, "[REDACTED:sensitive-field]").otherwise(F.col("value")).alias("value"))
 
 
@@ -333,18 +328,6 @@ def conversation_lines(spark, sf_dir) -> DataFrame:
     return rows.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file"), F.col("turn").alias("line_number"), "role", "text", line.alias("line"))
 
 
-@query(
-    f"WITH {_TALKS} SELECT CASE role WHEN 'system' THEN 'skip' WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' ELSE 'all' END AS route, count(*) AS n, CAST(sum(CASE WHEN role = 'system' THEN 0 ELSE length(text) END) AS BIGINT) AS chars FROM talks GROUP BY 1"
-)
-def message_router(spark, sf_dir):
-    """Where each line's type sends it, and how much text that opens."""
-    lines = conversation_lines(spark, sf_dir)
-    kind = F.get_json_object("line", "$.type")
-    route = F.when(kind.isin("system", "file-history-snapshot"), "skip").when(kind.isin("user", "assistant", "progress", "queue-operation"), kind).otherwise("all")
-    text = F.coalesce(F.get_json_object("line", "$.message.content[0].text"), F.get_json_object("line", "$.message.content"))
-    return lines.groupBy(route.alias("route")).agg(F.count("*").alias("n"), F.sum(F.when(route == "skip", 0).otherwise(F.length(text))).cast("long").alias("chars"))
-
-
 _MAILS = Settings(entropy=Entropy(enabled=False), patterns=(), custom=CUSTOM[:1])
 _MAIL_RX = _quoted(CUSTOM[0].regex)
 
@@ -353,16 +336,7 @@ _MAIL_RX = _quoted(CUSTOM[0].regex)
 def user_text_scrub(spark, sf_dir):
     """Users' plain content, by the native scrubber."""
     rows = _talks(spark, sf_dir).where("role = 'user'")
-    return rows.select("conv_id", "turn", detect.scrub(F.col("text"), _MAILS)["text"].alias("text"))
-
-
-@query(f"WITH {_TALKS} SELECT 'c' || CAST(conv_id AS VARCHAR) AS file, turn AS line_number, CAST(0 AS INTEGER) AS block, text FROM talks WHERE role = 'assistant'")
-def assistant_blocks(spark, sf_dir):
-    """Blocks of assistants' content but images, from the parsed line."""
-    lines = conversation_lines(spark, sf_dir).where(F.get_json_object("line", "$.type") == "assistant")
-    parsed = F.from_json("line", "message struct<content array<struct<type string, text string>>>")
-    blocks = lines.select("file", "line_number", F.posexplode(parsed["message"]["content"]).alias("block", "b"))
-    return blocks.where("b.type IS NULL OR b.type <> 'image'").select("file", "line_number", "block", F.col("b.text").alias("text"))
+    return rows.select("conv_id", "turn", detect.scrub("text", _MAILS)["text"].alias("text"))
 
 
 @query(f"WITH {_TALKS} SELECT 'c' || CAST(conv_id AS VARCHAR) AS file, turn AS line_number, 'mail-address' AS pattern_name, value AS matched_text FROM (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(text, {_MAIL_RX})) AS value FROM talks WHERE role <> 'system') WHERE strlen(value) >= 8")
@@ -386,7 +360,7 @@ def line_dedupe_counts(spark, sf_dir):
 @query("SELECT role, count(*) AS n FROM conversations WHERE role = 'system' GROUP BY role")
 def skip_prefilter(spark, sf_dir):
     """Lines that their first bytes rule out."""
-    return conversation_lines(spark, sf_dir).where(ops.skippable(F.col("line"))).groupBy("role").agg(F.count("*").alias("n"))
+    return conversation_lines(spark, sf_dir).where(ops.skippable("line")).groupBy("role").agg(F.count("*").alias("n"))
 
 
 def _files(spark, sf_dir) -> DataFrame:
@@ -411,9 +385,7 @@ def cache_partition(spark, sf_dir):
     """Files split into unchanged ones and those to scan."""
     files = _files(spark, sf_dir)
     manifest = _manifest(files)
-    cached = state.unchanged(files, manifest, "fp").withColumn("part", F.lit("cached"))
-    rest = state.to_scan(files, manifest, "fp").withColumn("part", F.lit("scan"))
-    return cached.unionByName(rest).groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    return state.partitioned(files, manifest, "fp").groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
 @query(
@@ -445,7 +417,7 @@ def offset_resume(spark, sf_dir):
     key, size = F.col("o_orderkey"), F.col("o_custkey").cast("long")
     files = orders.select(F.concat(F.lit("o"), key.cast("string")).alias("file"), size.alias("size"))
     done = orders.where(key % 4 != 0).select(F.concat(F.lit("o"), key.cast("string")).alias("file"), F.when(key % 4 == 1, size).when(key % 4 == 2, size - 1).otherwise(size + 5).alias("size"), F.lit("fp").alias("fingerprint"))
-    return state.pending(files, done, "fp")
+    return state.pending(files, done, "fp").drop("lines_before")
 
 
 _RANK = "list_sort(list(v))[CAST(floor({p} * (count(*) - 1) + 0.5) AS BIGINT) + 1]"
@@ -517,7 +489,7 @@ def relative_times(spark, sf_dir):
 
 
 @query("SELECT source, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS line_ends FROM documents GROUP BY source")
-def coverage(spark, sf_dir):
+def line_end_counts(spark, sf_dir):
     """Texts, bytes and line ends of each source."""
     text = F.col("text")
     return _documents(spark, sf_dir, heavy=False).groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length(text)).cast("long").alias("bytes"), F.sum(display.count_lines(text)).cast("long").alias("line_ends"))
@@ -528,20 +500,33 @@ def coverage(spark, sf_dir):
 )
 def diff_report(spark, sf_dir):
     """Findings as report lines with shortened secrets."""
-    rows = planted(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("line_number"), detect.scrub(F.col("text"), PLAIN)["redactions"].alias("redactions"))
+    rows = planted(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("line_number"), detect.scrub("text", PLAIN)["redactions"].alias("redactions"))
     return ops.report(ops.findings(rows, "file", "line_number")).select(F.col("file").cast("long").alias("doc_id"), "report")
 
 
 @query(f"WITH {_merged_duck(True)} SELECT pattern_name, count(*) AS count FROM (SELECT DISTINCT p.doc_id, pattern_name, substr(text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)) AS v FROM islands i JOIN planted p ON i.doc_id = p.doc_id) GROUP BY pattern_name")
 def redactions_by_pattern(spark, sf_dir):
     """Different findings of each pattern: the flagship count."""
-    rows = planted(spark, sf_dir).select("doc_id", detect.scrub(F.col("text"), SCORED)["redactions"].alias("redactions"))
+    rows = planted(spark, sf_dir).select("doc_id", detect.scrub("text", SCORED)["redactions"].alias("redactions"))
     return ops.count_by_pattern(ops.different(ops.findings(rows, "doc_id"), "doc_id"))
 
 
-@query()
+def _line_duck(text: str) -> str:
+    """SQL of a conversation's line as it is rewritten, with keys in order."""
+    return f"CASE WHEN role = 'user' THEN '{{\"message\":{{\"content\":' || CAST(to_json({text}) AS VARCHAR) || '}},\"type\":\"user\"}}' ELSE '{{\"message\":{{\"content\":[{{\"text\":' || CAST(to_json({text}) AS VARCHAR) || ',\"type\":\"text\"}}]}},\"type\":\"' || role || '\"}}' END"
+
+
+_SPOKEN = f"{_TALKS}, planted AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id, turn, role, text FROM talks WHERE role <> 'system')"
+
+
+@query(
+    f"WITH {_merged_duck(True, BUILT_IN + CUSTOM, _SPOKEN)}, {_SCRUBBED_DUCK}, kinds AS (SELECT doc_id, count(DISTINCT (pattern_name, substr(text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)))) AS n FROM islands JOIN planted USING (doc_id) GROUP BY doc_id), "
+    "done AS (SELECT p.*, coalesce(k.n, 0) AS n, CASE WHEN head IS NULL THEN text ELSE head || substr(text, CAST(last + 1 AS BIGINT)) END AS new_text FROM planted p LEFT JOIN rebuilt USING (doc_id) LEFT JOIN kinds k USING (doc_id)) "
+    f"SELECT 'c' || CAST(conv_id AS VARCHAR) AS file, turn AS line_number, {_line_duck('new_text')} AS new_line, 'redacted' AS status, CAST(n AS INTEGER) AS n_redactions FROM done UNION ALL "
+    "SELECT 'c' || CAST(conv_id AS VARCHAR), turn, '{\"type\":\"system\",\"message\":{\"content\":[{\"type\":\"text\",\"text\":' || CAST(to_json(text) AS VARCHAR) || '}]}}', 'skipped', 0 FROM talks WHERE role = 'system'"
+)
 def scrub_json_lines(spark, sf_dir):
-    """Conversations as JSON lines, rewritten; tested against the native scrubber and on its own."""
+    """Conversations as JSON lines, rewritten by all detectors."""
     settings = Settings(custom=CUSTOM)
     return ops.scrub_lines(conversation_lines(spark, sf_dir).select("file", "line_number", "line"), settings).select("file", "line_number", "new_line", "status", F.size("redactions").alias("n_redactions"))
 

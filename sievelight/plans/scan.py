@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.config import Settings
-from sievelight.functions.display import basename, format_bytes, format_duration_ms, format_epoch
+from sievelight.functions.display import basename, format_bytes, format_duration_ms, format_epoch, pluralise
 from sievelight.operators.findings import count_by_pattern, file_results, findings, report, scrub_lines
-from sievelight.operators.statistics import HISTORY
+from sievelight.operators.statistics import HISTORY, RECENT, SERIES, last_runs, nearest_rank_by, recent_with_redactions, sparklines
 from sievelight.plans.state import MANIFEST, OFFSETS, SCAN_RUNS, SESSION_RUNS, StateTable, pending, refreshed, to_scan
-from sievelight.sources.lines import discover, guarded, session_files, split_content
-from sievelight.sources.sinks import rewritten, write_in_place
+from sievelight.sources.lines import discover, guarded, read_lines, read_tails, session_files
+from sievelight.sources.sinks import write_in_place
+
+ROWS = "section string, key string, value string"
 
 
 @dataclass
@@ -32,10 +36,6 @@ class ScanResult:
         self.scrubbed.unpersist()
 
 
-def _content(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "content")
-
-
 def scan(spark: SparkSession, root: str, settings: Settings, state: str | None = None, fix: bool = False, use_cache: bool = True, truncate: bool = True) -> ScanResult:
     """Scan every ``.jsonl`` file below ``root``; ``fix`` rewrites files with findings in place.
 
@@ -50,22 +50,22 @@ def scan(spark: SparkSession, root: str, settings: Settings, state: str | None =
     wanted = to_scan(present, manifest.read(), mark) if manifest and use_cache else present
     wanted = wanted.persist()
     total, scanned = present.count(), wanted.count()
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
-    raw = raw.select(F.col("path").alias("file"), "content").join(wanted.select(F.col("path").alias("file")), "file", "left_semi")
-    scrubbed = scrub_lines(split_content(raw), settings).persist()
+    lines = read_lines(spark, root).join(wanted.select(F.col("path").alias("file")), "file", "left_semi")
+    scrubbed = scrub_lines(lines, settings).persist()
     found = findings(scrubbed, "file", "line_number")
     files = file_results(scrubbed)
     counts = {r["pattern_name"]: r["count"] for r in count_by_pattern(found).collect()}  # a row for each pattern
     failed = [r["file"] for r in files.where("errors > 0").select("file").toLocalIterator()]
     changed = files.where("redactions > 0").count()
+    undecoded = files.where("errors = 0 AND undecoded > 0").count()
     if fix and changed:
-        write_in_place(rewritten(scrubbed))
+        write_in_place(scrubbed)
     summary = {
         "timestamp_epoch": int(began),
         "files_scanned": scanned,
         "files_modified": changed,
         "total_redactions": sum(counts.values()),
-        "errors": len(failed),
+        "errors": len(failed) + undecoded,
         "duration_ms": int((time.time() - began) * 1000),
         "dry_run": not fix,
         "files_cached": total - scanned,
@@ -78,7 +78,7 @@ def scan(spark: SparkSession, root: str, settings: Settings, state: str | None =
             broken = spark.createDataFrame([(f,) for f in failed], "path string")
             done = now.join(wanted.select("path"), "path", "left_semi").join(broken, "path", "left_anti")
             manifest.write(refreshed(manifest.read(), done, now, mark))
-        StateTable(spark, state, "scan_runs", SCAN_RUNS).append(spark.createDataFrame([tuple(summary.values())], SCAN_RUNS))
+        StateTable(spark, state, "scan_runs", SCAN_RUNS).append(spark.createDataFrame([tuple(summary.values())], SCAN_RUNS), newest=HISTORY)
     wanted.unpersist()
     return ScanResult(scrubbed, found, count_by_pattern(found), files, report(found, truncate), summary)
 
@@ -95,21 +95,23 @@ def scrub_session(spark: SparkSession, transcript: str, root: str, settings: Set
     path = guarded(transcript, root)
     mark = settings.fingerprint()
     offsets = StateTable(spark, state, "offsets", OFFSETS)
-    raw = _content(spark, session_files(path)).withColumn("size", F.octet_length("content").cast("long"))
-    todo = pending(raw, offsets.read(), mark).persist()
-    scrubbed = scrub_lines(split_content(todo, "skip"), settings).persist()
+    names = [Path(p) for p in session_files(path)]
+    sizes = spark.createDataFrame([(p.as_uri(), p.stat().st_size) for p in names], "file string, size bigint")  # the files of one session
+    todo = pending(sizes, offsets.read(), mark).persist()
+    lines = read_tails(todo).join(F.broadcast(todo.select("file", "skip")), "file")
+    scrubbed = scrub_lines(lines, settings).persist()
     result = file_results(scrubbed)
-    rows = result.collect()  # the files of one session
-    if any(r["redactions"] for r in rows):
-        kept = todo.select("file", F.substring("content", F.lit(1), F.col("skip")).alias("prefix"))
-        write_in_place(rewritten(scrubbed).join(kept, "file"))
-    sizes = _content(spark, session_files(path)).select("file", F.octet_length("content").cast("long").alias("size"), F.lit(mark).alias("fingerprint"))
-    sizes = spark.createDataFrame(sizes.collect(), OFFSETS)
-    others = offsets.read().where(F.col("fingerprint") == mark).join(sizes, "file", "left_anti")
-    offsets.write(others.unionByName(sizes))
+    rows = result.collect()
+    written = dict(write_in_place(scrubbed)) if any(r["redactions"] for r in rows) else {}
+    ends = scrubbed.groupBy("file").agg(F.max("line_number").alias("last"), F.bool_and("ended").alias("ended"))
+    last = {r["file"]: r["last"] if r["file"] in written else r["last"] - (not r["ended"]) for r in ends.collect()}
+    seen = {r["file"]: (r["size"], r["skip"], r["lines_before"]) for r in todo.collect()}
+    done = [(f, written.get(f, size), mark, last.get(f, before if skip else 0)) for f, (size, skip, before) in seen.items()]
+    done = spark.createDataFrame(done, OFFSETS)
+    others = offsets.read().where(F.col("fingerprint") == mark).join(done, "file", "left_anti")
+    offsets.write(others.unionByName(done))
     ms = int((time.time() - began) * 1000)
-    of = {r["file"]: r["size"] for r in sizes.collect()}
-    runs = [(int(began), r["file"], r["redactions"], ms, of.get(r["file"], 0)) for r in rows]
+    runs = [(int(began), r["file"], r["redactions"], ms, written.get(r["file"], seen[r["file"]][0])) for r in rows]
     if runs:
         StateTable(spark, state, "session_runs", SESSION_RUNS).append(spark.createDataFrame(runs, SESSION_RUNS), newest=HISTORY)
     out = spark.createDataFrame(rows, result.schema)
@@ -124,9 +126,14 @@ def coverage(files: DataFrame) -> DataFrame:
 
 
 def status(spark: SparkSession, root: str, settings: Settings, state: str) -> DataFrame:
-    """(section, key, value) rows: detection, recent redactions, latency, last scan, coverage."""
-    from sievelight.operators.statistics import nearest_rank_by, recent_with_redactions
+    """(section, key, value) rows: configuration, recent redactions, run statistics, the last scan, coverage."""
+    runs = StateTable(spark, state, "session_runs", SESSION_RUNS).read()
+    scans = StateTable(spark, state, "scan_runs", SCAN_RUNS).read()
+    return status_rows(configured(spark, settings), runs, scans, coverage(discover(spark, root)))
+
 
+def configured(spark: SparkSession, settings: Settings) -> DataFrame:
+    """What detection works with, as (section, key, value)."""
     fixed = [
         ("Detection", "built-in patterns", str(len(settings.patterns))),
         ("Detection", "custom patterns", str(len(settings.custom))),
@@ -135,16 +142,57 @@ def status(spark: SparkSession, root: str, settings: Settings, state: str) -> Da
         ("Config", "blocked strings", str(len(settings.block_strings))),
         ("Config", "blocked hashes", str(len(settings.block_hashes))),
     ]
-    rows = spark.createDataFrame(fixed, "section string, key string, value string")
-    runs = StateTable(spark, state, "session_runs", SESSION_RUNS).read()
+    return spark.createDataFrame(fixed, ROWS)
+
+
+def status_rows(rows: DataFrame, runs: DataFrame, scans: DataFrame, covered: DataFrame) -> DataFrame:
+    """The report's rows from the run histories and the coverage.
+
+    Each section is one small row unpivoted; histories are bounded.
+    """
     recent = recent_with_redactions(runs, "redactions", ["timestamp_epoch", "file"])
-    rows = rows.unionByName(recent.select(F.lit("Recent redactions").alias("section"), basename(F.col("file")).alias("key"), F.concat(F.col("redactions").cast("string"), F.lit(", "), format_epoch(F.col("timestamp_epoch"))).alias("value")))
+    shown = F.concat(pluralise(F.col("redactions"), "redaction", "redactions"), F.lit(", "), format_epoch(F.col("timestamp_epoch")))
+    parts = [rows, recent.select(F.lit("Recent redactions").alias("section"), basename(F.col("file")).alias("key"), shown.alias("value"))]
+    total = runs.agg(F.count_if(F.col("redactions") > 0).alias("n")).where(F.col("n") > RECENT)
+    more = F.concat(F.lit("and "), (F.col("n") - RECENT).cast("string"), F.lit(" more of "), F.col("n").cast("string"))
+    parts.append(total.select(F.lit("Recent redactions").alias("section"), F.lit("…").alias("key"), more.alias("value")))
+    newest = runs.orderBy(F.desc("timestamp_epoch"), F.desc("file")).limit(1)
+    parts.append(_unpivoted(newest, "Stats", {"last run": format_epoch(F.col("timestamp_epoch")), "last file": F.concat(basename(F.col("file")), F.lit(", "), format_bytes(F.col("file_size_bytes"))), "last time": format_duration_ms(F.col("duration_ms"))}))
     latency = nearest_rank_by(runs.withColumn("_all", F.lit(1)), "_all", "duration_ms")
-    for key, column in (("runs", F.col("count").cast("string")), ("average", F.format_string("%.1fms", F.col("avg"))), ("p50", format_duration_ms(F.col("p50"))), ("p95", format_duration_ms(F.col("p95"))), ("max", format_duration_ms(F.col("max")))):
-        rows = rows.unionByName(latency.select(F.lit("Stats").alias("section"), F.lit(key).alias("key"), column.alias("value")))
-    last = StateTable(spark, state, "scan_runs", SCAN_RUNS).read().orderBy(F.desc("timestamp_epoch")).limit(1)
-    each = F.when(F.col("files_scanned") > 0, F.format_string("%.1fms/file", F.col("duration_ms") / F.col("files_scanned")))
-    for key, column in (("when", format_epoch(F.col("timestamp_epoch"))), ("files", F.col("files_scanned").cast("string")), ("redactions", F.col("total_redactions").cast("string")), ("throughput", each)):
-        rows = rows.unionByName(last.select(F.lit("Last scan").alias("section"), F.lit(key).alias("key"), column.alias("value")))
-    total = coverage(discover(spark, root))
-    return rows.unionByName(total.select(F.lit("Coverage").alias("section"), F.col("files").cast("string").alias("key"), format_bytes(F.col("bytes")).alias("value")))
+    parts.append(_unpivoted(latency, "Stats", {"runs": F.col("count").cast("string"), "average": F.format_string("%.1fms", F.col("avg")), "p50": format_duration_ms(F.col("p50")), "p95": format_duration_ms(F.col("p95")), "max": format_duration_ms(F.col("max"))}))
+    shown = runs.withColumn("_all", F.lit(1))
+    last = last_runs(shown, "_all", ["timestamp_epoch", "file"], keep=SERIES)
+    for key, column in (("latency", "duration_ms"), ("redactions", "redactions")):
+        parts.append(sparklines(last, "_all", ["timestamp_epoch", "file"], column).select(F.lit("Stats").alias("section"), F.lit(key).alias("key"), F.col("series").alias("value")))
+    files = F.concat(F.col("files_scanned").cast("string"), F.lit(" scanned, "), F.when(F.col("files_cached") > 0, F.concat(F.col("files_cached").cast("string"), F.lit(" cached, "))).otherwise(""), F.col("files_modified").cast("string"), F.lit(" modified"))
+    scan = scans.orderBy(F.desc("timestamp_epoch")).limit(1)
+    parts.append(
+        _unpivoted(
+            scan,
+            "Last scan",
+            {
+                "when": format_epoch(F.col("timestamp_epoch")),
+                "mode": F.when(F.col("dry_run"), "dry-run").otherwise("live"),
+                "files": files,
+                "redactions": F.col("total_redactions").cast("string"),
+                "errors": F.col("errors").cast("string"),
+                "duration": format_duration_ms(F.col("duration_ms")),
+                "throughput": throughput(F.col("duration_ms"), F.col("files_scanned")),
+            },
+        )
+    )
+    by = scan.select(F.explode("redactions_by_pattern").alias("key", "n"))
+    parts.append(by.select(F.lit("Last scan by pattern").alias("section"), "key", F.col("n").cast("string").alias("value")))
+    parts.append(covered.select(F.lit("Coverage").alias("section"), F.col("files").cast("string").alias("key"), format_bytes(F.col("bytes")).alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def throughput(duration_ms: Column, files: Column) -> Column:
+    """Milliseconds a file; null where no file was scanned."""
+    return F.when(files > 0, F.format_string("%.1fms/file", duration_ms / files))
+
+
+def _unpivoted(row: DataFrame, section: str, values: dict[str, Column]) -> DataFrame:
+    """One row's values as (section, key, value) rows; null ones are left out."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()))
+    return row.select(F.explode(pairs).alias("p")).where("p.value IS NOT NULL").select(F.lit(section).alias("section"), "p.key", "p.value")

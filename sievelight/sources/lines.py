@@ -1,57 +1,126 @@
-"""Readers: files of lines, the files of a session, and single messages."""
+"""Readers: files of lines, tails of files, the files of a session, and single messages.
+
+Lines come as (file, line_number from 1, line, is_valid, raw). Lines end with
+``\\n`` or ``\\r\\n``. A line that is no UTF-8 is kept with replacement
+characters and flagged, and ``raw`` has its bytes, so that a writer can leave
+it as it was; ``raw`` is null for all others.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PATTERN = "*.jsonl"
+#: Files up to this size are one row before they are split; larger ones are read in splits.
+WHOLE = 64 << 20
+#: Bytes that a tail's reader holds at a time, besides a line's.
+STEP = 1 << 20
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
-    """(file, line_number from 1, line, is_valid) of every ``.jsonl`` file below ``paths``.
+def read_lines(spark: SparkSession, paths: str | list[str], whole: int = WHOLE) -> DataFrame:
+    """Lines of every ``.jsonl`` file below ``paths``, of any size.
 
-    Line numbers need the whole file in order, so a file is one row before it
-    is split; lines end with ``\\n`` or ``\\r\\n``. A line that is no UTF-8 is kept
-    with replacement characters and flagged. Files too large for one row are
-    read by ``read_plain`` instead.
+    A small file is one row, and its lines are numbered as they are split off.
+    Larger files are read in splits; a first pass counts the lines of each
+    split, so that lines get their numbers without being shuffled.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", PATTERN).load(paths)
-    return split_content(files.select(F.col("path").alias("file"), "content"))
-
-
-def split_content(files: DataFrame, skip: str | None = None) -> DataFrame:
-    """Lines of ``content``; with ``skip``, only those behind that many bytes, numbered as in the whole file."""
-    content = F.col("content")
-    before = F.lit(0)
-    if skip is not None:
-        at = F.coalesce(F.col(skip), F.lit(0))
-        before = _newlines(F.substring(content, F.lit(1), at))
-        content = F.substring(content, at + 1, F.octet_length(content))
-    text = F.try_validate_utf8(content.cast("string"))
-    body = F.coalesce(text, F.make_valid_utf8(content.cast("string")))
-    ended = F.regexp_replace(body, r"\n\z", "")
-    parts = F.when(F.octet_length(content) == 0, F.expr("cast(array() as array<string>)")).otherwise(F.split(ended, "\n", -1))
-    rows = files.select("file", before.cast("long").alias("_before"), F.posexplode(parts).alias("_at", "_line"))
-    return rows.select(
-        "file",
-        (F.col("_before") + F.col("_at") + 1).alias("line_number"),
-        F.regexp_replace("_line", r"\r\z", "").alias("line"),
-        (~F.col("_line").contains("�")).alias("is_valid"),
-    )
-
-
-def _newlines(content) -> F.Column:
-    text = content.cast("string")
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
-def read_plain(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, line) by Spark's splittable text source: for files of any size, without line numbers."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", PATTERN).text(paths)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    small = split_content(files.where(F.col("length") <= whole).select(F.col("path").alias("file"), "content"))
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", PATTERN).option("lineSep", "\n").text(paths).where(F.col("_metadata.file_size") > whole)
+    at = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("_raw"))
+    splits = at.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = at.join(splits.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n"), ["file", "_block"])
+    large = numbered.select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_number"), "_raw")
+    return small.unionByName(_decoded(large))
+
+
+def _decoded(rows: DataFrame, *more: str) -> DataFrame:
+    """(file, line_number, line, is_valid, raw) of rows with a line's bytes ``_raw``, and ``more`` columns."""
+    raw = F.expr("CASE WHEN substring(_raw, -1, 1) = X'0D' THEN substring(_raw, 1, octet_length(_raw) - 1) ELSE _raw END")
+    text = F.col("_bare").cast("string")
+    valid = F.is_valid_utf8(text)
+    return rows.withColumn("_bare", raw).select("file", "line_number", F.make_valid_utf8(text).alias("line"), valid.alias("is_valid"), F.when(~valid, F.col("_bare")).alias("raw"), *more)
+
+
+def split_content(files: DataFrame) -> DataFrame:
+    """Lines of (file, content) rows."""
+    text = F.col("content").cast("string")
+    # Latin-1 has a character for each byte, so invalid files are split byte by byte.
+    either = F.when(F.is_valid_utf8(text), text).otherwise(F.decode("content", "ISO-8859-1"))
+    parts = F.when(F.octet_length("content") == 0, F.expr("cast(array() as array<string>)")).otherwise(F.split(F.regexp_replace(either, r"\n\z", ""), "\n", -1))
+    rows = files.select("file", F.is_valid_utf8(text).alias("_valid"), F.posexplode(parts).alias("_at", "_line"))
+    bare = rows.select("file", (F.col("_at").cast("long") + 1).alias("line_number"), "_valid", F.regexp_replace("_line", r"\r\z", "").alias("_line"))
+    raw = F.when(~F.col("_valid"), F.encode("_line", "ISO-8859-1"))
+    rows = bare.select("file", "line_number", "_line", raw.alias("_raw"))
+    valid = F.col("_raw").isNull() | F.is_valid_utf8(F.col("_raw").cast("string"))
+    line = F.when(F.col("_raw").isNull(), F.col("_line")).otherwise(F.make_valid_utf8(F.col("_raw").cast("string")))
+    return rows.select("file", "line_number", line.alias("line"), valid.alias("is_valid"), F.when(~valid, F.col("_raw")).alias("raw"))
+
+
+def local_path(file: str) -> str:
+    """The path on a mounted file system that a ``file:`` address names."""
+    return unquote(urlparse(file).path) if file.startswith("file:") else file
+
+
+def _tail(path: str, skip: int, size: int) -> Iterator[bytes]:
+    """Lines, each with its end, of the bytes from ``skip`` to ``size``."""
+    with open(path, "rb") as f:
+        f.seek(skip)
+        left, rest = size - skip, b""
+        while left > 0 and (data := f.read(min(STEP, left))):
+            left -= len(data)
+            *lines, rest = (rest + data).split(b"\n")
+            yield from (x + b"\n" for x in lines)
+        if rest:
+            yield rest
+
+
+def _newlines(path: str, upto: int) -> int:
+    with open(path, "rb") as f:
+        n, left = 0, upto
+        while left > 0 and (data := f.read(min(STEP, left))):
+            left -= len(data)
+            n += data.count(b"\n")
+    return n
+
+
+def _read_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            path = local_path(r["file"])
+            before = (_newlines(path, r["skip"]) if r["lines_before"] is None else r["lines_before"]) if r["skip"] else 0
+            rows, held = [], 0
+            for k, x in enumerate(_tail(path, r["skip"], r["size"])):
+                rows.append((r["file"], before + k + 1, x.removesuffix(b"\n"), x.endswith(b"\n")))
+                held += len(x)
+                if held > STEP:
+                    yield _tail_batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _tail_batch(rows)
+
+
+def _tail_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (("file", pa.string()), ("line_number", pa.int64()), ("_raw", pa.binary()), ("ended", pa.bool_()))
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+
+
+def read_tails(files: DataFrame) -> DataFrame:
+    """Lines of (file, size, skip, lines_before) rows behind ``skip`` bytes, numbered as in the whole file.
+
+    Only the tail is read, unless ``lines_before`` is null, when the lines
+    before it are counted. For file systems that every executor mounts. A
+    column ``ended`` says whether the line has its end yet.
+    """
+    tails = files.select("file", "size", "skip", "lines_before").mapInArrow(_read_tails, "file string, line_number bigint, _raw binary, ended boolean")
+    return _decoded(tails, "ended")
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:

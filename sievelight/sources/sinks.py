@@ -2,49 +2,100 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def rewritten(scrubbed: DataFrame) -> DataFrame:
-    """(file, content, size) of files with a redacted line: all lines in order, each with a line end."""
-    ordered = F.sort_array(F.collect_list(F.struct("line_number", "new_line")))  # one file's lines, which were one row when read
-    files = scrubbed.groupBy("file").agg(ordered.alias("lines"), F.max((F.col("status") == "redacted").cast("int")).alias("_changed"))
-    content = F.concat(F.array_join(F.transform("lines", lambda x: x["new_line"]), "\n"), F.lit("\n"))
-    return files.where("_changed = 1").select("file", content.alias("content")).withColumn("size", F.octet_length("content").cast("long"))
+def line_bytes(scrubbed: DataFrame) -> DataFrame:
+    """``scrubbed`` with ``_bytes``, what is to be written of each line: its own bytes unless it was redacted."""
+    raw = F.col("raw") if "raw" in scrubbed.columns else F.lit(None).cast("binary")
+    own = F.when((F.col("status") != "redacted") & raw.isNotNull(), raw).otherwise(F.col("new_line").cast("binary"))
+    return scrubbed.withColumn("_bytes", own)
 
 
-def _replace(rows) -> None:
-    """Write beside the file, then rename over it."""
+def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Write sorted lines beside their file, then rename over it; a file's lines pass by one batch at a time."""
     import os
+    import shutil
     import tempfile
-    from urllib.parse import unquote, urlparse
-
-    for row in rows:
-        path = unquote(urlparse(row["file"]).path)
-        handle, temp = tempfile.mkstemp(dir=os.path.dirname(path))
-        try:
-            with os.fdopen(handle, "wb") as out:
-                out.write(row["prefix"] or b"")
-                out.write(row["content"].encode())
-            os.chmod(temp, os.stat(path).st_mode & 0o777)
+
+    from sievelight.sources.lines import local_path
+
+    file = path = temp = out = None
+    done: list[tuple[str, int]] = []
+
+    def finish() -> None:
+        nonlocal out, temp
+        if out is not None:
+            out.close()
+            size = os.path.getsize(temp)
+            os.chmod(temp, os.stat(path).st_mode & 0o777 if os.path.exists(path) else 0o644)
             os.replace(temp, path)
-        except BaseException:
+            done.append((file, size))
+            out = temp = None
+
+    try:
+        for batch in batches:
+            for name, skip, data in zip(*(batch.column(c).to_pylist() for c in ("file", "skip", "_bytes")), strict=True):
+                if name != file:
+                    finish()
+                    file, path = name, local_path(name)
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    handle, temp = tempfile.mkstemp(dir=os.path.dirname(path))
+                    out = os.fdopen(handle, "wb")
+                    if skip:
+                        with open(path, "rb") as old:  # the part done before stays as it is
+                            shutil.copyfileobj(_Head(old, skip), out)
+                out.write(data)
+                out.write(b"\n")
+        finish()
+    except BaseException:
+        if out is not None:
+            out.close()
             os.unlink(temp)
-            raise
+        raise
+    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["file", "size"])
+
 
+class _Head:
+    """The first bytes of an open file."""
 
-def write_in_place(files: DataFrame) -> None:
-    """Replace each file atomically. For file systems that every executor mounts; elsewhere write a new folder.
+    def __init__(self, file, left: int):
+        self.file, self.left = file, left
 
-    ``files``: (file, content) and, for resumed files, prefix with the bytes kept as they are.
+    def read(self, n: int) -> bytes:
+        data = self.file.read(min(n, self.left))
+        self.left -= len(data)
+        return data
+
+
+def write_in_place(scrubbed: DataFrame) -> list[tuple[str, int]]:
+    """Replace each file that has a redacted line, atomically; returns (file, new size).
+
+    For file systems that every executor mounts; elsewhere write a new folder.
+    All lines get ``\\n`` as their end; the bytes of lines without a redaction
+    stay. ``skip``, where there is such a column, are the bytes of a resumed
+    file that stay in front. A file's lines are sorted and streamed, so it
+    may be of any size.
     """
-    if "prefix" not in files.columns:
-        files = files.withColumn("prefix", F.lit(None).cast("binary"))
-    files.select("file", "content", "prefix").foreachPartition(_replace)
+    skip = F.col("skip") if "skip" in scrubbed.columns else F.lit(0)
+    changed = scrubbed.where("status = 'redacted'").select("file").distinct()
+    lines = line_bytes(scrubbed).join(changed, "file", "left_semi").select("file", "line_number", skip.cast("long").alias("skip"), "_bytes")
+    ordered = lines.repartition("file").sortWithinPartitions("file", "line_number").select("file", "skip", "_bytes")
+    return [tuple(r) for r in ordered.mapInArrow(_replace, "file string, size bigint").collect()]  # a row for each changed file
+
+
+def write_files(lines: DataFrame) -> list[tuple[str, int]]:
+    """Write (file, line_number, line) rows to the local or mounted files they name; returns (file, size)."""
+    rows = lines.select("file", "line_number", F.lit(0).cast("long").alias("skip"), F.col("line").cast("binary").alias("_bytes"))
+    ordered = rows.repartition("file").sortWithinPartitions("file", "line_number").select("file", "skip", "_bytes")
+    return [tuple(r) for r in ordered.mapInArrow(_replace, "file string, size bigint").collect()]  # a row for each file
 
 
 def write_folder(scrubbed: DataFrame, path: str) -> None:
-    """Every line in a new folder, a sub-folder for each file, in order."""
-    lines = scrubbed.select(F.regexp_replace("file", r"[^A-Za-z0-9._-]+", "_").alias("source"), "line_number", F.col("new_line").alias("value"))
+    """Every line in a new folder, in order; ``source=`` sub-folders carry a file's address, percent-encoded."""
+    lines = line_bytes(scrubbed).select(F.url_encode("file").alias("source"), "line_number", F.col("_bytes").cast("string").alias("value"))
     lines.repartitionByRange("source", "line_number").sortWithinPartitions("source", "line_number").select("source", "value").write.partitionBy("source").text(path)

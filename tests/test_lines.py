@@ -189,11 +189,49 @@ def test_session_resumes_where_it_stopped(spark, tree, tmp_path):
     report = {(r["section"], r["key"]): r["value"] for r in plans.status(spark, str(tree), OFF, state).collect()}
     assert report["Detection", "built-in patterns"] == "21" and report["Stats", "runs"] == "4"
     assert report["Coverage", "3"].endswith(" B")
+    assert report["Stats", "last time"] and report["Recent redactions", "…"] == "and 1 more of 4"
 
 
-def test_resumed_lines_keep_their_numbers(spark):
-    df = spark.createDataFrame([("f", bytearray(b"a\nb\nc\nd\n"), 4)], "file string, content binary, skip bigint")
-    assert [(r["line_number"], r["line"]) for r in src.split_content(df, "skip").collect()] == [(3, "c"), (4, "d")]
+def test_resumed_lines_keep_their_numbers(spark, tmp_path):
+    path = tmp_path / "x.jsonl"
+    path.write_bytes(b"a\nb\nc\r\nd\xff\nlast")
+    rows = [(path.as_uri(), path.stat().st_size, 4, before) for before in (None, 2, 7)]
+    df = spark.createDataFrame(rows, "file string, size bigint, skip bigint, lines_before bigint")
+    got = [(r["line_number"], r["line"], r["is_valid"], r["raw"], r["ended"]) for r in src.read_tails(df).collect()]
+    one = [("c", True, None, True), ("d\ufffd", False, b"d\xff", True), ("last", True, None, False)]
+    assert sorted(got, key=str) == sorted([(n + k, *x) for n in (3, 3, 8) for k, x in enumerate(one)], key=str)
+
+
+def test_files_read_in_splits_equal_whole_ones(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.jsonl").write_bytes(b"".join(f"line {i} of {k}".encode() + (b"\xff" if i % 50 == 0 else b"") + (b"\r\n" if i % 3 else b"\n") for i in range(2000)) + b"end")
+    (tmp_path / "empty.jsonl").write_bytes(b"")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        order = ["file", "line_number"]
+        name = F.regexp_extract("file", r"([^/]+)$", 1).alias("file")
+        a, b = (src.read_lines(spark, str(tmp_path), whole=w).select(name, "line_number", "line", "is_valid", "raw").orderBy(*order).collect() for w in (0, 1 << 20))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert a == b and len(a) == 6003
+
+
+def test_bytes_of_other_lines_never_change(spark, tmp_path):
+    path = tmp_path / "tree" / "x.jsonl"
+    path.parent.mkdir()
+    other = b'{"x":"\xe9"}'
+    path.write_bytes(other + b"\n" + user(KEY).encode() + b"\n\xef\xbb\xbf  \n" + other)
+    done = plans.scan(spark, str(path.parent), OFF, fix=True)
+    assert done.summary["errors"] == 1 and done.summary["total_redactions"] == 1
+    done.close()
+    assert path.read_bytes() == other + b"\n" + Scrubber(OFF).scrub_line(user(KEY))[0].encode() + b"\n\xef\xbb\xbf  \n" + other + b"\n"
+
+
+def test_lines_are_scrubbed_in_one_scan(spark, tmp_path):
+    spark.createDataFrame([("f", user(KEY))], "file string, line string").write.parquet(str(tmp_path / "t"))
+    plan = ops.scrub_lines(spark.read.parquet(str(tmp_path / "t")), OFF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("ArrowEvalPython") == 1
 
 
 def test_manifest_operators(spark):
@@ -207,8 +245,8 @@ def test_manifest_operators(spark):
 
 def test_offsets(spark):
     files = spark.createDataFrame([("same", 5), ("more", 9), ("less", 3), ("new", 4)], "file string, size bigint")
-    offsets = spark.createDataFrame([("same", 5, "f"), ("more", 5, "f"), ("less", 5, "f")], OFFSETS)
-    assert sorted((r["file"], r["skip"]) for r in pending(files, offsets, "f").collect()) == [("less", 0), ("more", 5), ("new", 0)]
+    offsets = spark.createDataFrame([("same", 5, "f", 1), ("more", 5, "f", 2), ("less", 5, "f", 1)], OFFSETS)
+    assert sorted((r["file"], r["skip"], r["lines_before"]) for r in pending(files, offsets, "f").collect()) == [("less", 0, None), ("more", 5, 2), ("new", 0, None)]
 
 
 def test_state_table_keeps_snapshots(spark, tmp_path):
@@ -226,7 +264,7 @@ def test_stream_equals_batch(spark, tree, tmp_path):
     sink, mark = str(tmp_path / "sink"), str(tmp_path / "mark")
     stream_scan(spark, str(tree), sink, mark, OFF).awaitTermination(120)
     read = lambda: sorted((r["line"], r["new_line"], r["status"]) for r in spark.read.parquet(sink).collect())
-    batch = sorted((r["line"], r["new_line"], r["status"]) for r in ops.scrub_lines(src.read_plain(spark, str(tree)), OFF).collect())
+    batch = sorted((r["line"], r["new_line"], r["status"]) for r in ops.scrub_lines(src.read_lines(spark, str(tree)), OFF).collect())
     assert read() == batch
     (tree / "p" / "later.jsonl").write_text(user("later " + KEY) + "\n")
     stream_scan(spark, str(tree), sink, mark, OFF).awaitTermination(120)
@@ -257,3 +295,25 @@ def test_folder_sink(spark, tree, tmp_path):
     write_folder(done, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).where(F.col("value").contains(KEY)).count() == 0
     assert spark.read.text(str(tmp_path / "out")).count() == 7
+
+
+def test_folder_sink_keeps_files_apart(spark, tmp_path):
+    from sievelight.sources.sinks import write_folder
+
+    rows = [("/x/a/b.jsonl", 1, "one", "clean"), ("/x/a_b.jsonl", 1, "two", "clean"), ("/x/a%2Fb.jsonl", 1, "three", "clean")]
+    write_folder(spark.createDataFrame(rows, "file string, line_number bigint, new_line string, status string"), str(tmp_path / "out"))
+    got = spark.read.text(str(tmp_path / "out")).select(F.url_decode("source"), "value").collect()
+    assert sorted(tuple(r) for r in got) == sorted((r[0], r[2]) for r in rows)
+
+
+def test_damaged_state_counts_as_missing(spark, tmp_path):
+    t = StateTable(spark, str(tmp_path), "t", "timestamp_epoch bigint")
+    t.append(spark.createDataFrame([(1,)], "timestamp_epoch bigint"))
+    t.append(spark.createDataFrame([(2,)], "timestamp_epoch bigint"))
+    newest = tmp_path / "t" / f"v{t.versions()[-1]}"
+    for file in newest.glob("*.parquet"):
+        file.write_bytes(b"broken")
+    for file in newest.glob(".*.crc"):
+        file.unlink()
+    with pytest.warns(UserWarning, match="can't be read"):
+        assert [r[0] for r in t.read().collect()] == [1]
\ No newline at end of file

@@ -6,7 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from sievelight.plans import queries as engine
+from sievelight.plans import catalogue as engine
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")

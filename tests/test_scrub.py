@@ -51,7 +51,7 @@ SETTINGS = {
 @pytest.mark.parametrize("name", [n for n in SETTINGS if n != "custom"])
 def test_native_equals_python(spark, name):
     settings = SETTINGS[name]
-    rows = spark.createDataFrame([(t,) for t in TEXTS], "text string").select("text", detect.scrub(F.col("text"), settings).alias("r")).collect()
+    rows = spark.createDataFrame([(t,) for t in TEXTS], "text string").select("text", detect.scrub("text", settings).alias("r")).collect()
     twin = Scrubber(settings)
     for text, r in rows:
         new, found = twin.scrub_text(text)
@@ -70,7 +70,7 @@ def test_native_equals_python(spark, name):
 
 
 def test_null_stays_null(spark):
-    row = spark.createDataFrame([(None,)], "text string").select(detect.scrub(F.col("text"), Settings())).first()
+    row = spark.createDataFrame([(None,)], "text string").select(detect.scrub("text", Settings())).first()
     assert row[0] is None
 
 
@@ -122,7 +122,7 @@ def test_scrubbing_twice_changes_nothing(parts):
 
 def test_prefilter_lets_every_finding_through(spark):
     settings = Settings(block_strings=("blocked phrase",))
-    rows = spark.createDataFrame([(t,) for t in TEXTS], "text string").select("text", detect.may_hit(F.col("text"), settings)).collect()
+    rows = spark.createDataFrame([(t,) for t in TEXTS], "text string").select("text", detect.may_hit("text", settings)).collect()
     twin = Scrubber(settings)
     assert all(hit for text, hit in rows if twin.scrub_text(text)[1])
 
@@ -143,13 +143,42 @@ def test_byte_offsets(spark):
     assert row[0] == len("éa𝒳".encode())
 
 
-def test_relational_islands_equal_the_expression(spark):
-    from sievelight.operators.findings import islands
+@pytest.mark.parametrize("name", [n for n in SETTINGS if n != "custom"])
+def test_relational_merge_equals_the_kernel(spark, name):
+    from sievelight.operators.findings import islands, spans_of
 
-    settings = Settings(entropy=Entropy(threshold=3.0), block_strings=("blocked phrase", "phrase and blocked"))
+    settings = SETTINGS[name]
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
-    spans = df.select("id", F.explode(detect.all_spans(F.col("text"), settings)).alias("s")).select("id", "s.start", "s.stop", "s.rank", "s.name")
-    a = {tuple(r) for r in islands(spans, "id").select("id", "start", "stop", "pattern_name").collect()}
+    a = {tuple(r) for r in islands(spans_of(df, "id", "text", settings), "id").select("id", "start", "stop", "pattern_name").collect()}
     twin = Scrubber(settings)
-    b = {(i, s, e, n) for i, t in enumerate(TEXTS) for n, s, e, _ in twin.scrub_text(t)[1]}
-    assert a == b
+    assert a == {(i, s, e, n) for i, t in enumerate(TEXTS) for n, s, e, _ in twin.scrub_text(t)[1]}
+
+
+def test_positions_over_many_chunks(spark):
+    text = "é".join(f"id:{k:08d} " for k in range(3 * detect.CHUNK + 5))
+    for pattern in (Pattern("id", r"id:([0-9]{8})", (), 1), Pattern("id", r"\bid:([0-9]{8})\b", (), 1), Pattern("id", r"id:[0-9]{8}")):
+        settings = Settings(entropy=OFF, patterns=(), custom=(pattern,))
+        spans = spark.createDataFrame([(text,)], "t string").select(F.explode(detect.pattern_spans("t", settings)).alias("s")).select("s.*").collect()
+        assert [(s["name"], s["start"], s["stop"], s["value"]) for s in spans] == [r[:3] + (r[3],) for r in Scrubber(settings).scrub_text(text)[1]]
+
+
+def test_a_long_text_in_time(spark):
+    """Five MB with 90,000 tokens: work in proportion to the text."""
+    import time
+
+    text = " ".join(base64.b64encode(hashlib.sha256(str(k).encode()).digest()).decode() + (" " + GHP if k % 9 == 0 else "") for k in range(90_000))
+    began = time.perf_counter()
+    row = spark.createDataFrame([(text,)], "text string").select(F.size(detect.scrub("text", Settings())["redactions"])).first()
+    spans = spark.createDataFrame([(text,)], "text string").select(F.size(detect.token_spans("text"))).first()
+    assert row[0] >= 90_000 and spans[0] == 100_000
+    assert time.perf_counter() - began < 60
+
+
+def test_expressions_are_quick_to_build(spark):
+    import time
+
+    detect.scrub("text", Settings())
+    began = time.perf_counter()
+    detect.scrub("text", Settings())
+    detect.pattern_spans("text", Settings())
+    assert time.perf_counter() - began < 2

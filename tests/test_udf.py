@@ -20,8 +20,9 @@ def test_functions_in_sql(spark):
     assert json.loads(tree["b"]) == {"a": [RED], "password": "[REDACTED:sensitive-field]"}
     assert system["c"]["text"] == system["t"] and system["c"]["redactions"] == [] and RED in system["b"]
     assert null["a"] is None and null["c"] is None
-    found = spark.sql("SELECT r.* FROM udf_rows, LATERAL extract_redactions(t) r").collect()
-    assert sorted((r["pattern_name"], r["matched_text"]) for r in found) == [("github-token", KEY), ("sensitive-field", "abcdefgh1")]
+    found = spark.sql("SELECT r.* FROM extract_redactions(TABLE(SELECT t AS line FROM udf_rows)) r").collect()
+    assert sorted((r["line"], r["pattern_name"], r["matched_text"]) for r in found) == [(rows[1][0], "github-token", KEY), (rows[1][0], "sensitive-field", "abcdefgh1")]
+    assert spark.sql("SELECT r.* FROM extract_redactions(TABLE(SELECT t AS line FROM udf_rows WHERE false)) r").count() == 0
 
 
 def test_groups_inside_other_groups_have_a_python_form(spark):
@@ -31,10 +32,8 @@ def test_groups_inside_other_groups_have_a_python_form(spark):
 
 
 def test_a_failing_line_is_marked(spark, monkeypatch):
-    from sievelight.operators import findings as ops
-
     class Broken:
         def scrub_line(self, line):
             raise RuntimeError(line)
 
-    assert ops._safe(Broken(), "x") == ("x", [], "error")
+    assert udf.safe(Broken(), "x") == ("x", [], "error")
