@@ -8,25 +8,32 @@ others:
    hash; equal windows name equal seeds wherever they stand. A seed found in
    one document alone ends there, which drops most of the corpus.
 2. *Windows.* Windows under shared seeds are indexed by a 96-bit hash with the
-   smallest document that holds them, and where in it.
-
-A document is then factored greedily against the index: a factor starts at a
-window that an earlier document owns and runs on while the next window
-continues at the next place of the same owner. Where a factor ends, windows
-across its boundary are looked up as well and start factors of their own that
-overlap it. Every factor has at least MIN_WORDS words and becomes a duplicate
-span, so the words that spans cover are exactly those of windows whose words
-also start in a document with a smaller id.
+   smallest document that holds them, and where in it: the reference holds
+   each window once, where it first stands.
+
+A document is then parsed greedily. Where its next window is in the reference
+at an earlier document, a factor starts, and it is the longest that any
+indexed document gives which holds one of the windows that follow: it goes on
+through windows that the reference has elsewhere, as long as the same document
+really continues alike. To tell that, each document's places of windows owned
+by others are sent to the blocks that refer to it; equal owners and places
+mean equal windows, so no text has to be compared. Where a factor ends,
+windows across its boundary are looked up as well, and the first found starts
+a factor that overlaps. Every factor has at least MIN_WORDS words and becomes
+a duplicate span, and the words of spans are what is removed. These are
+exactly the words of windows that also start in a document with a smaller id,
+since every such window lies in a factor, and a factor's words all stand in a
+smaller document.
 
 A group in a reduce step is a range of hashes over a bounded number of blocks;
 of a passage that all blocks share it holds one entry a block, and past
-FAN_IN blocks entries are merged in two levels.
+FAN_IN blocks entries are merged in two levels, with finer ranges in the second.
 
-Defined cases: null and empty texts have no words and stay as they are; a row
-with a null id neither owns nor loses words; rows that share an id do not
-count as earlier than each other; long texts form a block alone; an empty
-table gives an empty result; clashing input columns are renamed to
-``input_<name>``.
+Defined cases: ids are integers (others raise); null and empty texts have no
+words and stay as they are; a row with a null id neither owns nor loses words;
+rows that share an id do not count as earlier than each other; long texts form
+a block alone; an empty table gives an empty result; clashing input columns
+are renamed to ``input_<name>``.
 """
 
 from __future__ import annotations
@@ -48,8 +55,10 @@ SEED_WORDS = 5
 BLOCK_BYTES = 1 << 20
 #: Blocks whose entries make up one hash range, on average.
 BLOCKS_A_RANGE = 16
-#: Blocks whose entries meet in one group before they are merged.
-FAN_IN = 4096
+#: Blocks whose entries meet in one group before they are merged, and most hash ranges that a block's entries are dealt to.
+FAN_IN, MOST_RANGES = 4096, 4096
+#: Parts that requests for one document are dealt to, at most.
+MOST_SALTS = 16
 
 
 def _packed(batch: pa.RecordBatch) -> bytes:
@@ -254,19 +263,22 @@ def _shared_seeds(table: pa.Table) -> pa.Table:
     return _by_block(table, row[shared], [("hash", hashes[shared])])
 
 
-def _one_row(table: pa.Table, columns: list[tuple[str, np.ndarray]]) -> pa.Table:
-    out = {c: table.column(c).slice(0, 1) for c in ("range", "lot")}
-    return pa.table(out | {name: pa.array([_bytes(name, x)], pa.binary()) for name, x in columns})
+def _fine_rows(table: pa.Table, fine: int, columns: list[tuple[str, np.ndarray]]) -> pa.Table:
+    """A lot's entries, sorted by hash, in a row for each of ``fine`` ranges of all hashes."""
+    cuts, of = _ranges(columns[0][1], fine)
+    ends = np.append(cuts[1:], len(columns[0][1]))[: len(cuts)]
+    out = {c: pa.array([table.column(c)[0].as_py()] * len(cuts), pa.int64()) for c in ("range", "lot")} | {"fine": pa.array(of, pa.int64())}
+    return pa.table(out | {name: pa.array([_bytes(name, x[i:j]) for i, j in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary()) for name, x in columns})
 
 
-def _seeds_of_lot(table: pa.Table) -> pa.Table:
-    """A lot's different seeds in one row."""
+def _seeds_of_lot(table: pa.Table, fine: int) -> pa.Table:
+    """A lot's different seeds."""
     hashes, _ = _column(table, "hash", np.uint64)
     several, _ = _column(table, "several", np.uint8)
     order = np.argsort(hashes, kind="stable")
     hashes, several = hashes[order], several[order]
     start, many = _shared(hashes, several)
-    return _one_row(table, [("hash", hashes[start]), ("several", many.astype(np.uint8))])
+    return _fine_rows(table, fine, [("hash", hashes[start]), ("several", many.astype(np.uint8))])
 
 
 def _by_lot(table: pa.Table, row: np.ndarray, columns: list[tuple[str, np.ndarray]]) -> pa.Table:
@@ -342,11 +354,11 @@ def _owned_windows(table: pa.Table) -> pa.Table:
     return _by_block(table, row[lost], [("hash", first[lost]), ("second", second[lost]), ("owner", owner[lost]), ("spot", owner_spot[lost])])
 
 
-def _windows_of_lot(table: pa.Table) -> pa.Table:
-    """A lot's different windows in one row, each with its smallest document."""
+def _windows_of_lot(table: pa.Table, fine: int) -> pa.Table:
+    """A lot's different windows, each with its smallest document."""
     first, second, _, doc, spot, _ = _windows(table)
     start = _starts(first, second)
-    return _one_row(table, [("hash", first[start]), ("second", second[start]), ("doc", doc[start]), ("spot", spot[start])])
+    return _fine_rows(table, fine, [("hash", first[start]), ("second", second[start]), ("doc", doc[start]), ("spot", spot[start])])
 
 
 def _windows_over_lots(table: pa.Table) -> pa.Table:
@@ -369,33 +381,170 @@ def _windows_to_blocks(entries: pa.Table, owners: pa.Table) -> pa.Table:
     return _by_block(entries, row[lost], [("hash", first[lost]), ("second", second[lost]), ("owner", owner[lost]), ("spot", owner_spot[lost])])
 
 
-def _exchanged(entries: DataFrame, lots: int, direct, of_lot, over_lots, to_blocks, fields: str, between: str, answers: str) -> DataFrame:
+def _exchanged(entries: DataFrame, ranges: int, lots: int, direct, of_lot, over_lots, to_blocks, fields: str, between: str, answers: str) -> DataFrame:
     """Answers for the blocks from entries by hash range.
 
     One group a range where the blocks are few. Else the blocks of a range are
     dealt to lots of about FAN_IN; each lot is merged to its different hashes,
-    the lots of a range are merged, and the answers go back the same way.
+    the lots are merged by ranges as much finer as there are more of them, and
+    the answers go back the same way.
     """
     if lots == 1:
         return entries.groupBy("range").applyInArrow(direct, answers)
     dealt = entries.withColumn("lot", F.pmod(F.xxhash64("block"), F.lit(lots)).cast("bigint"))
-    merged = dealt.groupBy("range", "lot").applyInArrow(of_lot, f"range bigint, lot bigint, {fields}")
-    decided = merged.groupBy("range").applyInArrow(over_lots, f"range bigint, lot bigint, {between}")
+    fine = ranges * max(1, lots // BLOCKS_A_RANGE)
+
+    def merge(table: pa.Table) -> pa.Table:
+        return of_lot(table, fine)
+
+    merged = dealt.groupBy("range", "lot").applyInArrow(merge, f"range bigint, lot bigint, fine bigint, {fields}")
+    decided = merged.groupBy("fine").applyInArrow(over_lots, f"range bigint, lot bigint, {between}")
     return dealt.groupBy("range", "lot").cogroup(decided.groupBy("range", "lot")).applyInArrow(to_blocks, answers)
 
 
-def factors(owner: np.ndarray, spot: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, words, owner, owner's start) of one document.
+#: Places where a document has windows that the reference has elsewhere: first place, windows, owner, owner's first place.
+SEGMENT = np.dtype([("place", "<i4"), ("count", "<i4"), ("owner", "<i8"), ("spot", "<i4")])
 
-    ``place``: where its owned windows start, ascending; the owner of each and
-    its place there. A factor goes on while the next window follows in both.
-    """
+
+def _stretches(row: np.ndarray, place: np.ndarray, owner: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of consecutive windows of a row begin, and where segments of them with one owner do."""
     if not len(place):
-        return []
-    follows = (place[1:] == place[:-1] + 1) & (owner[1:] == owner[:-1]) & (spot[1:] == spot[:-1] + 1)
-    start = np.flatnonzero(np.concatenate([[True], ~follows]))
-    words = np.diff(np.append(start, len(place))) + MIN_WORDS - 1
-    return list(zip(place[start].tolist(), words.tolist(), owner[start].tolist(), spot[start].tolist(), strict=True))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    apart = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+    turns = apart | (owner[1:] != owner[:-1]) | (spot[1:] != spot[:-1] + 1)
+    return tuple(np.flatnonzero(np.concatenate([[True], x])) for x in (apart, turns))
+
+
+def _segments(place: np.ndarray, owner: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """One document's windows as segments."""
+    _, start = _stretches(np.zeros(len(place), np.int8), place, owner, spot)
+    out = np.zeros(len(start), SEGMENT)
+    out["place"], out["owner"], out["spot"] = place[start], owner[start], spot[start]
+    out["count"] = np.diff(np.append(start, len(place)))[: len(start)]
+    return out
+
+
+class Hits:
+    """A block's windows that the reference has at a smaller document: row, place, owner and its place."""
+
+    def __init__(self, p: Parsed, owned: list | None):
+        self.row = self.place = self.owner = self.spot = self.where = np.zeros(0, np.int64)
+        if not owned:
+            return
+        known = [np.concatenate([_values(c, x[c], k) for x in owned]) for c, k in (("hash", np.uint64), ("second", np.uint32), ("owner", np.int64), ("spot", np.uint32))]
+        order = np.argsort(known[0], kind="stable")  # different windows share the first part in one case of 2^64
+        hashes, second, owner, spot = (x[order] for x in known)
+        first, other = p.windows()
+        at = np.minimum(np.searchsorted(hashes, first), len(hashes) - 1)
+        hit = (hashes[at] == first) & (second[at] == other) & (owner[at] < p.doc)
+        self.where, at = np.flatnonzero(hit), at[hit]
+        self.row, self.place = p.owner[p.at[self.where]], p.place[self.where]
+        self.owner, self.spot = owner[at], spot[at].astype(np.int64)
+
+    def of_many(self) -> np.ndarray:
+        """Owners in runs of several segments."""
+        runs, segments = _stretches(self.row, self.place, self.owner, self.spot)
+        if not len(runs):
+            return np.zeros(0, np.int64)
+        run = np.searchsorted(runs, segments, side="right") - 1
+        return np.unique(self.owner[segments][np.bincount(run, minlength=len(runs))[run] > 1])
+
+
+def _references(p: Parsed, hits: Hits) -> Iterator[tuple[int, bytes]]:
+    """(id, segments) of documents some of whose windows the reference has elsewhere: at a smaller document, or earlier in their own text."""
+    if not len(p.at):
+        return
+    row, (first, second) = p.owner[p.at], p.windows()
+    order = np.lexsort((p.place, second, first, row))
+    start = _starts(row[order], first[order], second[order])
+    earliest = np.empty(len(order), np.int64)
+    earliest[order] = np.repeat(p.place[order][start], np.diff(np.append(start, len(order))))
+    owner, spot, elsewhere = p.doc.copy(), earliest, earliest < p.place
+    owner[hits.where], spot[hits.where], elsewhere[hits.where] = hits.owner, hits.spot, True
+    row, place, owner, spot = (x[elsewhere] for x in (row, p.place, owner, spot))
+    edges = _starts(row)
+    for i, j in zip(edges.tolist(), np.append(edges[1:], len(row))[: len(edges)].tolist(), strict=True):
+        yield int(p.ids[row[i]]), _segments(place[i:j], owner[i:j], spot[i:j]).tobytes()
+
+
+def _links(batches: Iterator[pa.RecordBatch], key: str, text: str, salts: int) -> Iterator[pa.RecordBatch]:
+    """Of each block: documents' segments, once for each salt, and requests for the documents that it refers to."""
+    for batch in batches:
+        for block, packed, owned in zip(*(batch.column(c).to_pylist() for c in ("block", "packed", "owned")), strict=True):
+            p = Parsed(_unpacked(packed), key, text)
+            hits = Hits(p, owned)
+            rows = [(doc, salt, None, data) for doc, data in _references(p, hits) for salt in range(salts)]
+            rows += [(doc, block % salts, block, None) for doc in hits.of_many().tolist()]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "salt", "block", "segments"])
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests met with segments, both in the order of documents and segments first; one document is held at a time."""
+    doc, held = None, []
+    for batch in batches:
+        out = []
+        for d, block, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "block", "segments")), strict=True):
+            if d != doc:
+                doc, held = d, []
+            if block is None:
+                held.append(data)
+            else:
+                out += [(block, d, x) for x in held]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "doc", "segments"])
+
+
+def _alike(owner: np.ndarray, spot: np.ndarray, doc: int, first: int, segments: np.ndarray | None) -> np.ndarray:
+    """Whether each window of a run is the one that ``doc`` has at the places from ``first`` on."""
+    place = np.arange(first, first + len(owner))
+    its_owner, its_spot = np.full(len(owner), doc, np.int64), place
+    if segments is not None and len(segments):
+        at = np.searchsorted(segments["place"], place, side="right") - 1
+        x = segments[np.maximum(at, 0)]
+        inside = (at >= 0) & (place < x["place"].astype(np.int64) + x["count"])
+        its_owner = np.where(inside, x["owner"], its_owner)
+        its_spot = np.where(inside, x["spot"] + place - x["place"], place)
+    return (its_owner == owner) & (its_spot == spot)
+
+
+def _longest(owner: np.ndarray, spot: np.ndarray, starts: np.ndarray, known: dict[int, list[np.ndarray]]) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (window, windows, owner, owner's place) of a run of several segments, which begin at ``starts``."""
+    stretches = []
+    for doc, shift in sorted({(int(owner[i]), int(spot[i]) - i) for i in starts.tolist()}):
+        for segments in (None, *known.get(doc, ())):  # rows may share an id
+            same = np.concatenate([[False], _alike(owner, spot, doc, shift, segments), [False]])
+            edges = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
+            stretches += [(i, -j, doc, shift) for i, j in edges.tolist()]
+    stretches.sort()
+    out, at, k = [], 0, 0
+    best = (0, 0, 0)
+    while at < len(owner):
+        while k < len(stretches) and stretches[k][0] <= at:
+            best = max(best, (-stretches[k][1], -stretches[k][2], stretches[k][3]))
+            k += 1
+        stop, doc, shift = best[0], -best[1], best[2]
+        out.append((at, stop - at, doc, at + shift))
+        at = stop  # the first window across the factor's boundary
+    return out
+
+
+def factors(row: np.ndarray, place: np.ndarray, owner: np.ndarray, spot: np.ndarray, known: dict[int, list[np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
+    """Greedy factors (row, start, words, owner, owner's start) of a block's documents.
+
+    ``row``, ``place``: windows that the reference has, ascending; ``owner``
+    and ``spot``: where. ``known``: segments of the documents referred to.
+    Only consecutive windows can lie in one factor.
+    """
+    runs, segments = _stretches(row, place, owner, spot)
+    ends = np.append(runs[1:], len(place))[: len(runs)]
+    first, last = np.searchsorted(segments, runs), np.searchsorted(segments, ends)
+    out = []
+    for a, b, i, j in zip(runs.tolist(), ends.tolist(), first.tolist(), last.tolist(), strict=True):
+        found = [(0, b - a, int(owner[a]), int(spot[a]))] if j - i == 1 else _longest(owner[a:b], spot[a:b], segments[i:j] - a, known)
+        out += [(int(row[a]), int(place[a]) + at, n + MIN_WORDS - 1, doc, its) for at, n, doc, its in found]
+    return out
 
 
 def cut(data: bytes, starts: np.ndarray, removed: np.ndarray) -> str:
@@ -412,37 +561,31 @@ def cut(data: bytes, starts: np.ndarray, removed: np.ndarray) -> str:
 
 def _factored(batches: Iterator[pa.RecordBatch], key: str, text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for packed, owned in zip(batch.column("packed").to_pylist(), batch.column("owned").to_pylist(), strict=True):
+        for packed, owned, answers in zip(*(batch.column(c).to_pylist() for c in ("packed", "owned", "answers")), strict=True):
             rows = _unpacked(packed)
             p = Parsed(rows, key, text)
-            spans: list[list[tuple]] = [[] for _ in range(rows.num_rows)]
-            removed = np.zeros(rows.num_rows, np.int64)
+            hits = Hits(p, owned)
+            known: dict[int, list[np.ndarray]] = {}
+            for x in answers or ():
+                known.setdefault(x["doc"], []).append(np.frombuffer(x["segments"], SEGMENT))
+            found = factors(hits.row, hits.place, hits.owner, hits.spot, known)
+            spans: list[list[dict]] = [[] for _ in range(rows.num_rows)]
+            covered = np.zeros(len(p.owner) + 1, np.int64)
+            for row, start, words, doc, its in found:
+                spans[row].append({"start": start, "words": words, "ref_id": doc, "ref_start": its})
+                covered[p.first[row] + start] += 1
+                covered[p.first[row] + start + words] -= 1
+            covered = np.cumsum(covered)[:-1] > 0
+            removed = np.bincount(p.owner[covered], minlength=rows.num_rows)
             texts = rows.column(text)
-            if owned:
-                known = [np.concatenate([_values(c, x[c], k) for x in owned]) for c, k in (("hash", np.uint64), ("second", np.uint32), ("owner", np.int64), ("spot", np.uint32))]
-                order = np.argsort(known[0], kind="stable")  # different windows share the first part in one case of 2^64
-                hashes, second, owner, spot = (x[order] for x in known)
-                first, other = p.windows()
-                at = np.minimum(np.searchsorted(hashes, first), len(hashes) - 1)
-                hit = (hashes[at] == first) & (second[at] == other) & (owner[at] < p.doc)
-                where, at = np.flatnonzero(hit), at[hit]
-                covered = np.zeros(len(p.owner) + 1, np.int64)
-                np.add.at(covered, p.at[where], 1)
-                np.add.at(covered, p.at[where] + MIN_WORDS, -1)
-                covered = np.cumsum(covered)[:-1] > 0
-                removed = np.bincount(p.owner[covered], minlength=rows.num_rows)
-                local = p.owner[p.at[where]]
-                cuts = np.searchsorted(local, np.arange(rows.num_rows + 1))
+            if found:
                 new = texts.to_pylist()
                 for d in np.flatnonzero(removed).tolist():
-                    of = slice(cuts[d], cuts[d + 1])
-                    spans[d] = factors(owner[at[of]], spot[at[of]], p.place[where[of]])
                     words = slice(p.first[d], p.first[d] + p.counts[d])
                     new[d] = cut(p.data[p.offsets[d] : p.offsets[d + 1]].tobytes(), p.starts[words] - p.offsets[d], covered[words])
                 texts = pa.array(new, texts.type)
             arrays = [texts if f.name == text else rows.column(f.name) for f in rows.schema]
-            kind = schema.field("spans").type
-            made = pa.array([[dict(zip(("start", "words", "ref_id", "ref_start"), s, strict=True)) for s in x] for x in spans], kind)
+            made = pa.array(spans, schema.field("spans").type)
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(p.counts), pa.array(removed), made], names=[*rows.schema.names, "n_words", "n_removed", "spans"])
 
 
@@ -456,29 +599,34 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     folder; the two index steps and the factoring read those, and only packed
     blocks and packed hashes are shuffled.
     """
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{key} must be an integer column")
     docs = free_names(docs, ["n_words", "n_removed", "spans"])
     schema = plus(docs, SPANS)
     blocks = settle(mapped(docs, partial(_to_blocks, text=text), "block bigint, packed binary"))
     n = blocks.count()
-    ranges, lots = max(1, n // BLOCKS_A_RANGE), -(-n // FAN_IN) or 1
+    ranges, lots = max(1, min(MOST_RANGES, n // BLOCKS_A_RANGE)), -(-n // FAN_IN) or 1
     named = {"key": key, "text": text}
     seeds = mapped(blocks, partial(_seed_entries, ranges=ranges, **named), "range bigint, block bigint, hash binary, several binary")
     shared = _exchanged(
-        seeds, lots, _shared_seeds, _seeds_of_lot, _seeds_over_lots, _seeds_to_blocks, "hash binary, several binary", "hash binary", "block bigint, hash binary"
+        seeds, ranges, lots, _shared_seeds, _seeds_of_lot, _seeds_over_lots, _seeds_to_blocks, "hash binary, several binary", "hash binary", "block bigint, hash binary"
     )
     shared = shared.groupBy("block").agg(F.collect_list("hash").alias("shared"))
     windows = mapped(
-        blocks.join(shared, "block", "left"),  # left as below, so that one exchange of the blocks serves both
+        blocks.join(shared, "block", "left"),  # left as below, so that one exchange of the blocks serves all
         partial(_window_entries, ranges=ranges, **named),
         "range bigint, block bigint, hash binary, second binary, doc binary, spot binary",
     )
     fields, answers = "hash binary, second binary, doc binary, spot binary", "block bigint, hash binary, second binary, owner binary, spot binary"
-    owned = _exchanged(windows, lots, _owned_windows, _windows_of_lot, _windows_over_lots, _windows_to_blocks, fields, fields, answers)
-    owned = owned.groupBy("block").agg(F.collect_list(F.struct("hash", "second", "owner", "spot")).alias("owned"))
+    owned = _exchanged(windows, ranges, lots, _owned_windows, _windows_of_lot, _windows_over_lots, _windows_to_blocks, fields, fields, answers)
+    owned = blocks.join(owned.groupBy("block").agg(F.collect_list(F.struct("hash", "second", "owner", "spot")).alias("owned")), "block", "left")
+    links = mapped(owned, partial(_links, salts=min(lots, MOST_SALTS), **named), "doc bigint, salt bigint, block bigint, segments binary")
+    met = links.repartition("doc", "salt").sortWithinPartitions("doc", "salt", F.asc_nulls_first("block"))
+    known = mapped(met, _answered, "block bigint, doc bigint, segments binary").groupBy("block").agg(F.collect_list(F.struct("doc", "segments")).alias("answers"))
     kind = StructType.fromDDL(SPANS)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return mapped(blocks.join(owned, "block", "left"), partial(_factored, schema=to_arrow_schema(kind), **named), schema)
+    return mapped(owned.join(known, "block", "left"), partial(_factored, schema=to_arrow_schema(kind), **named), schema)
 
 
 def op6_query(docs: DataFrame) -> DataFrame:
