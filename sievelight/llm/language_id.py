@@ -7,14 +7,17 @@ order is stored as a sorted array of gram hashes with one row of log
 probabilities, a column for each language, so one search serves all languages.
 The lowest cross-entropy a character wins; a text is rejected when that
 cross-entropy, relative to its language's mean, lies above a limit calibrated
-on documents kept out of the counts.
+on a fold of documents that a first model has not seen; the final model counts
+that fold too. Without such documents the training ones give the means, and
+the least limit holds.
 
 The model is broadcast and holds every gram of the training documents, so its
 size grows with the different grams of all languages.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and
 not rejected or scored; without training rows every text is ``und``; rows with
-a null language train nothing; ties go to the language that sorts first;
+a null language train nothing; ties go to the language that sorts first; a
+long text is read in steps of whole texts, and one longer than a step alone;
 repeated rows get equal results; an empty table gives an empty result;
 clashing input columns are renamed to ``input_<name>``.
 """
@@ -33,9 +36,8 @@ from sievelight.llm._common import byte_lengths, free_names, mapped, mix64, plus
 
 ORDER = 5
 BITS = 12
-MAX_GRAMS = 8_000_000
-#: Hash ranges over which grams are summed, at least; counts beyond MOST_COUNT are alike when the rarest are sought.
-LEAST_RANGES, MOST_COUNT = 32, 10_000
+#: Hash ranges over which grams are summed, at least, and tasks whose grams of a range are summed in one group.
+LEAST_RANGES, FAN_IN = 32, 256
 #: Grams a task holds before it merges equal ones.
 HELD = 1_000_000
 #: Bytes of text that are turned into grams at a time; each takes some hundred bytes of arrays.
@@ -47,6 +49,8 @@ BANDS, QUANTILE, MARGIN = (0, 64, 256, 1024, 4096), 0.999, 1.5
 #: Documents that calibrate a band at least; a limit is never lower than this many times the mean, and is that in bands with fewer.
 LEAST_BAND, LEAST_LIMIT = 20, 1.8
 UNKNOWN = "und"
+#: How fast scores part with the square root of the letters.
+SHARPNESS = 10.0
 
 
 @lru_cache(1)
@@ -146,49 +150,20 @@ def _sum(table: pa.Table) -> pa.Table:
     return out.append_column("grams", pa.array([keys.tobytes()], pa.binary())).append_column("counts", pa.array([counts.tobytes()], pa.binary()))
 
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for x in batch.column("counts").to_pylist():
-            n, of = np.unique(np.minimum(np.frombuffer(x, np.int64), MOST_COUNT), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(of)], names=["n", "grams"])
-
-
-def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for g, c in zip(batch.column("grams").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            counts = np.frombuffer(c, np.int64)
-            rows.append((np.frombuffer(g, np.uint64)[counts >= least].tobytes(), counts[counts >= least].tobytes()))
-        packed = [pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("range"), *packed], names=["lang", "range", "grams", "counts"])
-
-
 PACKED = "lang string, range bigint, grams binary, counts binary"
 
 
-def all_gram_counts(training: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, range, grams, counts) over all rows of ``training`` with a language: packed grams and how often each occurs."""
-    rows = training.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    ranges = max(LEAST_RANGES, int(training.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    return settle(mapped(rows, partial(_count, ranges=ranges), PACKED).groupBy("lang", "range").applyInArrow(_sum, PACKED))
-
-
 def gram_counts(training: DataFrame, text: str, lang: str) -> DataFrame:
-    """``all_gram_counts`` without the rarest past MAX_GRAMS: those under the least count that leaves no more.
+    """(lang, range, grams, counts) over all rows of ``training`` with a language: packed grams and how often each occurs.
 
-    For tables that need a bound; models are made from all grams.
+    A range of a language is first summed over lots of FAN_IN tasks, so that
+    no group grows with the input beyond its different grams.
     """
-    counted = all_gram_counts(training, text, lang)
-    total = counted.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
-    if total // 8 <= MAX_GRAMS:
-        return counted
-    found = mapped(counted, _histogram, "n bigint, grams bigint").groupBy("n").agg(F.sum("grams")).collect()  # MOST_COUNT rows at most
-    least, kept = MOST_COUNT + 1, 0
-    for n, grams in sorted(found, reverse=True):
-        if kept + grams > MAX_GRAMS:
-            break
-        least, kept = n, kept + grams
-    return mapped(counted, partial(_frequent, least=least), PACKED)
+    rows = training.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    ranges = max(LEAST_RANGES, int(training.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    lots = mapped(rows, partial(_count, ranges=ranges), PACKED).withColumn("lot", F.floor(F.spark_partition_id() / FAN_IN))
+    summed = lots.groupBy("lang", "range", "lot").applyInArrow(_sum, PACKED)
+    return settle(summed.groupBy("lang", "range").applyInArrow(_sum, PACKED))
 
 
 class Table:
@@ -236,7 +211,7 @@ class LanguageModel:
             return
         keys, row = np.unique(gram, return_inverse=True)
         counts = np.zeros((len(keys), len(langs)))
-        counts[row, lang] = n
+        np.add.at(counts, (row, lang), n)
         levels = []
         for order in range(ORDER, 0, -1):
             levels.append((order, keys, counts))
@@ -304,7 +279,7 @@ class LanguageModel:
                 rows.append((UNKNOWN, 0.0, None, n, False))
                 continue
             best = int(np.argmin(e))
-            score = 1 / float(np.exp(-(e - e[best]) * min(n, 100)).sum())
+            score = 1 / float(np.exp(-(e - e[best]) * SHARPNESS * np.sqrt(n)).sum())
             band = max(i for i, least in enumerate(BANDS) if n >= least)
             limit = self.limits.get(band)
             rows.append((self.langs[best], score, float(e[best]), n, limit is not None and e[best] / self.means[best] > limit))
@@ -332,35 +307,51 @@ def predicted(docs: DataFrame, model, text: str = "text") -> DataFrame:
     return mapped(docs, partial(_predict, text=text, model=model), plus(docs, OWN))
 
 
+def _model(packed: list[dict], langs: list[str]) -> LanguageModel:
+    values = [np.concatenate([np.zeros(0, k), *(np.frombuffer(r[c], k) for r in packed)]) for c, k in (("grams", np.uint64), ("counts", np.int64))]
+    place = np.repeat(np.array([langs.index(r["lang"][1:]) for r in packed], np.int64), [len(r["grams"]) // 8 for r in packed])
+    return LanguageModel(langs if len(place) else [], place, *values)
+
+
 def fit(training: DataFrame, text: str = "text", lang: str = "lang"):
-    """A broadcast model of all rows with a language but one fold, which calibrates the rejection."""
+    """A broadcast model of all rows with a language; its rejection is calibrated with one of the rest but a fold, on that fold."""
     spark = training.sparkSession
-    fold = F.pmod(F.xxhash64(F.col(text)), F.lit(CALIBRATION_FOLD))
-    packed = all_gram_counts(training.where(fold != 0), text, lang).toArrow().to_pylist()
-    langs = sorted({r["lang"] for r in packed})
-    values = [np.concatenate([np.zeros(0, k), *(np.frombuffer(r[c], k) for r in packed)]) for c, k in (("grams", np.uint64), ("counts", np.int64))]
-    place = np.repeat(np.array([langs.index(r["lang"]) for r in packed], np.int64), [len(r["grams"]) // 8 for r in packed])
-    model = LanguageModel(langs if len(place) else [], place, *values)
-    langs = model.langs
-    if langs:
-        first = spark.sparkContext.broadcast(model)
-        kept = training.where((fold == 0) & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-        seen = predicted(kept, first).where("lang_pred = lang").select("lang", "cross_entropy", "n_letters").persist()
-        means = {r[0]: r[1] for r in seen.where(f"n_letters >= {BANDS[1]}").groupBy("lang").agg(F.avg("cross_entropy")).collect()}
+    rows = training.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    fold = F.when(F.pmod(F.xxhash64("text"), F.lit(CALIBRATION_FOLD)) == 0, "1").otherwise("0")
+    packed = gram_counts(rows.withColumn("part", F.concat(fold, "lang")), "text", "part").toArrow().to_pylist()
+    langs = sorted({r["lang"][1:] for r in packed})
+    model = _model(packed, langs)
+    if model.langs:
+        known = [r for r in packed if r["lang"][0] == "0"]
+        apart = len(known) < len(packed) and {r["lang"][1:] for r in known} == set(langs)
+        seen = _seen(rows.where(fold == "1"), _model(known, langs)) if apart else None
+        if not seen or not seen[0]:  # too few documents to keep any apart
+            seen = _seen(rows, model)
+        means, bands = seen
         if means:
             model.means = np.array([means.get(x, float(np.mean(list(means.values())))) for x in langs])
-            mean = F.element_at(F.create_map(*(F.lit(x) for k, v in means.items() for x in (k, v))), F.col("lang"))
-            band = F.lit(0)
-            for i, least in enumerate(BANDS):
-                band = F.when(F.col("n_letters") >= least, i).otherwise(band)
-            ratios = seen.select(band.alias("band"), (F.col("cross_entropy") / mean).alias("x")).groupBy("band")
-            found = {r["band"]: r["x"] for r in ratios.agg(F.percentile_approx("x", QUANTILE, 10000).alias("x"), F.count("x").alias("n")).collect() if r["n"] >= LEAST_BAND}
-            model.limits = {i: max(found.get(i, 0.0) * MARGIN, LEAST_LIMIT) for i in range(len(BANDS))}
-        seen.unpersist()
-        first.unpersist()
+            model.limits = {i: max(bands.get(i, 0.0) * MARGIN, LEAST_LIMIT) for i in range(len(BANDS))}
     return spark.sparkContext.broadcast(model)
 
 
+def _seen(rows: DataFrame, model: LanguageModel) -> tuple[dict[str, float], dict[int, float]]:
+    """Mean cross-entropy of each language over rightly predicted rows, and of each band the high quantile of their ratios to it."""
+    first = rows.sparkSession.sparkContext.broadcast(model)
+    seen = predicted(rows, first).where("lang_pred = lang").select("lang", "cross_entropy", "n_letters").persist()
+    means = {r[0]: r[1] for r in seen.where(f"n_letters >= {BANDS[1]}").groupBy("lang").agg(F.avg("cross_entropy")).collect()}
+    bands: dict[int, float] = {}
+    if means:
+        mean = F.element_at(F.create_map(*(F.lit(x) for k, v in means.items() for x in (k, v))), F.col("lang"))
+        band = F.lit(0)
+        for i, least in enumerate(BANDS):
+            band = F.when(F.col("n_letters") >= least, i).otherwise(band)
+        ratios = seen.select(band.alias("band"), (F.col("cross_entropy") / mean).alias("x")).groupBy("band")
+        bands = {r["band"]: r["x"] for r in ratios.agg(F.percentile_approx("x", QUANTILE, 10000).alias("x"), F.count("x").alias("n")).collect() if r["n"] >= LEAST_BAND}
+    seen.unpersist()
+    first.unpersist()
+    return means, bands
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Whether a document is kept from the training: crc32 of its id as text, modulo 3, is 1."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1

@@ -108,35 +108,45 @@ def test_accuracy_and_rejection(spark):
     assert all(r["rejected"] for r in li.predicted(odd, model).collect())
 
 
-def test_counts_equal_brute_force_and_the_rarest_are_left_out(spark, monkeypatch):
+@pytest.mark.parametrize("fan_in", [li.FAN_IN, 2])
+def test_counts_equal_brute_force(spark, monkeypatch, fan_in):
     from collections import Counter
 
+    monkeypatch.setattr(li, "FAN_IN", fan_in)
     rows = [("abc abd abc", "x"), ("aab", "x"), ("cab bad", "y"), ("abc", "y"), (None, "x"), ("abc", None)] * 3
-    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
-    expected = Counter()
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    expected, got = Counter(), Counter()
     for t, lang in rows:
         if t and lang:
             expected.update((lang, int(g)) for g in li.stream([t])[0])
+    packed = li.gram_counts(df, "text", "lang").collect()
+    for r in packed:
+        for g, n in zip(np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["counts"], np.int64), strict=True):
+            got[r["lang"], int(g)] += int(n)
+    assert got == expected and len({(r["lang"], r["range"]) for r in packed}) == len(packed)
 
-    def counted():
-        out = Counter()
-        for r in li.gram_counts(df, "text", "lang").collect():
-            for g, n in zip(np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["counts"], np.int64), strict=True):
-                out[r["lang"], int(g)] += int(n)
-        return out
 
-    assert counted() == expected
-    monkeypatch.setattr(li, "MAX_GRAMS", 8)
-    kept = counted()
-    assert len(kept) <= 8 and kept == Counter({k: n for k, n in expected.items() if n >= min(kept.values(), default=0) and k in kept})
-    assert all(n <= min(kept.values()) for k, n in expected.items() if k not in kept)
-
-
-def test_models_hold_every_gram(spark, monkeypatch):
+def test_models_hold_every_gram_of_all_rows(spark):
     rows = [(f"the quick brown fox number {w} jumps", "en") for w in "abcdefghijklmnopqrst"] * 5 + [(f"der schnelle fuchs {w} springt", "de") for w in "abcdefghijklmnopqrst"]
     df = spark.createDataFrame(rows, "text string, lang string")
-    trained = [r["text"] for r in df.where(F.pmod(F.xxhash64("text"), F.lit(li.CALIBRATION_FOLD)) != 0).collect()]
-    monkeypatch.setattr(li, "MAX_GRAMS", 8)
     model = li.fit(df).value
-    assert model.grams[-1].size >= len(np.unique(li.stream(trained)[0]))
+    assert model.grams[-1].size == len(np.unique(li.stream([r[0] for r in rows])[0]))
     assert [r[0] for r in model.predict(["der fuchs springt", "the fox jumps"])] == ["de", "en"]
+
+
+def test_limits_without_documents_to_keep_apart(spark):
+    """One labelled text: its language is predicted, and other letters are rejected all the same."""
+    one = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf in the dark wood"
+    model = li.fit(spark.createDataFrame([(one, "en")], "text string, lang string")).value
+    assert model.limits and model.predict([one])[0][0] == "en" and not model.predict([one])[0][4]
+    assert model.predict(["xq zjw qpx vkq " * 40])[0][4]
+
+
+def test_ties_go_to_the_first_language_and_long_texts_are_whole(spark):
+    texts = ["alpha beta gamma", "delta epsilon"]
+    keys, n = np.unique(li.stream(texts)[0], return_counts=True)
+    both = li.LanguageModel(["aa", "bb"], np.repeat([0, 1], len(keys)), np.tile(keys, 2), np.tile(n, 2))
+    assert [r[0] for r in both.predict(["alpha", "zzz"])] == ["aa", "aa"] and both.predict(["alpha"])[0][1] == pytest.approx(0.5)
+    rows = [(1, "der schnelle fuchs springt über den hund " * 5, "de"), (4, "the quick brown fox jumps over the dog " * 5, "en"), (2, "the quick brown fox " * 10 + "der schnelle fuchs springt " * 60_000, None)]
+    got = {r["doc_id"]: r for r in li.predicted(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), li.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))).collect()}
+    assert got[2]["lang_pred"] == "de" and got[2]["n_letters"] == 160 + 23 * 60_000
