@@ -4,7 +4,8 @@ Host and path rules decide first; the longest fitting rule wins. URLs that a
 rule accepts or rejects train two smoothed variable-order Markov models of
 characters; all other URLs are rejected when their length-normalised
 log-likelihood difference (accepted minus rejected) falls under a threshold
-calibrated on rule-labelled URLs held out from the training.
+calibrated on rule-labelled URLs that a first model has not seen; the final
+model counts these too. A score at the threshold is allowed.
 
 The models count every gram and context of the URLs they are trained on, each
 under a 64-bit hash of its own, so what is sent to the driver and broadcast
@@ -112,24 +113,29 @@ def count_urls(urls: list[str | None], kinds: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Keys with their counts, apart for URLs that calibrate and others."""
+    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
     size = 0
 
-    def merged() -> pa.RecordBatch:
-        key, of = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        n = np.zeros(len(key), np.int64)
-        np.add.at(n, of, np.concatenate([n for _, n in held]))
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+    def merged() -> Iterator[pa.RecordBatch]:
+        for part, each in enumerate(held):
+            if each:
+                key, of = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
+                n = np.zeros(len(key), np.int64)
+                np.add.at(n, of, np.concatenate([n for _, n in each]))
+                each.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), part, np.int8)), pa.array(n)], names=["key", "part", "n"])
 
     for batch in batches:
-        held.append(count_urls(batch.column("url").to_pylist(), batch.column("kind").to_numpy(zero_copy_only=False)))
-        size += len(held[-1][0])
+        urls, kinds, parts = batch.column("url").to_pylist(), batch.column("kind").to_numpy(zero_copy_only=False), batch.column("part").to_numpy(zero_copy_only=False)
+        for part in (0, 1):
+            at = np.flatnonzero(parts == part)
+            held[part].append(count_urls([urls[i] for i in at.tolist()], kinds[at]))
+            size += len(held[part][-1][0])
         if size > HELD:
-            yield merged()
+            yield from merged()
             size = 0
-    if held:
-        yield merged()
+    yield from merged()
 
 
 class RatioModel:
@@ -174,25 +180,35 @@ def _scored(df: DataFrame, url: str, model) -> DataFrame:
 
 
 def fit(judged: DataFrame, url: str) -> tuple[object, float]:
-    """The broadcast model of rule-labelled rows, and the calibrated threshold.
+    """The broadcast model of all rule-labelled rows, and the threshold.
 
-    One fold of the different labelled URLs is kept for the calibration; the
-    counts take each URL as often as it occurs. The threshold lies half way
-    between the lowest accepted and the highest rejected scores, but for
-    FALSE_REJECTS of either, and never rejects more accepted URLs than that.
+    A first model without one fold of the different labelled URLs scores that
+    fold. The threshold lies half way between its lowest accepted and highest
+    rejected scores, but for FALSE_REJECTS of either, and never rejects more
+    accepted URLs than that. Without accepted URLs in the fold it is 0, where
+    both models agree.
     """
-    spark = judged.sparkSession
-    labelled = judged.where("verdict IS NOT NULL").select(F.col(url).alias("url"), (F.col("verdict") == "block").cast("int").alias("kind"))
-    counts = mapped(labelled.where(fold_of("url") != HELD_OUT), _count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    model = spark.sparkContext.broadcast(RatioModel(counts.column("key").to_numpy(), counts.column("n").to_numpy()))
-    scored = _scored(labelled.where(fold_of("url") == HELD_OUT), "url", model)
-    low, high = scored.agg(
-        F.percentile_approx(F.when(F.col("kind") == 0, F.col("score")), FALSE_REJECTS, 10000),
-        F.percentile_approx(F.when(F.col("kind") == 1, F.col("score")), 1 - FALSE_REJECTS, 10000),
-    ).first()
-    if low is None or not model.value.usable:
-        return model, -np.inf
-    return model, low if high is None else min(low, (low + high) / 2)
+    context = judged.sparkSession.sparkContext
+    part = (fold_of("url") == HELD_OUT).cast("tinyint")
+    labelled = judged.where("verdict IS NOT NULL").select(F.col(url).alias("url"), (F.col("verdict") == "block").cast("int").alias("kind")).withColumn("part", F.coalesce(part, F.lit(0).cast("tinyint")))
+    counted = mapped(labelled, _count, "key bigint, part tinyint, n bigint").groupBy("key").agg(F.sum(F.when(F.col("part") == 0, F.col("n")).otherwise(0)).alias("first"), F.sum("n").alias("n")).toArrow()
+    key, first, n = (counted.column(c).to_numpy() for c in ("key", "first", "n"))
+    whole = RatioModel(key, n)
+    if not whole.usable:
+        return context.broadcast(whole), -np.inf
+    early = context.broadcast(RatioModel(key[first > 0], first[first > 0]))
+    low, high = (
+        _scored(labelled.where("part = 1"), "url", early)
+        .agg(
+            F.percentile_approx(F.when(F.col("kind") == 0, F.col("score")), FALSE_REJECTS, 10000),
+            F.percentile_approx(F.when(F.col("kind") == 1, F.col("score")), 1 - FALSE_REJECTS, 10000),
+        )
+        .first()
+    )
+    usable = early.value.usable
+    early.unpersist()
+    threshold = 0.0 if low is None or not usable else low if high is None else min(low, (low + high) / 2)
+    return context.broadcast(whole), threshold
 
 
 def fold_of(url: str) -> Column:

@@ -92,3 +92,32 @@ def test_grams_share_no_counters():
     model = RatioModel(*url_filter.count_urls(urls, kinds))
     for q, s in zip(urls[:2] + ["http://abc.org/x"], model.scores(urls[:2] + ["http://abc.org/x"]), strict=True):
         assert s == pytest.approx(brute(urls, kinds, q), abs=1e-9)
+
+
+def test_counts_are_of_all_labelled_urls(spark):
+    """The final model counts the fold that calibrates, too; repeated, very long and null URLs are judged like others."""
+    rows = [(f"http://a{k % 30}.org/fr/x{k % 7}",) for k in range(90)] + [(f"http://b{k % 30}.net/y{k % 5}",) for k in range(90)]
+    model, threshold = url_filter.fit(spark.createDataFrame([(u, "block" if ".net" in u else "allow") for (u,) in rows], "url string, verdict string"), "url")
+    whole = RatioModel(*url_filter.count_urls([u for (u,) in rows], np.array([".net" in u for (u,) in rows]).astype(int)))
+    queries = ["http://a1.org/fr/x", "http://b2.net/y", "http://zzz/"]
+    assert model.value.scores(queries) == pytest.approx(whole.scores(queries)) and np.isfinite(threshold)
+    long = "http://x.info/" + "a" * 300_000
+    out = filter_urls(spark.createDataFrame([*rows, (long,), (long,), (None,), (None,)], "url string")).where("rule IS NULL").collect()
+    assert len(out) == 4 and len({(r["url"], r["verdict"], r["score"]) for r in out}) == 2
+
+
+def test_the_threshold_itself_is_allowed(spark, monkeypatch):
+    rows = spark.createDataFrame([("http://a.org/fr/1",), ("http://b.net/1",), ("http://c.info/",)], "url string")
+    scored = {r["url"]: r for r in filter_urls(rows).collect()}
+    model = url_filter.fit
+    monkeypatch.setattr(url_filter, "fit", lambda *a: (model(*a)[0], scored["http://c.info/"]["score"]))
+    assert {r["url"]: r["verdict"] for r in filter_urls(rows).collect()}["http://c.info/"] == "allow"
+
+
+def test_no_accepted_url_to_calibrate_with(spark):
+    """Without an accepted URL in the fold the threshold is 0."""
+    urls = [f"http://a{k}.org/fr/" for k in range(40)]
+    fold = {r[0]: r[1] for r in spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_filter.fold_of("url")).collect()}
+    good = [u for u in urls if fold[u] != url_filter.HELD_OUT][:3]
+    rows = [(u, "allow") for u in good] + [(f"http://b{k}.net/", "block") for k in range(30)]
+    assert url_filter.fit(spark.createDataFrame(rows, "url string, verdict string"), "url")[1] == 0.0
