@@ -5,13 +5,14 @@ Expectation-maximisation over the counts of vote patterns (of all documents;
 3^labellers patterns at most) estimates how each labeller votes on good and on
 bad documents, without any given label, and the posterior of each pattern.
 Posteriors then are the soft targets of a hashed linear scorer, fitted on a
-sample of at most MAX_TRAINING documents (those of the smallest text hashes),
-which scores every document by its words and word shapes.
+sample of at most MAX_TRAINING different texts (those of the smallest text
+hashes, each once, however many copies it has), which scores every document by
+its words and word shapes.
 
 Defined cases: a null or empty text has no features and gets the score of the
-scorer's bias, and is not kept; short texts get few votes; ties don't occur in
-a threshold test (a score at the threshold is kept); repeated rows get equal
-results; an empty table gives an empty result; clashing input columns are
+scorer's bias, and is not kept; short texts get few votes; a score at the
+threshold is kept; a long text is read whole, one longer than a step alone;
+repeated rows get equal results; an empty table gives an empty result; clashing input columns are
 renamed to ``input_<name>``.
 """
 
@@ -213,7 +214,8 @@ def label_model(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _observe(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Votes of every text as one integer (-1 without words), and features of those whose hash is at most ``most``."""
+    """Votes of every text as one integer (-1 without words), and features of those whose hash is at most ``most``, once a task for equal texts."""
+    done: set[int] = set()  # as many as the sample has, at most
     for batch in batches:
         texts = batch.column("text")
         hashes = batch.column("hash").to_numpy(zero_copy_only=False)
@@ -228,27 +230,34 @@ def _observe(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
                 else:
                     v = votes(statistics(f.words[i], codes[i], t))
                     pattern.append(sum(x * 3**k for k, x in enumerate(v)))
-                s, w = f.of(i) if f.counts[i] and hashes[start + i] <= most else (None, None)
+                h = int(hashes[start + i])
+                s, w = f.of(i) if f.counts[i] and h <= most and h not in done else (None, None)
+                if s is not None:
+                    done.add(h)
                 slots.append(s)
                 values.append(w)
             arrays = [pa.array(pattern, pa.int32()), batch.column("hash").slice(start, stop - start), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["pattern", "hash", "slots", "weights"])
 
 
+def sample_limit(rows: DataFrame) -> int:
+    """The hash up to which about twice MAX_TRAINING different texts lie; the smallest hashes of these are the sample."""
+    different = rows.select("hash").distinct().count()
+    return -(1 << 63) + min((1 << 64) - 1, (1 << 65) * MAX_TRAINING // max(1, different))
+
+
 def fit(docs: DataFrame, text: str = "text"):
     """A broadcast Scorer, and (posterior by pattern, tables, share) of the label model."""
     spark = docs.sparkSession
     rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
-    total = rows.count()
-    span = 1 << 64
-    most = -(1 << 63) + min(span - 1, span * 2 * MAX_TRAINING // max(1, total))
+    most = sample_limit(rows)
     seen = settle(mapped(rows, partial(_observe, most=most), "pattern int, hash bigint, slots array<int>, weights array<float>"))
     counted = seen.where("pattern >= 0").groupBy("pattern").count().orderBy("pattern").collect()
     codes = np.array([r[0] for r in counted], np.int64)
     patterns = (codes[:, None] // 3 ** np.arange(len(LABELLERS))) % 3 if len(codes) else np.zeros((0, len(LABELLERS)), np.int64)
     posterior, tables, share = label_model(patterns, np.array([r[1] for r in counted], float))
     of = dict(zip(codes.tolist(), posterior.tolist(), strict=True))
-    sample = seen.where("slots IS NOT NULL").orderBy("hash", "pattern").limit(MAX_TRAINING).toArrow()
+    sample = seen.where("slots IS NOT NULL").dropDuplicates(["hash"]).orderBy("hash").limit(MAX_TRAINING).toArrow()
     scorer = Scorer()
     slots = [np.asarray(x.as_py(), np.int64) for x in sample.column("slots")]
     values = [np.asarray(x.as_py(), np.float64) for x in sample.column("weights")]

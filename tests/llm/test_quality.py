@@ -93,6 +93,90 @@ def test_classifier_cases(spark):
     assert quality_model.classify(df.limit(0)).count() == 0
 
 
+def test_the_sample_is_of_different_texts(spark, monkeypatch):
+    """Copies of the text with the smallest hash take one place; labellers' counts take them all."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    monkeypatch.setattr(quality_model, "MAX_TRAINING", 50)
+    texts = [text(rng, 30) for _ in range(300)]
+    first = spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.xxhash64("text")).first()[0]
+    rows = spark.createDataFrame([(t,) for t in texts + [first] * 200], "text string").repartition(3)
+    hashed = rows.select("text", F.xxhash64("text").alias("hash"))
+    most = quality_model.sample_limit(hashed)
+    under = [r[0] for r in hashed.where(F.col("hash") <= most).select("text").distinct().collect()]
+    assert 50 <= len(under) <= 160 and first in under
+    seen = list(quality_model._observe(iter(hashed.repartition(1).toArrow().to_batches()), most))
+    slots = [x for b in seen for x in b.column("slots").to_pylist()]
+    assert len(slots) == 500 and sum(x is not None for x in slots) == len(under)
+
+
+def test_label_model_equals_plain_expectation_maximisation():
+    """Loops over documents in place of counted patterns and arrays."""
+    import math
+
+    rng = random.Random(8)
+    good, bad, none = quality_model.GOOD, quality_model.BAD, quality_model.NONE
+    docs = [[rng.choice([good, good, bad, none]) if rng.random() < 0.6 else rng.choice([bad, none]) for _ in range(3)] for _ in range(200)]
+    posterior = [min(0.98, max(0.02, (d.count(good) + 1) / (d.count(good) + 3 * d.count(bad) + 1.25))) for d in docs]
+    for _ in range(quality_model.ROUNDS):
+        share = min(0.99, max(0.01, sum(posterior) / len(docs)))
+        table = {}
+        for c in (0, 1):
+            weight = [p if c else 1 - p for p in posterior]
+            for k in range(3):
+                seen = {v: sum(w for w, d in zip(weight, docs, strict=True) if d[k] == v) + 0.5 for v in (bad, good)}
+                table |= {(c, k, v): seen[v] / sum(seen.values()) for v in seen}
+        new = []
+        for d in docs:
+            like = [math.log(s) + sum(math.log(table[c, k, v]) for k, v in enumerate(d) if v != none) for c, s in ((0, 1 - share), (1, share))]
+            new.append(1 / (1 + math.exp(like[0] - like[1])))
+        shift = max(abs(a - b) for a, b in zip(new, posterior, strict=True))
+        posterior = new
+        if shift < quality_model.LEAST_SHIFT:
+            break
+    patterns, of, counts = np.unique(np.array(docs), axis=0, return_inverse=True, return_counts=True)
+    got, _, got_share = quality_model.label_model(patterns, counts.astype(float))
+    assert got[of] == pytest.approx(posterior, abs=1e-6) and got_share == pytest.approx(share, abs=1e-6)
+
+
+def test_scorer_equals_plain_descent():
+    """Adagrad with dictionaries, a document at a time."""
+    import math
+
+    rng = random.Random(9)
+    texts = [text(rng, 25) if k % 3 else "### %% || " * rng.randint(5, 20) for k in range(90)]
+    target = np.array([float(k % 3 > 0) for k in range(90)])
+    f = quality_model.Features(texts)
+    slots, values = zip(*(f.of(i) for i in range(90)), strict=True)
+    scorer = quality_model.Scorer()
+    scorer.fit(list(slots), list(values), target, epochs=3, batch=16)
+    w, squares, b, b_squares, rate = {}, {}, 0.0, 1e-6, 0.3
+    mean = target.mean()
+    for _ in range(3):
+        for at in range(0, 90, 16):
+            gradient, slip_sum, size = {}, 0.0, len(target[at : at + 16])
+            slips = []
+            for i in range(at, at + size):
+                z = b + sum(w.get(s, 0.0) * v for s, v in zip(slots[i].tolist(), values[i].tolist(), strict=True))
+                weight = min(20.0, 0.5 / mean if target[i] else 0.5 / (1 - mean))
+                slips.append((1 / (1 + math.exp(-z)) - target[i]) * weight / 16)
+            for i, slip in zip(range(at, at + size), slips, strict=True):
+                slip_sum += slip
+                for s, v in zip(slots[i].tolist(), values[i].tolist(), strict=True):
+                    gradient[s] = gradient.get(s, 0.0) + slip * v
+            for s, g in gradient.items():
+                g += 1e-6 * w.get(s, 0.0)
+                squares[s] = squares.get(s, 1e-6) + g * g
+                w[s] = w.get(s, 0.0) - rate * g / math.sqrt(squares[s])
+            b_squares += slip_sum**2
+            b -= rate * slip_sum / math.sqrt(b_squares)
+    assert scorer.bias == pytest.approx(b, abs=1e-6)
+    assert all(scorer.weights[s] == pytest.approx(x, abs=1e-4) for s, x in w.items())
+    got = scorer.scores([*texts, None, "x " * 400_000])
+    assert got[-2] == pytest.approx(1 / (1 + math.exp(-b))) and ((got[:90] > 0.5) == (target > 0.5)).all()
+
+
 def judged(data):
     import zstandard
 
@@ -125,3 +209,13 @@ def test_tails_and_short_texts_are_judged_by_chunks(kind):
     assert judged(prose(rng, 8192) + noise(rng, 4095, kind))[3] == "incompressible"
     for n in (4096, 4097, 8100, 8192, 12_287):
         assert judged(prose(rng, n))[1:] == (0 if n == 4096 else -(-n // 4096), 0, "ok")
+
+
+def test_rules_of_repeated_clashing_and_long_rows(spark):
+    rng = random.Random(10)
+    long = " ".join(f"{rng.getrandbits(20):x}{rng.choice('aeiou')}" for _ in range(400_000))
+    same = text(rng, 200)
+    rows = [(1, same, "x"), (1, same, "x"), (2, long, None), (3, None, "")]
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id int, text string, Kept string"))
+    got = [(r["doc_id"], r["n_words"], r["kept"], r["input_Kept"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(1, len(same.split()), True, "x")] * 2 + [(2, 400_000, [g[2] for g in got if g[0] == 2][0], None), (3, 0, False, "")], key=str)
