@@ -30,7 +30,8 @@ from sievelight.llm._common import mapped, settle, split_by
 #: Edits allowed for each character of an item, and the length from which any are.
 ERROR_RATE = 0.08
 SHORT = 30
-BLOCK_CHARS = 1 << 20
+#: Characters of items whose pieces one automaton holds, in a worker's memory.
+BLOCK_CHARS = 1 << 22
 
 
 def normal(text: str | None) -> str:

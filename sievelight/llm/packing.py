@@ -44,6 +44,17 @@ _LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
 _MARK = np.zeros(256, bool)
 _MARK[[*b".,;:!?|#$%&*"]] = True
 
+
+def cuttable(path: str) -> bool:
+    """Whether a tokenizer splits at the places where ``Memo`` cuts: byte-level pre-tokens by their usual expression, no prefix space, no normaliser."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    steps = said.get("pre_tokenizer") or {}
+    return said.get("normalizer") is None and steps.get("type") == "ByteLevel" and not steps.get("add_prefix_space", True) and steps.get("use_regex", True)
+
+
 class Memo:
     """A tokenizer that remembers the ids of chunks it has met.
 
@@ -51,7 +62,7 @@ class Memo:
     into white space, nor from a letter into a plain mark, so texts are cut
     there and each different chunk is tokenised once. Chunks are known by a
     96-bit hash, kept in sorted arrays; when those are full, chunks not met
-    since the last time are dropped.
+    since the last time are dropped. Tokenizers of another kind get whole texts.
     """
 
     def __init__(self, path: str):
@@ -60,7 +71,7 @@ class Memo:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cuttable = Tokenizer.from_file(path), cuttable(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -95,6 +106,8 @@ class Memo:
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        if not self.cuttable:
+            return self._encoded([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
         space, edge = _SPACE[data], np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         begin = edge[:-1].copy()

@@ -3,7 +3,7 @@
 The shard of a row depends on its key and the shard count alone; when a shard
 is appended, a row either stays or moves to the new shard.
 
-Defined cases: a null key counts as 0; a null text has size 8 and checksum 0;
+Defined cases: a key that is no integer counts as its 64-bit hash; a null key counts as 0; a null text has size 8 and checksum 0;
 repeated rows share a shard and take different slots; an empty table gives an
 empty result; clashing input columns are renamed to ``input_<name>``.
 """
@@ -46,6 +46,12 @@ def _jumps(start: str, steps: int, shards: int) -> str:
     return f"aggregate(sequence(1, {steps}), {start}, {step})"
 
 
+def integer_key(df: DataFrame, key: str) -> str:
+    """SQL of a column as a 64-bit integer."""
+    name = f"`{key}`"
+    return name if df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else f"if({name} is null, 0L, xxhash64({name}))"
+
+
 def jump_hash(key: str, shards: int) -> Column:
     """Shard from 0 to ``shards`` - 1 of the 64-bit integer that SQL expression ``key`` gives."""
     if shards < 1:
@@ -74,8 +80,8 @@ def with_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: st
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        jump_hash(f"`{key}`", shards).alias("shard"),
-        jump_hash(f"`{key}`", shards + 1).alias("grown_shard"),
+        jump_hash(integer_key(docs, key), shards).alias("shard"),
+        jump_hash(integer_key(docs, key), shards + 1).alias("grown_shard"),
     )
 
 
@@ -88,7 +94,7 @@ def with_slots(sharded: DataFrame, key: str = "doc_id") -> DataFrame:
     Only a table of at most shards x SLOT_BUCKETS rows is broadcast.
     """
     sharded = free_names(sharded, ["slot"])
-    rows = settle(sharded.withColumns({"_bucket": slot_bucket(f"`{key}`"), "_task": F.spark_partition_id()}))
+    rows = settle(sharded.withColumns({"_bucket": slot_bucket(integer_key(sharded, key)), "_task": F.spark_partition_id()}))
     by = ["shard", "_bucket", F.col(key).alias("_key"), "size", "text_crc32", "_task"]
     groups = settle(rows.groupBy(*by).agg(F.count("*").alias("_n")))
     buckets = groups.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_n"))
