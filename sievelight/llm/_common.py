@@ -5,11 +5,14 @@ Conventions that every operator in this subpackage keeps:
 * Input columns whose names clash with a column the operator adds are renamed
   to ``input_<name>`` (more underscores until unique); nothing is dropped.
 * State that must survive lost executors goes through ``DataFrame.checkpoint``
-  into the folder that ``spark.checkpoint.dir`` names (``settle``).
+  into the folder that ``spark.checkpoint.dir`` names (``settle``). Spark drops
+  checkpoints that nothing refers to where
+  ``spark.cleaner.referenceTracking.cleanCheckpoints`` says so.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,9 +28,11 @@ SLICE_BYTES = 1 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is named, make one."""
+    """Use the cluster's shared folder. Where none is named, a run inside one process gets a temporary one; a cluster must name it."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievelight-"))
 
 

@@ -107,7 +107,7 @@ def fingerprints_of(hashes: list, words: int) -> np.ndarray:
     """A row of ``words`` unsigned 64-bit integers for each collection of hashes."""
     counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
     flat = np.fromiter((h for each in hashes for h in each), np.uint64, int(counts.sum()))
-    columns = [majority(flat if k == 0 else mix64(flat + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)), counts) for k in range(words)]
+    columns = [majority(flat if k == 0 else mix64(flat + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))), counts) for k in range(words)]
     return np.stack(columns, axis=1)
 
 
