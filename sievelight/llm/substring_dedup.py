@@ -499,28 +499,35 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _alike(owner: np.ndarray, spot: np.ndarray, doc: int, first: int, segments: np.ndarray | None) -> np.ndarray:
     """Whether each window of a run is the one that ``doc`` has at the places from ``first`` on."""
     place = np.arange(first, first + len(owner))
-    its_owner, its_spot = np.full(len(owner), doc, np.int64), place
-    if segments is not None and len(segments):
-        at = np.searchsorted(segments["place"], place, side="right") - 1
-        x = segments[np.maximum(at, 0)]
-        inside = (at >= 0) & (place < x["place"].astype(np.int64) + x["count"])
-        its_owner = np.where(inside, x["owner"], its_owner)
-        its_spot = np.where(inside, x["spot"] + place - x["place"], place)
-    return (its_owner == owner) & (its_spot == spot)
+    if segments is None or not len(segments):
+        return (owner == doc) & (spot == place)
+    x = segments[np.maximum(np.searchsorted(segments["place"], place, side="right") - 1, 0)]
+    past = place - x["place"]
+    inside = (past >= 0) & (past < x["count"])
+    return np.where(inside, (x["owner"] == owner) & (x["spot"] + past == spot), (owner == doc) & (spot == place))
 
 
 def _longest(owner: np.ndarray, spot: np.ndarray, starts: np.ndarray, known: dict[int, list[np.ndarray]]) -> list[tuple[int, int, int, int]]:
     """Greedy factors (window, windows, owner, owner's place) of a run of several segments, which begin at ``starts``."""
+    size = len(owner)
+    segments = list(zip(starts.tolist(), [*starts[1:].tolist(), size], owner[starts].tolist(), spot[starts].tolist(), strict=True))
+    owned: dict[tuple[int, int], int] = {}
+    for i, j, doc, at in segments:
+        owned[doc, at - i] = owned.get((doc, at - i), 0) + j - i
     stretches = []
-    for doc, shift in sorted({(int(owner[i]), int(spot[i]) - i) for i in starts.tolist()}):
-        for segments in (None, *known.get(doc, ())):  # rows may share an id
-            same = np.concatenate([[False], _alike(owner, spot, doc, shift, segments), [False]])
-            edges = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
-            stretches += [(i, -j, doc, shift) for i, j in edges.tolist()]
+    for doc, shift in sorted(owned, key=lambda x: (-owned[x], x)):
+        for its in known.get(doc) or (None,):
+            same = np.concatenate([[False], _alike(owner, spot, doc, shift, its), [False]])
+            edges = np.flatnonzero(same[1:] != same[:-1]).tolist()
+            if edges == [0, size]:  # none is longer
+                return [(0, size, doc, shift)]
+            stretches += [(i, -j, doc, shift) for i, j in zip(edges[::2], edges[1::2], strict=True)]
+    # Rows that share an id may have answered for one another, so a segment always counts for itself.
+    stretches += [(i, -j, doc, at - i) for i, j, doc, at in segments]
     stretches.sort()
     out, at, k = [], 0, 0
     best = (0, 0, 0)
-    while at < len(owner):
+    while at < size:
         while k < len(stretches) and stretches[k][0] <= at:
             best = max(best, (-stretches[k][1], -stretches[k][2], stretches[k][3]))
             k += 1
