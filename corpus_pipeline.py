@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir); all but the last return the columns of
 ``documents``. ``run`` writes every stage's rows as Parquet to the shared
 folder and reads them again, so that no stage is computed twice and a lost
 executor costs no more than the stage at work.
+
+Defined cases are those of the operators: null and empty texts have no known
+language and go in the first stage; rows that share an id are one document's
+copies; an empty table passes through; further columns are kept by all stages
+but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import decontaminate, language_id, packing, simhash, substring_dedup
-from sievelight.llm._common import read_table, removed, shared_path, stored
+from sievelight.llm._common import given_back, read_table, removed, shared_path, stored
 from sievelight.llm.queries import tokenizer_path
 
 
@@ -20,7 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents of a known language stay; those without a letter or unlike every language go."""
     model = language_id.fit(docs)
     found = language_id.predicted(docs, model)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("rejected")).select(*docs.columns)
+    known = found.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("rejected"))
+    return given_back(known, docs, language_id.NAMES)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; every document stays."""
-    done = substring_dedup.dedup_substrings(docs).withColumn("n_chars", F.length("text").cast("bigint"))
-    return done.select(*docs.columns)
+    done = given_back(substring_dedup.dedup_substrings(docs), docs, substring_dedup.NAMES)
+    return done.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

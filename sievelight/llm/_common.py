@@ -104,6 +104,11 @@ def free_names(df: DataFrame, own: list[str]) -> DataFrame:
     return df.toDF(*names)
 
 
+def given_back(done: DataFrame, df: DataFrame, own: list[str]) -> DataFrame:
+    """The columns of ``df`` in ``done``, under their own names where ``free_names`` has renamed them."""
+    return done.select(*(F.col(new).alias(old) for old, new in zip(df.columns, free_names(df, own).columns, strict=True)))
+
+
 def plus(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` and more fields."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

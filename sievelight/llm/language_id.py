@@ -287,23 +287,23 @@ class LanguageModel:
 
 
 OWN = "lang_pred string, score double, cross_entropy double, n_letters bigint, rejected boolean"
+NAMES = [x.split()[0] for x in OWN.split(", ")]
 
 
 def _predict(batches: Iterator[pa.RecordBatch], text: str, model) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
-    names = [x.split()[0] for x in OWN.split(", ")]
     for batch in batches:
         texts = batch.column(text)
         for start, stop in text_runs(byte_lengths(texts), STEP_BYTES):
             part = batch.slice(start, stop - start)
             rows = model.value.predict(texts.slice(start, stop - start).to_pylist())
             own = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *own], names=[*part.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*part.columns, *own], names=[*part.schema.names, *NAMES])
 
 
 def predicted(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with the five columns of OWN. ``model``: a broadcast LanguageModel. No shuffle."""
-    docs = free_names(docs, [x.split()[0] for x in OWN.split(", ")])
+    docs = free_names(docs, NAMES)
     return mapped(docs, partial(_predict, text=text, model=model), plus(docs, OWN))
 
 
@@ -359,7 +359,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """All columns of ``docs`` with held_out and the columns of OWN, by a model of the rows not held out."""
-    docs = free_names(docs, ["held_out", *(x.split()[0] for x in OWN.split(", "))])
+    docs = free_names(docs, ["held_out", *NAMES])
     model = fit(docs.where(~held_out(key)), text, lang)
     return predicted(docs.withColumn("held_out", held_out(key)), model, text)
 

@@ -596,6 +596,7 @@ def _factored(batches: Iterator[pa.RecordBatch], key: str, text: str, schema: pa
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(p.counts), pa.array(removed), made], names=[*rows.schema.names, "n_words", "n_removed", "spans"])
 
 
+NAMES = ["n_words", "n_removed", "spans"]
 SPANS = "n_words bigint, n_removed bigint, spans array<struct<start: bigint, words: bigint, ref_id: bigint, ref_start: bigint>>"
 
 
@@ -608,7 +609,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise TypeError(f"{key} must be an integer column")
-    docs = free_names(docs, ["n_words", "n_removed", "spans"])
+    docs = free_names(docs, NAMES)
     schema = plus(docs, SPANS)
     blocks = settle(mapped(docs, partial(_to_blocks, text=text), "block bigint, packed binary"))
     n = blocks.count()

@@ -67,3 +67,24 @@ def test_cases(spark, monkeypatch):
 @pytest.mark.parametrize("n", [0, 10, 29, 30, 100, 1000])
 def test_budget(n):
     assert dc.budget("x" * n) == (int(0.08 * n) if n >= 30 else 0)
+
+
+def test_long_texts_repeated_rows_and_ties(spark):
+    """An item far inside a text of megabytes is found; equal rows report alike; of equal places the first counts."""
+    item = "an answer that only the benchmark has, word for word, number 42"
+    long = "filler words of no interest " * 60_000
+    rows = [(1, long + item + " " + long, "x"), (2, item + " and again " + item, "x"), (2, item + " and again " + item, "x"), (3, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, item_id string")
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id bigint, text string")
+    found = [tuple(r) for r in dc.contaminated(docs, bench).select("doc_id", "item_id", "distance", "match_start").collect()]
+    assert sorted(found) == [(1, 7, 0, len(long)), (2, 7, 0, 0), (2, 7, 0, 0)]
+    kept = dc.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [3]
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK_CHARS", 150)
+    items = [(k, f"the item with number {k} is told apart by this tail {k * 7919}") for k in range(12)]
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in items], "doc_id bigint, text string")
+    found = dc.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).where("distance = 0").collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(k, k) for k in range(12)]

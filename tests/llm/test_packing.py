@@ -120,3 +120,27 @@ def test_one_length_stays_spread(spark):
     rows = spark.range(0, 3000, 1, 12).select(F.col("id").alias("doc_id"), F.lit(1024).cast("long").alias("length"))
     out = packing.pack(rows)
     assert out.select("sequence_id").distinct().count() == 3000
+
+
+@pytest.mark.parametrize("change", [{"add_prefix_space": True}, {"use_regex": False}, None])
+def test_other_tokenizers_get_whole_texts(tmp_path, change):
+    """A tokenizer that doesn't split where chunks are cut gives its own ids all the same."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    said = json.loads(open(tokenizer_path(), encoding="utf-8").read())
+    if change is None:
+        said["normalizer"] = {"type": "Lowercase"}
+    else:
+        said["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} | change
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(said))
+    assert packing.cuttable(tokenizer_path()) and not packing.cuttable(str(path))
+    texts = ["Hello, World! it's  a\n test", "", "é x.", "Same again. Same again."]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    ids, counts = packing.Memo(str(path)).tokens(np.frombuffer(data, np.uint8), offsets)
+    plain = Tokenizer.from_file(str(path))
+    expected = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for x in expected for i in x]

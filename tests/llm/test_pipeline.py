@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import __spark_entry__ as entry
@@ -64,6 +65,25 @@ def test_run_equals_the_stages(spark, folder):
             at += length
 
 
+def test_empty_tables_clashing_names_and_repeated_rows(spark, folder, tmp_path):
+    """Further columns keep their names and values; every stage takes an empty table, repeated rows and a very long text."""
+    root, _ = folder
+    long = " ".join(f"the{k % 97}ing and wh er {k}th" for k in range(40_000))
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    extra = docs.union(docs.where("doc_id = 7")).union(spark.createDataFrame([(900, long, "en", None, None)], SCHEMA))
+    for name in ("lang_pred", "Score", "n_words", "spans", "print", "key"):
+        extra = extra.withColumn(name, F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")))
+    empty = extra.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, root).count() == 0, name
+        extra = stage(spark, extra, root).persist()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            wrong = extra.where(F.col("lang_pred") != F.concat(F.lit("lang_pred "), F.col("doc_id").cast("string")))
+            assert wrong.count() == 0 and [c for c in extra.columns][-6:] == ["lang_pred", "Score", "n_words", "spans", "print", "key"]
+            assert extra.where("doc_id = 900").count() == 1
+        empty = extra.limit(0)
+
+
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))

@@ -55,3 +55,18 @@ def test_balance(spark):
 def test_main_path_has_no_python(spark):
     plan = sharding.shard_documents(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_keys_of_other_types_and_very_long_texts(spark):
+    """A key that is no integer is hashed; a null key counts as 0."""
+    rows = [(f"k{i % 50}", "x" * (10 if i else 3_000_000), i) for i in range(200)] + [(None, "y", -1), (None, "y", -1)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, SHARD int")
+    out = sharding.shard_documents(df, 7)
+    got = out.collect()
+    assert len(got) == 202 and "input_SHARD" in out.columns and {r["shard"] for r in got if r["doc_id"] is None} == {0}
+    of = {}
+    for r in got:
+        assert of.setdefault(r["doc_id"], r["shard"]) == r["shard"] and r["grown_shard"] in (r["shard"], 7)
+    for shard in set(of.values()):
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+    assert max(r["size"] for r in got) == 3_000_008 and len(set(of.values())) > 3
