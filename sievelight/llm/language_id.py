@@ -320,14 +320,14 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang"):
     fold = F.when(F.pmod(F.xxhash64("text"), F.lit(CALIBRATION_FOLD)) == 0, "1").otherwise("0")
     packed = gram_counts(rows.withColumn("part", F.concat(fold, "lang")), "text", "part").toArrow().to_pylist()
     langs = sorted({r["lang"][1:] for r in packed})
+    known = [r for r in packed if r["lang"][0] == "0"]
+    apart = 0 < len(known) < len(packed) and {r["lang"][1:] for r in known} == set(langs)
+    means, bands = _seen(rows.where(fold == "1"), _model(known, langs)) if apart else ({}, {})  # the first model is gone before the final one is made
+    del known
     model = _model(packed, langs)
     if model.langs:
-        known = [r for r in packed if r["lang"][0] == "0"]
-        apart = len(known) < len(packed) and {r["lang"][1:] for r in known} == set(langs)
-        seen = _seen(rows.where(fold == "1"), _model(known, langs)) if apart else None
-        if not seen or not seen[0]:  # too few documents to keep any apart
-            seen = _seen(rows, model)
-        means, bands = seen
+        if not means:  # too few documents to keep any apart
+            means, bands = _seen(rows, model)
         if means:
             model.means = np.array([means.get(x, float(np.mean(list(means.values())))) for x in langs])
             model.limits = {i: max(bands.get(i, 0.0) * MARGIN, LEAST_LIMIT) for i in range(len(BANDS))}
