@@ -12,10 +12,13 @@ Conventions that every operator in this subpackage keeps:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +54,15 @@ def mapped(df: DataFrame, function, schema: StructType | str) -> DataFrame:
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(partial(_released, function=function), schema)
+
+
+def _released(batches: Iterator[pa.RecordBatch], function) -> Iterator[pa.RecordBatch]:
+    """What ``function`` yields; then the worker, which Spark keeps for other tasks, gives free memory back to the system."""
+    yield from function(batches)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 #: Rows of keys up to which a side is broadcast.
