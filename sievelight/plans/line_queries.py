@@ -9,6 +9,7 @@ written to the folder that ``spark.checkpoint.dir`` names, or else a temporary o
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -248,8 +249,9 @@ def session_resume(spark, sf_dir):
             for file in src.session_files(transcript):
                 with open(file, "ab") as f, open(Path(file).with_suffix(".more"), "rb") as more:
                     shutil.copyfileobj(more, f)
-        assert plans.scrub_session(spark, transcript, str(root), _MAILS, states, active=True) is None
-        done = plans.scrub_session(spark, transcript, str(root), _MAILS, states)
+        event = {"transcript_path": transcript, "stop_hook_active": True}
+        assert plans.on_event(spark, json.dumps(event), str(root), _MAILS, states) is None
+        done = plans.on_event(spark, json.dumps(event | {"stop_hook_active": False}), str(root), _MAILS, states)
         out.append(done.select(F.lit(run).alias("run"), display.basename(F.col("file")).alias("file"), "lines", "lines_modified", "redactions"))
     assert plans.scrub_session(spark, transcript, str(root), _MAILS, states).count() == 0
     return out[0].unionByName(out[1])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 from pathlib import Path
@@ -15,9 +17,11 @@ from sievelight.functions.display import basename, format_bytes, format_duration
 from sievelight.operators.findings import count_by_pattern, file_results, findings, report, scrub_lines
 from sievelight.operators.statistics import HISTORY, RECENT, SERIES, last_runs, nearest_rank_by, recent_with_redactions, sparklines
 from sievelight.plans.state import MANIFEST, OFFSETS, SCAN_RUNS, SESSION_RUNS, StateTable, pending, refreshed, to_scan
-from sievelight.sources.lines import discover, guarded, read_lines, read_tails, session_files
+from sievelight.sources.lines import discover, guarded, read_lines, read_tails, session_files, whole_name
 from sievelight.sources.sinks import write_in_place
 
+#: Files up to which they are opened by name, and up to which their names are broadcast.
+BY_NAME, BROADCAST_NAMES = 10_000, 500_000
 ROWS = "section string, key string, value string"
 
 
@@ -36,6 +40,16 @@ class ScanResult:
         self.scrubbed.unpersist()
 
 
+def _lines_of(spark: SparkSession, root: str, wanted: DataFrame, scanned: int, total: int) -> DataFrame:
+    """Lines of the wanted files. Few ones are opened by name; of more the names are broadcast, and only beyond that lines are shuffled."""
+    if scanned == total or not scanned:
+        return read_lines(spark, root) if scanned else read_lines(spark, root).limit(0)
+    if scanned <= BY_NAME:
+        return read_lines(spark, [whole_name(r["path"]) for r in wanted.select("path").collect()])
+    names = wanted.select(F.col("path").alias("file"))
+    return read_lines(spark, root).join(F.broadcast(names) if scanned <= BROADCAST_NAMES else names, "file", "left_semi")
+
+
 def scan(spark: SparkSession, root: str, settings: Settings, state: str | None = None, fix: bool = False, use_cache: bool = True, truncate: bool = True) -> ScanResult:
     """Scan every ``.jsonl`` file below ``root``; ``fix`` rewrites files with findings in place.
 
@@ -50,22 +64,19 @@ def scan(spark: SparkSession, root: str, settings: Settings, state: str | None =
     wanted = to_scan(present, manifest.read(), mark) if manifest and use_cache else present
     wanted = wanted.persist()
     total, scanned = present.count(), wanted.count()
-    lines = read_lines(spark, root).join(wanted.select(F.col("path").alias("file")), "file", "left_semi")
-    scrubbed = scrub_lines(lines, settings).persist()
+    scrubbed = scrub_lines(_lines_of(spark, root, wanted, scanned, total), settings).persist()
     found = findings(scrubbed, "file", "line_number")
     files = file_results(scrubbed)
     counts = {r["pattern_name"]: r["count"] for r in count_by_pattern(found).collect()}  # a row for each pattern
-    failed = [r["file"] for r in files.where("errors > 0").select("file").toLocalIterator()]
-    changed = files.where("redactions > 0").count()
-    undecoded = files.where("errors = 0 AND undecoded > 0").count()
-    if fix and changed:
+    totals = files.agg(F.count_if(F.expr("errors > 0")).alias("failed"), F.count_if(F.expr("redactions > 0")).alias("changed"), F.count_if(F.expr("errors > 0 OR undecoded > 0")).alias("errors")).first()
+    if fix and totals["changed"]:
         write_in_place(scrubbed)
     summary = {
         "timestamp_epoch": int(began),
         "files_scanned": scanned,
-        "files_modified": changed,
+        "files_modified": totals["changed"],
         "total_redactions": sum(counts.values()),
-        "errors": len(failed) + undecoded,
+        "errors": totals["errors"],
         "duration_ms": int((time.time() - began) * 1000),
         "dry_run": not fix,
         "files_cached": total - scanned,
@@ -75,8 +86,9 @@ def scan(spark: SparkSession, root: str, settings: Settings, state: str | None =
         if fix:
             # Sizes have changed since ``wanted`` was read; its paths are persisted, and files that failed stay out.
             now = discover(spark, root)
-            broken = spark.createDataFrame([(f,) for f in failed], "path string")
-            done = now.join(wanted.select("path"), "path", "left_semi").join(broken, "path", "left_anti")
+            done = now.join(wanted.select("path"), "path", "left_semi")
+            if totals["failed"]:
+                done = done.join(files.where("errors > 0").select(F.col("file").alias("path")), "path", "left_anti")
             manifest.write(refreshed(manifest.read(), done, now, mark))
         StateTable(spark, state, "scan_runs", SCAN_RUNS).append(spark.createDataFrame([tuple(summary.values())], SCAN_RUNS), newest=HISTORY)
     wanted.unpersist()
@@ -96,7 +108,7 @@ def scrub_session(spark: SparkSession, transcript: str, root: str, settings: Set
     mark = settings.fingerprint()
     offsets = StateTable(spark, state, "offsets", OFFSETS)
     names = [Path(p) for p in session_files(path)]
-    sizes = spark.createDataFrame([(p.as_uri(), p.stat().st_size) for p in names], "file string, size bigint")  # the files of one session
+    sizes = spark.createDataFrame([(f"file:{p}", p.stat().st_size) for p in names], "file string, size bigint")  # the files of one session
     todo = pending(sizes, offsets.read(), mark).persist()
     lines = read_tails(todo).join(F.broadcast(todo.select("file", "skip")), "file")
     scrubbed = scrub_lines(lines, settings).persist()
@@ -120,6 +132,25 @@ def scrub_session(spark: SparkSession, transcript: str, root: str, settings: Set
     return out
 
 
+def on_event(spark: SparkSession, event: str, root: str, settings: Settings, state: str) -> DataFrame | None:
+    """``scrub_session`` for an event as JSON: ``transcript_path``, and ``stop_hook_active`` for a run within a run.
+
+    An event never fails its sender: what can't be used is a warning, and
+    nothing is returned. A transcript that doesn't exist is left alone.
+    """
+    try:
+        said = json.loads(event)
+        transcript = said["transcript_path"]
+        if said.get("stop_hook_active", False):
+            return None
+        if not Path(transcript).expanduser().exists():
+            return None
+        return scrub_session(spark, str(Path(transcript).expanduser()), root, settings, state)
+    except (ValueError, KeyError, TypeError, AttributeError, PermissionError) as error:
+        warnings.warn(f"event not handled: {error!r}", stacklevel=2)
+        return None
+
+
 def coverage(files: DataFrame) -> DataFrame:
     """One row: files and bytes."""
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

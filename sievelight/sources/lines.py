@@ -8,9 +8,9 @@ it as it was; ``raw`` is null for all others.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from pathlib import Path
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,7 +33,8 @@ def read_lines(spark: SparkSession, paths: str | list[str], whole: int = WHOLE)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", PATTERN).load(paths)
     small = split_content(files.where(F.col("length") <= whole).select(F.col("path").alias("file"), "content"))
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", PATTERN).option("lineSep", "\n").text(paths).where(F.col("_metadata.file_size") > whole)
-    at = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("_raw"))
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # an address there, a plain path in the other reader
+    at = text.select(name.alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("_raw"))
     splits = at.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     numbered = at.join(splits.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n"), ["file", "_block"])
@@ -65,8 +66,13 @@ def split_content(files: DataFrame) -> DataFrame:
 
 
 def local_path(file: str) -> str:
-    """The path on a mounted file system that a ``file:`` address names."""
-    return unquote(urlparse(file).path) if file.startswith("file:") else file
+    """The path on a mounted file system behind a name with ``file:`` in front; nothing in it is encoded."""
+    return re.sub("^file:/*", "/", file)
+
+
+def whole_name(path: str) -> str:
+    """A path with every character that a reader takes for a pattern escaped."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
 
 def _tail(path: str, skip: int, size: int) -> Iterator[bytes]:

@@ -195,7 +195,7 @@ def test_session_resumes_where_it_stopped(spark, tree, tmp_path):
 def test_resumed_lines_keep_their_numbers(spark, tmp_path):
     path = tmp_path / "x.jsonl"
     path.write_bytes(b"a\nb\nc\r\nd\xff\nlast")
-    rows = [(path.as_uri(), path.stat().st_size, 4, before) for before in (None, 2, 7)]
+    rows = [(f"file:{path}", path.stat().st_size, 4, before) for before in (None, 2, 7)]
     df = spark.createDataFrame(rows, "file string, size bigint, skip bigint, lines_before bigint")
     got = [(r["line_number"], r["line"], r["is_valid"], r["raw"], r["ended"]) for r in src.read_tails(df).collect()]
     one = [("c", True, None, True), ("d\ufffd", False, b"d\xff", True), ("last", True, None, False)]
@@ -217,6 +217,24 @@ def test_files_read_in_splits_equal_whole_ones(spark, tmp_path):
     assert a == b and len(a) == 6003
 
 
+def test_odd_names_of_files(spark, tmp_path):
+    """Blanks, signs of patterns and what looks encoded: one name in both readers, and written to."""
+    names = ["a b.jsonl", "c%41+d.jsonl", "e[1]{2}.jsonl", "é#f.jsonl"]
+    root = tmp_path / "odd tree"
+    root.mkdir()
+    for name in names:
+        (root / name).write_text(user(KEY) + "\n")
+    whole, split = (sorted(r["file"] for r in src.read_lines(spark, str(root), whole=w).collect()) for w in (1 << 20, 0))
+    assert whole == split and sorted(src.local_path(f) for f in whole) == sorted(str(root / n) for n in names)
+    state = str(tmp_path / "state")
+    plans.scan(spark, str(root), OFF, state, fix=True).close()
+    assert all(KEY not in (root / name).read_text() for name in names)
+    (root / names[2]).write_text(user(KEY) + "\n" + user(KEY) + "\n")
+    again = plans.scan(spark, str(root), OFF, state, fix=True)
+    assert (again.summary["files_scanned"], again.summary["total_redactions"]) == (1, 2) and KEY not in (root / names[2]).read_text()
+    again.close()
+
+
 def test_bytes_of_other_lines_never_change(spark, tmp_path):
     path = tmp_path / "tree" / "x.jsonl"
     path.parent.mkdir()
@@ -234,6 +252,19 @@ def test_lines_are_scrubbed_in_one_scan(spark, tmp_path):
     assert plan.count("FileScan parquet") == 1 and plan.count("ArrowEvalPython") == 1
 
 
+def test_events_never_fail_their_sender(spark, tree, tmp_path):
+    state, root, path = str(tmp_path / "state"), str(tree), str(tree / "p" / "s1.jsonl")
+    run = lambda event: plans.on_event(spark, event if isinstance(event, str) else json.dumps(event), root, OFF, state)
+    assert run({"transcript_path": path, "stop_hook_active": True}) is None
+    assert run({"transcript_path": str(tree / "gone.jsonl")}) is None
+    (tmp_path / "outside.jsonl").write_text(user(KEY))
+    for event in ("no json", "[]", {}, {"transcript_path": None}, {"transcript_path": str(tmp_path / "outside.jsonl")}):
+        with pytest.warns(UserWarning, match="not handled"):
+            assert run(event) is None
+    assert KEY in (tmp_path / "outside.jsonl").read_text()
+    assert sum(r["redactions"] for r in run({"transcript_path": path}).collect()) == 3
+
+
 def test_manifest_operators(spark):
     files = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 1, 2)], "path string, mtime_us bigint, size bigint")
     manifest = spark.createDataFrame([("a", 1, 1, "f"), ("c", 1, 1, "f"), ("gone", 1, 1, "f"), ("b", 1, 1, "old")], MANIFEST)
