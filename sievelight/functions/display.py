@@ -8,27 +8,49 @@ from pyspark.sql import functions as F
 # Glyphs of a sparkline from low to high, and how many values it shows.
 GLYPHS = ("▁", "▂", "▃", "▄", "▅", "▆", "▇", "█")
 WIDTH = 30
+# Seconds of the 400 years after which dates repeat.
+ERA = 146097 * 86400
+
+
+def _div(n: Column, by: int) -> Column:
+    """Whole part of a quotient of integers, exact at any size."""
+    return F.call_function("div", n, F.lit(by))
 
 
 def format_epoch(seconds: Column) -> Column:
-    """``YYYY-MM-DD HH:MM:SS UTC``, whatever the session's time zone."""
-    # Interval arithmetic on a zone-less timestamp keeps the session's zone out of it.
-    at = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
-    return F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+    """``YYYY-MM-DD HH:MM:SS UTC``, whatever the session's time zone; years take as many digits as they need."""
+    # Dates repeat every 400 years, so a time of any size is one of the first 400 with its year moved.
+    # A zone-less timestamp and its own text keep the session's zone out of it.
+    whole = F.floor(seconds).cast("long")
+    eras = _div(whole, ERA) - F.when(whole % ERA < 0, 1).otherwise(0)
+    at = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.pmod(whole, F.lit(ERA)))
+    return F.concat(F.format_string("%04d", F.year(at) + eras * 400), F.substring(at.cast("string"), 5, 15), F.lit(" UTC"))
 
 
 def format_duration_ms(ms: Column) -> Column:
-    minutes = F.concat(F.floor(ms / 60000).cast("string"), F.lit("m "), F.floor((ms % 60000) / 1000).cast("string"), F.lit("s"))
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.format_string("%.1fs", ms / F.lit(1000.0))).otherwise(minutes)
+    minutes = F.concat(_div(ms, 60000).cast("string"), F.lit("m "), _div(ms % 60000, 1000).cast("string"), F.lit("s"))
+    # The quotient of under 64 s, times 2^52, is a whole number, so its tenths are rounded from its very bits.
+    bits = F.when(ms < 60000, (ms / F.lit(1000.0) * F.lit(float(1 << 52))).cast("long"))
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.concat(_rounded(bits, 52, 1), F.lit("s"))).otherwise(minutes)
+
+
+def _rounded(n: Column, power: int, digits: int) -> Column:
+    """``n / 2^power`` with so many decimal digits, ties to even; ``format_string`` rounds ties up."""
+    one, scale = 1 << power, 10**digits
+    parts = n % one * scale
+    down, rest = _div(parts, one), parts % one
+    up = F.when((rest > one >> 1) | ((rest == one >> 1) & (down % 2 == 1)), 1).otherwise(0)
+    total = _div(n, one) * scale + down + up
+    return F.concat(_div(total, scale).cast("string"), F.lit("."), F.lpad((total % scale).cast("string"), digits, "0"))
 
 
 def format_bytes(n: Column) -> Column:
-    scaled = lambda form, power: F.format_string(form, n / F.lit(float(1 << 10 * power)))
+    scaled = lambda power, digits, unit: F.concat(_rounded(n.cast("long"), 10 * power, digits), F.lit(unit))
     return (
         F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1 << 20, scaled("%.1f KB", 1))
-        .when(n < 1 << 30, scaled("%.1f MB", 2))
-        .otherwise(scaled("%.2f GB", 3))
+        .when(n < 1 << 20, scaled(1, 1, " KB"))
+        .when(n < 1 << 30, scaled(2, 1, " MB"))
+        .otherwise(scaled(3, 2, " GB"))
     )
 
 

@@ -27,6 +27,30 @@ def test_bytes(spark, n, text):
     assert one(spark, d.format_bytes(F.lit(n))) == text
 
 
+@pytest.mark.parametrize(
+    ("n", "text"),
+    [(253402300800, "10000-01-01 00:00:00 UTC"), (2900000000000, "93867-05-05 19:33:20 UTC"), (9223372036854, "294247-01-10 04:00:54 UTC"), (-62135596801, "0000-12-31 23:59:59 UTC"), (-1, "1969-12-31 23:59:59 UTC"), (-99999999999, "-1199-02-15 14:13:21 UTC"), (1710037800, "2024-03-10 02:30:00 UTC")],
+)
+def test_epoch_of_any_size(spark, n, text):
+    for zone in ("UTC", "America/New_York"):  # an hour that a zone leaves out is one like any other
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert one(spark, d.format_epoch(F.lit(n))) == text
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_epoch_to_the_last_long(spark):
+    assert one(spark, d.format_epoch(F.lit((1 << 63) - 1))).endswith("-12-04 15:30:07 UTC")
+
+
+def test_ties_are_rounded_as_c_does(spark):
+    rows = spark.range(1000, 60000, 7).union(spark.range(1000, 60000, 50)).select("id", d.format_duration_ms(F.col("id")).alias("said")).collect()
+    assert [(r["id"], r["said"]) for r in rows] == [(r["id"], f"{r['id'] / 1000:.1f}s") for r in rows]
+    sizes = [8 * k * k for k in range(12, 40000, 4)] + [1024 * k + 256 for k in range(1, 900)] + [(1 << 20) - 1, (1 << 30) - 1, (1 << 52) + (1 << 27)]
+    said = lambda n: f"{n / 1024:.1f} KB" if n < 1 << 20 else f"{n / (1 << 20):.1f} MB" if n < 1 << 30 else f"{n / (1 << 30):.2f} GB"
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", d.format_bytes(F.col("n")).alias("said")).collect()
+    assert [(r["n"], r["said"]) for r in rows] == [(r["n"], said(r["n"])) for r in rows if r["n"] >= 1024]
+
+
 @pytest.mark.parametrize(("ago", "text"), [(-5, "just now"), (59, "just now"), (60, "1 minute ago"), (150, "2 minutes ago"), (3600, "1 hour ago"), (7300, "2 hours ago"), (86400, "1 day ago"), (200000, "2 days ago")])
 def test_relative(spark, ago, text):
     assert one(spark, d.format_relative(F.lit(1000000 - ago), F.lit(1000000))) == text
