@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 PATTERN = "*.jsonl"
 #: Files up to this size are one row before they are split; larger ones are read in splits.
-WHOLE = 64 << 20
+WHOLE = 4 << 20
 #: Bytes that a tail's reader holds at a time, besides a line's.
 STEP = 1 << 20
 
@@ -53,11 +53,14 @@ def _decoded(rows: DataFrame, *more: str) -> DataFrame:
 def split_content(files: DataFrame) -> DataFrame:
     """Lines of (file, content) rows."""
     text = F.col("content").cast("string")
-    # Latin-1 has a character for each byte, so invalid files are split byte by byte.
-    either = F.when(F.is_valid_utf8(text), text).otherwise(F.decode("content", "ISO-8859-1"))
-    parts = F.when(F.octet_length("content") == 0, F.expr("cast(array() as array<string>)")).otherwise(F.split(F.regexp_replace(either, r"\n\z", ""), "\n", -1))
-    rows = files.select("file", F.is_valid_utf8(text).alias("_valid"), F.posexplode(parts).alias("_at", "_line"))
-    bare = rows.select("file", (F.col("_at").cast("long") + 1).alias("line_number"), "_valid", F.regexp_replace("_line", r"\r\z", "").alias("_line"))
+    # Latin-1 has a character for each byte, so invalid files are split byte by byte. How a line was
+    # decoded goes along as its first character: the content itself must not pass the explode, where
+    # an expression of it would be computed for every line.
+    marked = lambda text, mark: F.concat(F.lit(mark), F.replace(F.regexp_replace(text, r"\n\z", ""), F.lit("\n"), F.lit(f"\n{mark}")))
+    either = F.when(F.is_valid_utf8(text), marked(text, "u")).otherwise(marked(F.decode("content", "ISO-8859-1"), "b"))
+    parts = F.when(F.octet_length("content") == 0, F.expr("cast(array() as array<string>)")).otherwise(F.split(either, "\n", -1))
+    rows = files.select("file", F.posexplode(parts).alias("_at", "_marked"))
+    bare = rows.select("file", (F.col("_at").cast("long") + 1).alias("line_number"), F.col("_marked").startswith("u").alias("_valid"), F.expr(r"regexp_replace(substring(_marked, 2), '\\r\\z', '')").alias("_line"))
     raw = F.when(~F.col("_valid"), F.encode("_line", "ISO-8859-1"))
     rows = bare.select("file", "line_number", "_line", raw.alias("_raw"))
     valid = F.col("_raw").isNull() | F.is_valid_utf8(F.col("_raw").cast("string"))

@@ -1,6 +1,7 @@
 """Lines of JSON: routing, files, incremental runs, reports."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,6 +218,18 @@ def test_files_read_in_splits_equal_whole_ones(spark, tmp_path):
     assert a == b and len(a) == 6003
 
 
+def test_a_file_is_split_in_linear_time(spark, tmp_path):
+    """Lines of either decoding come out whole, and the content doesn't go along with every line."""
+    (tmp_path / "a.jsonl").write_bytes(b"ub\r\n\n\xc3\xa9u\nb")
+    (tmp_path / "b.jsonl").write_bytes(b"bu\r\n\n\xffu\n\n")
+    rows = src.read_lines(spark, str(tmp_path))
+    got = [(r["line_number"], r["line"], r["is_valid"], r["raw"]) for r in rows.orderBy("file", "line_number").collect()]
+    assert got == [(1, "ub", True, None), (2, "", True, None), (3, "éu", True, None), (4, "b", True, None), (1, "bu", True, None), (2, "", True, None), (3, "\ufffdu", False, b"\xffu"), (4, "", True, None)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    kept = re.findall(r"\[([^\[\]]*)\], false, \[_at#", plan)  # what goes along with every line
+    assert kept and not any("content" in x for x in kept)
+
+
 def test_odd_names_of_files(spark, tmp_path):
     """Blanks, signs of patterns and what looks encoded: one name in both readers, and written to."""
     names = ["a b.jsonl", "c%41+d.jsonl", "e[1]{2}.jsonl", "é#f.jsonl"]
