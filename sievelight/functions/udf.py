@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -73,12 +74,23 @@ def scrub_line(settings: Settings):
     def scrub(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scrubber = Scrubber(settings)
         for batch in batches:
-            rows = [None if line is None else safe(scrubber, line) for line in batch.to_pylist()]
-            yield pa.array([r and {"new_line": r[0], "redactions": [dict(zip(_FIELDS, x, strict=True)) for x in r[1]], "status": r[2]} for r in rows], _LINE_KIND)
+            yield _line_array([None if line is None else safe(scrubber, line) for line in batch.to_pylist()])
 
     return scrub
 
 
+def _line_array(rows: list[tuple | None]) -> pa.Array:
+    """Rows of (new line, redactions, status) as one array, made column by column."""
+    found = [x for r in rows if r is not None for x in r[1]]
+    columns = list(zip(*found, strict=True)) or [()] * len(_FIELDS)
+    kind = _LINE_KIND.field("redactions").type
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)], fields=list(kind.value_type))
+    offsets = pa.array([0, *accumulate(0 if r is None else len(r[1]) for r in rows)], pa.int32())
+    missing = pa.array([r is None for r in rows], pa.bool_())
+    new, status = (pa.array([None if r is None else r[k] for r in rows], pa.string()) for k in (0, 2))
+    return pa.StructArray.from_arrays([new, pa.ListArray.from_arrays(offsets, values, type=kind), status], fields=list(_LINE_KIND), mask=missing)
+
+
 def safe(scrubber: Scrubber, line: str) -> tuple[str, list, str]:
     """A line that can't be scrubbed stays and is marked, so that it never ends a job."""
     try:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelight.config import Entropy, Settings, sha256_hex
+from sievelight.functions import udf
 from sievelight.functions.kernel import Scrubber, parse_json, skippable
 from sievelight.operators import findings as ops
 from sievelight.plans import scan as plans
@@ -218,6 +219,19 @@ def test_files_read_in_splits_equal_whole_ones(spark, tmp_path):
     assert a == b and len(a) == 6003
 
 
+def test_numbers_out_of_range_without_an_exponent():
+    with pytest.raises(ValueError):
+        parse_json('{"x": 1' + "0" * 400 + '.0, "y": 1}')
+    assert parse_json('{"x": 1' + "0" * 400 + ', "y": 1.5e3}') == {"x": 10**400, "y": 1500.0}
+
+
+def test_lines_become_an_array_as_their_rows_say():
+    rows = [("a", [("p", 0, 1, "x"), ("q", 1, 3, "é")], "redacted"), None, ("b", [], "clean"), ("c", [("p", 2, 4, "y")], "redacted")]
+    found = lambda r: [{"pattern_name": n, "start": a, "end": b, "matched_text": t} for n, a, b, t in r]
+    for part in (rows, rows[1:], [None], []):
+        assert udf._line_array(part).to_pylist() == [r and {"new_line": r[0], "redactions": found(r[1]), "status": r[2]} for r in part]
+
+
 def test_a_file_is_split_in_linear_time(spark, tmp_path):
     """Lines of either decoding come out whole, and the content doesn't go along with every line."""
     (tmp_path / "a.jsonl").write_bytes(b"ub\r\n\n\xc3\xa9u\nb")
