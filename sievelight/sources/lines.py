@@ -33,12 +33,14 @@ def read_lines(spark: SparkSession, paths: str | list[str], whole: int = WHOLE)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", PATTERN).load(paths)
     small = split_content(files.where(F.col("length") <= whole).select(F.col("path").alias("file"), "content"))
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", PATTERN).option("lineSep", "\n").text(paths).where(F.col("_metadata.file_size") > whole)
-    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # an address there, a plain path in the other reader
-    at = text.select(name.alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("_raw"))
-    splits = at.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    numbered = at.join(splits.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n"), ["file", "_block"])
-    large = numbered.select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_number"), "_raw")
+    at = text.select(F.col("_metadata.file_path").alias("_address"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("_raw"))
+    splits = at.groupBy("_address", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_address").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    name = F.url_decode(F.replace(F.col("_address"), F.lit("+"), F.lit("%2B")))  # an address here, a plain path in the other reader
+    starts = splits.select("_address", "_block", name.alias("file"), (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    # Splits are few. Without the hint Spark takes them for many, and sends every line to its file's partition.
+    numbered = at.join(F.broadcast(starts), ["_address", "_block"])
+    large = numbered.select("file", (F.col("_id") + F.col("_shift")).alias("line_number"), "_raw")
     return small.unionByName(_decoded(large))
 
 

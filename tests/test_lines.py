@@ -244,6 +244,18 @@ def test_a_file_is_split_in_linear_time(spark, tmp_path):
     assert kept and not any("content" in x for x in kept)
 
 
+def test_lines_of_split_files_are_not_shuffled(spark, tmp_path):
+    """However large Spark takes the counts of splits for, they go to the lines."""
+    (tmp_path / "x.jsonl").write_text("a\nb\n")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = src.read_lines(spark, str(tmp_path), whole=0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_odd_names_of_files(spark, tmp_path):
     """Blanks, signs of patterns and what looks encoded: one name in both readers, and written to."""
     names = ["a b.jsonl", "c%41+d.jsonl", "e[1]{2}.jsonl", "é#f.jsonl"]
