@@ -70,7 +70,7 @@ def scan(spark: SparkSession, root: str, settings: Settings, state: str | None =
     counts = {r["pattern_name"]: r["count"] for r in count_by_pattern(found).collect()}  # a row for each pattern
     totals = files.agg(F.count_if(F.expr("errors > 0")).alias("failed"), F.count_if(F.expr("redactions > 0")).alias("changed"), F.count_if(F.expr("errors > 0 OR undecoded > 0")).alias("errors")).first()
     if fix and totals["changed"]:
-        write_in_place(scrubbed)
+        write_in_place(scrubbed, few=totals["changed"] <= BROADCAST_NAMES)
     summary = {
         "timestamp_epoch": int(began),
         "files_scanned": scanned,

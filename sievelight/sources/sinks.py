@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +40,11 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     try:
         for batch in batches:
-            for name, skip, data in zip(*(batch.column(c).to_pylist() for c in ("file", "skip", "_bytes")), strict=True):
+            runs, start = pc.run_end_encode(batch.column("file")), 0
+            for name, stop in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
                 if name != file:
                     finish()
+                    skip = batch.column("skip")[start].as_py()
                     file, path = name, local_path(name)
                     os.makedirs(os.path.dirname(path), exist_ok=True)
                     handle, temp = tempfile.mkstemp(dir=os.path.dirname(path))
@@ -49,8 +52,8 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if skip:
                         with open(path, "rb") as old:  # the part done before stays as it is
                             shutil.copyfileobj(_Head(old, skip), out)
-                out.write(data)
-                out.write(b"\n")
+                out.write(b"\n".join([*batch.column("_bytes").slice(start, stop - start).to_numpy(zero_copy_only=False), b""]))
+                start = stop
         finish()
     except BaseException:
         if out is not None:
@@ -72,27 +75,39 @@ class _Head:
         return data
 
 
-def write_in_place(scrubbed: DataFrame) -> list[tuple[str, int]]:
+def _dealt(lines: DataFrame) -> DataFrame:
+    """Lines by file. Few large files are dealt over more tasks than cores, which evens them out."""
+    spark = lines.sparkSession
+    least = 4 * spark.sparkContext.defaultParallelism
+    return lines.repartition("file") if int(spark.conf.get("spark.sql.shuffle.partitions")) >= least else lines.repartition(least, "file")
+
+
+def _replaced(lines: DataFrame) -> list[tuple[str, int]]:
+    """Write the files of (file, line_number, skip, _bytes) rows."""
+    ordered = _dealt(lines).sortWithinPartitions("file", "line_number").select("file", "skip", "_bytes")
+    return [tuple(r) for r in ordered.mapInArrow(_replace, "file string, size bigint").collect()]
+
+
+def write_in_place(scrubbed: DataFrame, few: bool = True) -> list[tuple[str, int]]:
     """Replace each file that has a redacted line, atomically; returns (file, new size).
 
     For file systems that every executor mounts; elsewhere write a new folder.
     All lines get ``\\n`` as their end; the bytes of lines without a redaction
     stay. ``skip``, where there is such a column, are the bytes of a resumed
     file that stay in front. A file's lines are sorted and streamed, so it
-    may be of any size.
+    may be of any size. ``few``: names of the changed files can be broadcast,
+    and only lines of these are shuffled.
     """
     skip = F.col("skip") if "skip" in scrubbed.columns else F.lit(0)
     changed = scrubbed.where("status = 'redacted'").select("file").distinct()
-    lines = line_bytes(scrubbed).join(changed, "file", "left_semi").select("file", "line_number", skip.cast("long").alias("skip"), "_bytes")
-    ordered = lines.repartition("file").sortWithinPartitions("file", "line_number").select("file", "skip", "_bytes")
-    return [tuple(r) for r in ordered.mapInArrow(_replace, "file string, size bigint").collect()]  # a row for each changed file
+    lines = line_bytes(scrubbed).join(F.broadcast(changed) if few else changed, "file", "left_semi").select("file", "line_number", skip.cast("long").alias("skip"), "_bytes")
+    return _replaced(lines)  # a row for each changed file
 
 
 def write_files(lines: DataFrame) -> list[tuple[str, int]]:
     """Write (file, line_number, line) rows to the local or mounted files they name; returns (file, size)."""
     rows = lines.select("file", "line_number", F.lit(0).cast("long").alias("skip"), F.col("line").cast("binary").alias("_bytes"))
-    ordered = rows.repartition("file").sortWithinPartitions("file", "line_number").select("file", "skip", "_bytes")
-    return [tuple(r) for r in ordered.mapInArrow(_replace, "file string, size bigint").collect()]  # a row for each file
+    return _replaced(rows)  # a row for each file
 
 
 def write_folder(scrubbed: DataFrame, path: str) -> None:

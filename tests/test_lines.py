@@ -256,6 +256,46 @@ def test_lines_of_split_files_are_not_shuffled(spark, tmp_path):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_lines_of_a_file_are_written_together(tmp_path, monkeypatch):
+    """One write for a file's lines of a batch, also of a file that goes on in the next batch; the head of a resumed one stays."""
+    import os
+
+    import pyarrow as pa
+
+    from sievelight.sources import sinks
+
+    opened, writes = os.fdopen, []
+
+    class Counted:
+        def __init__(self, *args):
+            self.file = opened(*args)
+
+        def write(self, data):
+            writes.append(data)
+            return self.file.write(data)
+
+        def close(self):
+            self.file.close()
+
+    monkeypatch.setattr(os, "fdopen", Counted)
+    names = [str(tmp_path / n) for n in "abc"]
+    (tmp_path / "b").write_bytes(b"head\nold")
+    rows = [[(names[0], 0, b"1"), (names[0], 0, b""), (names[1], 5, b"2\xff"), (names[1], 5, b"3")], [(names[1], 5, b"4"), (names[2], 0, b"5")]]
+    kinds = {"file": pa.string(), "skip": pa.int64(), "_bytes": pa.binary()}
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*r, strict=True), kinds.values(), strict=True)], names=list(kinds)) for r in rows]
+    done = [r for b in sinks._replace(iter(batches)) for r in b.to_pylist()]
+    assert [(tmp_path / n).read_bytes() for n in "abc"] == [b"1\n\n", b"head\n2\xff\n3\n4\n", b"5\n"]
+    assert [(r["file"], r["size"]) for r in done] == list(zip(names, (3, 12, 2), strict=True))
+    assert writes.count(b"head\n") == 1 and len(writes) == 5  # the head, and a piece of each file and batch
+
+
+def test_files_are_dealt_over_more_tasks_than_cores(spark):
+    from sievelight.sources import sinks
+
+    rows = spark.createDataFrame([("a", 1, 0, b"x")], "file string, line_number bigint, skip bigint, _bytes binary")
+    assert sinks._dealt(rows).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_odd_names_of_files(spark, tmp_path):
     """Blanks, signs of patterns and what looks encoded: one name in both readers, and written to."""
     names = ["a b.jsonl", "c%41+d.jsonl", "e[1]{2}.jsonl", "é#f.jsonl"]
