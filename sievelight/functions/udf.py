@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -74,11 +75,22 @@ def scrub_line(settings: Settings):
     def scrub(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scrubber = Scrubber(settings)
         for batch in batches:
-            yield _line_array([None if line is None else safe(scrubber, line) for line in batch.to_pylist()])
+            yield _scrubbed(scrubber, batch)
 
     return scrub
 
 
+def _scrubbed(scrubber: Scrubber, batch: pa.Array) -> pa.Array:
+    """A batch of lines as ``scrub_line`` returns it."""
+    collects = gc.isenabled()
+    gc.disable()  # JSON values hold no cycles, and many live at once
+    try:
+        return _line_array([None if line is None else safe(scrubber, line) for line in batch.to_numpy(zero_copy_only=False).tolist()])
+    finally:
+        if collects:
+            gc.enable()
+
+
 def _line_array(rows: list[tuple | None]) -> pa.Array:
     """Rows of (new line, redactions, status) as one array, made column by column."""
     found = [x for r in rows if r is not None for x in r[1]]

@@ -296,6 +296,32 @@ def test_files_are_dealt_over_more_tasks_than_cores(spark):
     assert sinks._dealt(rows).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
 
 
+def test_short_texts_are_not_searched(monkeypatch):
+    """Texts too short for any rule pass at once, unless something shorter is blocked."""
+    asked, search = [], Scrubber._regex_spans
+    monkeypatch.setattr(Scrubber, "_regex_spans", lambda self, text: asked.append(text) or search(self, text))
+    value = {"type": "novel", "a": ["text", "é" * 4, "8 letter", ""], "password": "abcdefg"}
+    assert Scrubber(OFF).scrub_message(value)[1] == [] and asked == ["é" * 4, "8 letter"]
+    assert len(Scrubber(Settings(block_strings=("tex",))).scrub_message(value)[1]) == 1
+    assert len(Scrubber(Settings(block_hashes=frozenset([sha256_hex("text")]))).scrub_message(value)[1]) == 1
+
+
+def test_numbers_out_of_range_behind_a_key_that_comes_again():
+    assert Scrubber(OFF).scrub_line('{"x":1e999,"x":"' + KEY + '"}')[2] == "malformed"
+    assert parse_json(' {"x": 1.5} ') == {"x": 1.5} and parse_json("[-0.0,1E5]") == [-0.0, 1e5]
+
+
+def test_no_garbage_is_collected_within_a_batch(monkeypatch):
+    import gc
+
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(udf, "safe", lambda scrubber, line: seen.append(gc.isenabled()) or (line, [], "clean"))
+    assert len(udf._scrubbed(Scrubber(OFF), pa.array(["a", None]))) == 2
+    assert seen == [False] and gc.isenabled()
+
+
 def test_odd_names_of_files(spark, tmp_path):
     """Blanks, signs of patterns and what looks encoded: one name in both readers, and written to."""
     names = ["a b.jsonl", "c%41+d.jsonl", "e[1]{2}.jsonl", "é#f.jsonl"]
